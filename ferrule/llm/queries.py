@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ferrule.llm import simhash
+from ferrule.llm import byte_bpe, simhash, telephony
 
 QUERIES = {
+    "op2_telephony_media": telephony.op2,
     "op4_simhash_near_dedup": simhash.op4,
+    "op10_byte_bpe": byte_bpe.op10,
 }
 ORACLE_SQL: dict[str, str] = {}
