@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ferrule.llm import byte_bpe, simhash, telephony
+from ferrule.llm import byte_bpe, simhash, suffix_dedup, telephony, toxicity
 
 QUERIES = {
     "op2_telephony_media": telephony.op2,
     "op4_simhash_near_dedup": simhash.op4,
+    "op8_suffix_dedup": suffix_dedup.op8,
+    "op9_toxicity": toxicity.op9,
     "op10_byte_bpe": byte_bpe.op10,
 }
 ORACLE_SQL: dict[str, str] = {}
