@@ -169,7 +169,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     left = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.hash("v")), F.lit(blocks)).cast("int"))
     right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def block(key, base: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
+    def block(key: tuple, base: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         if not len(base) or not len(query):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         ids, xu = base["vec_id"].to_numpy(np.int64), _unit(_stack(base["v"]))

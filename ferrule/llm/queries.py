@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from ferrule.llm import byte_bpe, html_text, nearest, simhash, suffix_dedup, telephony, toxicity, url_filter
+from ferrule.llm import byte_bpe, html_text, nearest, packing, simhash, suffix_dedup, telephony, token_rollup, toxicity, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_text.op1,
     "op2_telephony_media": telephony.op2,
+    "op3_token_rollup": token_rollup.op3,
     "op4_simhash_near_dedup": simhash.op4,
     "op5_url_filter": url_filter.op5,
     "op6_nearest_neighbours": nearest.op6,
+    "op7_best_fit_packing": packing.op7,
     "op8_suffix_dedup": suffix_dedup.op8,
     "op9_toxicity": toxicity.op9,
     "op10_byte_bpe": byte_bpe.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_token_rollup": token_rollup.OP3_SQL}

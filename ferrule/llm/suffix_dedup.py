@@ -35,7 +35,7 @@ V, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Windows of a chunk that is hashed at a time; longer documents are cut there.
 CHUNK = 1 << 20
 #: Bytes of stretches that are sorted at a time, and stretches of a bucket that one task sorts at most.
-BLOCK, CROWDED = 2 << 20, 2048
+BLOCK, CROWDED = 1 << 20, 2048
 _LOW = np.uint64((1 << 21) - 1)
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _BYTES = np.random.default_rng(400).integers(1 << 62, size=256, dtype=np.uint64)
@@ -398,9 +398,10 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 texts.append(remove(text.as_py().encode(), [(x["start"], x["end"]) for x in s])[0].decode(errors="ignore") if s else text.as_py())
             cols = list(b.columns[:-1])
             cols[at] = pa.array(texts, cols[at].type)
-            yield pa.record_batch(cols, names=docs.columns)
+            yield pa.record_batch(cols, names=columns)
 
-    at = docs.columns.index(text_col)
+    columns = docs.columns
+    at = columns.index(text_col)
     spans = repeated_spans(docs, id_col, text_col)
     key = _key(f"`{id_col}`", f"`{text_col}`")[:2]
     taken = {c.lower() for c in docs.columns}
