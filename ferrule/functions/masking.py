@@ -39,9 +39,13 @@ def cnpjs(col: Column) -> Column:
 
 def mask(col: Column, key: bytes) -> Column:
     """A text with its identifiers replaced by keyed tokens; equal values get equal tokens."""
+
+    def replaced(text: Column, label: str, values: Column) -> Column:
+        token = lambda v: F.concat(F.lit(f"<{label}_"), F.substring(F.upper(hmac_sha256(v, key)), 1, 10), F.lit(">"))
+        return F.aggregate(F.array_distinct(values), text, lambda t, v: F.regexp_replace(t, F.concat(F.lit(r"\b\Q"), v, F.lit(r"\E\b")), token(v)))
+
     for label, found in (("CNPJ", cnpjs), ("CPF", cpfs), ("EMAIL", emails), ("IP", ipv4)):
-        token = lambda v, label=label: F.concat(F.lit(f"<{label}_"), F.substring(F.upper(hmac_sha256(v, key)), 1, 10), F.lit(">"))
-        col = F.aggregate(F.array_distinct(found(col)), col, lambda text, v, token=token: F.replace(text, v, token(v)))
+        col = replaced(col, label, found(col))
     return col
 
 

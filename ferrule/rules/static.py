@@ -11,3 +11,80 @@ from pyspark.sql import functions as F
 def lines(docs: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
     """A row for each line: key, line from 1, text."""
     return docs.select(*key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line_text")).select(*key, (F.col("pos") + 1).cast("long").alias("line"), F.col("line_text").alias("text"))
+
+
+#: Findings that one line shows by itself: rule, severity, what fires, what excuses it. Patterns are for stripped lines.
+LINE_RULES = (
+    ("MOD-001", "warning", r"(?i)\bConOut\s*\(", None),
+    ("MOD-002", "warning", r"(?i)^\s*Public\s+\w", None),
+    ("MOD-004", "info", r"(?i)\bAx(Cadastro|Inclui|Altera|Deleta)\s*\(", None),
+    ("PERF-001", "warning", r"(?i)\bSELECT\s+\*", None),
+    ("PERF-005", "warning", r"(?i)\b(RecCount|LastRec)\s*\(\s*\)\s*(>|<>|!=)\s*0", None),
+    ("SQL-002", "critical", r"(?i)\b(UPDATE\s+\w+\s+SET|DELETE\s+FROM)\b", r"(?i)\bWHERE\b"),
+    ("SEC-004", "warning", r"(?i)\b\w*(password|senha|token|secret|api_?key)\w*\s*:?=\s*[\"'][^\"']{4,}[\"']", None),
+    ("BP-002b", "warning", r"(?i)^\s*Private\s+\w", r"(?i)^\s*Private\s+(MV_PAR\w*|lMsErroAuto|lMsHelpAuto|aRotina|cCadastro)\b"),
+    ("BP-008", "critical", r"(?i)^\s*(Local|Private|Static|Public)\s+(cFilAnt|cEmpAnt|cUserName|dDataBase|cModulo|nModulo|oMainWnd)\b", None),
+    ("WS-005", "warning", r"(?i)^\s*Return\s+\.F\.", None),
+)
+#: Findings that look around: rule, severity, trigger, excuse, lines after, lines before.
+NEAR_RULES = (
+    ("BP-003", "error", r"(?i)\bMsExecAuto\s*\(", r"(?i)\blMsErroAuto\b", 10, 0),
+    ("BP-004", "warning", r"(?i)\bPergunte\s*\([^)]*,\s*\.F\.", r"(?i)\bMV_PAR\d\d\b", 5, 0),
+    ("WS-002", "warning", r"(?i)\bGetContent\s*\(", r"(?i)\bDecodeUTF8\s*\(", 10, 0),
+    ("BP-007", "info", r"(?i)^\s*User\s+Function\s+\w+", r"(?i)\{[^}]*Doc\}", 0, 30),
+)
+#: Pairs that must close in their unit: rule, severity, open, close.
+PAIR_RULES = (("BP-001", "critical", r"(?i)\bRecLock\s*\(", r"(?i)\bMsUnlock\b"), ("BP-002", "critical", r"(?i)^\s*BEGIN\s+TRANSACTION", r"(?i)^\s*END\s+TRANSACTION"))
+
+
+def line_findings(rows: DataFrame, key: str, rules=LINE_RULES) -> DataFrame:
+    """rows (key, line, text) -> (key, line, rule_id, severity, snippet): every rule that fires on a line, in one pass."""
+    fired = F.array_compact(
+        F.array(*[F.when(F.col("text").rlike(p) & (~F.col("text").rlike(x) if x else F.lit(True)), F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"))) for r, s, p, x in rules])
+    )
+    return rows.select(key, "line", F.substring(F.trim("text"), 1, 200).alias("snippet"), F.explode(fired).alias("f")).select(key, "line", "f.rule_id", "f.severity", "snippet")
+
+
+def near_findings(rows: DataFrame, key: str, rules=NEAR_RULES) -> DataFrame:
+    """Findings of the rules that look at the lines around; the windows share one sort by file and line."""
+    from pyspark.sql import Window
+
+    out = rows
+    for k, (_, _, p, x, after, before) in enumerate(rules):
+        w = Window.partitionBy(key).orderBy("line").rowsBetween(-before, after)
+        out = out.withColumn(f"_{k}", F.max(F.when(F.col("text").rlike(x), 1).otherwise(0)).over(w))
+    fired = F.array_compact(F.array(*[F.when(F.col("text").rlike(p) & (F.col(f"_{k}") == 0), F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"))) for k, (r, s, p, *_) in enumerate(rules)]))
+    return out.select(key, "line", F.substring(F.trim("text"), 1, 200).alias("snippet"), F.explode(fired).alias("f")).select(key, "line", "f.rule_id", "f.severity", "snippet")
+
+
+def pair_findings(rows: DataFrame, key: str, rules=PAIR_RULES) -> DataFrame:
+    """rows (key, unit, line, text): opens that no close of their unit is left for."""
+    from functools import reduce
+
+    from ferrule.operators.tabular import unmatched_opens
+
+    parts = []
+    for r, s, opens, closes in rules:
+        marks = rows.select(key, F.coalesce("unit", F.lit("")).alias("unit"), "line", F.col("text").rlike(opens).alias("is_open"), F.col("text").rlike(closes).alias("is_close")).where("is_open or is_close")
+        parts.append(unmatched_opens(marks.drop("is_close"), [key, "unit"]).select(key, "line", F.lit(r).alias("rule_id"), F.lit(s).alias("severity")))
+    return reduce(DataFrame.unionByName, parts).withColumn("snippet", F.lit(""))
+
+
+def unit_findings(units: DataFrame, key: str) -> DataFrame:
+    """units (key, line, kind, name, args): naming and parameter count (SEC-002, BP-005)."""
+    n = F.when(F.trim("args") == "", 0).otherwise(F.size(F.split("args", ",")))
+    entry = F.col("name").rlike(r"^[A-Z]{2,3}[0-9]{2,4}[A-Z]{2,}$|^[A-Z]{1,3}_|^[A-Z][0-9A-Z]{2}[A-Z0-9]+$")
+    fired = F.array_compact(F.array(F.when(n > 6, F.struct(F.lit("BP-005").alias("rule_id"), F.lit("warning").alias("severity"))), F.when((F.col("kind") == "user_function") & ~entry, F.struct(F.lit("SEC-002").alias("rule_id"), F.lit("warning").alias("severity")))))
+    return units.select(key, "line", F.col("name").alias("snippet"), F.explode(fired).alias("f")).select(key, "line", "f.rule_id", "f.severity", "snippet")
+
+
+def findings(files: DataFrame, key: str = "path") -> DataFrame:
+    """All single-document findings of source files, by line and rule."""
+    from ferrule.sources.code import source_lines, with_unit
+
+    rows = with_unit(source_lines(files, key), key)
+    raw = lines(files.select(key, "text"), [key])  # doc blocks are comments
+    near = [r for r in NEAR_RULES if r[0] != "BP-007"]
+    doc = [r for r in NEAR_RULES if r[0] == "BP-007"]
+    found = line_findings(rows, key).unionByName(near_findings(rows, key, near)).unionByName(near_findings(raw, key, doc)).unionByName(pair_findings(rows, key))
+    return found.orderBy(key, "line", "rule_id")
