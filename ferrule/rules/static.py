@@ -79,7 +79,7 @@ def unit_findings(units: DataFrame, key: str) -> DataFrame:
 
 
 def findings(files: DataFrame, key: str = "path") -> DataFrame:
-    """All single-document findings of source files, by line and rule."""
+    """All findings of source files that need no catalog, by line and rule."""
     from ferrule.sources.code import source_lines, with_unit
 
     rows = with_unit(source_lines(files, key), key)
@@ -87,4 +87,94 @@ def findings(files: DataFrame, key: str = "path") -> DataFrame:
     near = [r for r in NEAR_RULES if r[0] != "BP-007"]
     doc = [r for r in NEAR_RULES if r[0] == "BP-007"]
     found = line_findings(rows, key).unionByName(near_findings(rows, key, near)).unionByName(near_findings(raw, key, doc)).unionByName(pair_findings(rows, key))
+    found = found.unionByName(context_findings(rows.drop("unit"), key)).unionByName(sql_findings(rows.drop("unit"), key)).unionByName(service_findings(rows, key))
     return found.orderBy(key, "line", "rule_id")
+
+
+#: Methods of the injected REST object, and names that mark personal data.
+REST_METHODS = ("getheader", "getbodyrequest", "getpathparamrequest", "getqueryrequest", "setresponse", "setkeyheaderresponse", "setstatuscode", "setfault", "getheaderrequest", "setcontenttype")
+PERSONAL = r"(?i)\b\w*(cpf|cnpj|cgc|rg|email|senha|telefone|endereco|nascimento)\w*\b"
+_REST = r"(?i)^\s*(WSRESTFUL\b|@(Get|Post|Put|Delete|Patch)\s*\()"
+_OPENER = r"(?i)\b(RpcSetEnv\s*\(|PREPARE\s+ENVIRONMENT)"
+
+
+def in_span(rows: DataFrame, key: str, opens: str, closes: str, name: str) -> DataFrame:
+    """Lines with the number of open spans they lie in; a line that closes still lies inside."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy("line")
+    up = F.sum(F.when(F.col("text").rlike(opens), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    down = F.coalesce(F.sum(F.when(F.col("text").rlike(closes), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn(name, up - down)
+
+
+def context_findings(rows: DataFrame, key: str) -> DataFrame:
+    """Findings that depend on where a line stands: SQL-001, PERF-004, SEC-001, SEC-003, WS-003, WS-004.
+
+    rows (key, line, text) without comments; REST files are those that declare a service or an annotated end point.
+    """
+    from pyspark.sql import Window
+
+    out = in_span(rows, key, r"(?i)\bBeginSql\b", r"(?i)\bEndSql\b", "_sql")
+    out = in_span(out, key, r"(?i)^\s*(For|While|Do\s+While)\b", r"(?i)^\s*(Next|EndDo)\b", "_loop")
+    out = out.withColumn("_rest", F.max(F.when(F.col("text").rlike(_REST), 1).otherwise(0)).over(Window.partitionBy(key)))
+    bare = F.regexp_replace("text", r"'[^']*'", "''")
+    method = F.lower(F.regexp_extract("text", r"(?i)\boRest:(\w+)\s*\(", 1))
+    rules = [
+        ("SQL-001", "critical", (F.col("_sql") > 0) & bare.rlike("--")),
+        ("PERF-004", "warning", (F.col("_loop") > 0) & F.col("text").rlike(r"(?i)\b(\w+)\s*(\+=\s*[\"']|:=\s*\1\s*\+\s*[\"'])")),
+        ("SEC-001", "critical", (F.col("_rest") == 1) & F.col("text").rlike(_OPENER)),
+        ("SEC-003", "warning", F.col("text").rlike(r"(?i)\b(ConOut|FwLogMsg|LogMsg)\s*\(") & F.regexp_replace("text", r"(?i)\b(ConOut|FwLogMsg|LogMsg)\b", "").rlike(PERSONAL)),
+        ("WS-003", "warning", (F.col("_rest") == 1) & F.col("text").rlike(r"(?i):SetResponse\s*\(") & ~F.col("text").rlike(r"(?i)EncodeUTF8")),
+        ("WS-004", "error", (method != "") & ~method.isin(*REST_METHODS)),
+    ]
+    fired = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"))) for r, s, c in rules]))
+    return out.select(key, "line", F.substring(F.trim("text"), 1, 200).alias("snippet"), F.explode(fired).alias("f")).select(key, "line", "f.rule_id", "f.severity", "snippet")
+
+
+def sql_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, line, text) -> (key, line, sql): the text of each embedded SQL block, from its first line."""
+    from pyspark.sql import Window
+
+    inside = in_span(rows, key, r"(?i)\bBeginSql\b", r"(?i)\bEndSql\b", "_sql").where("_sql > 0")
+    w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_block", F.sum(F.when(F.col("text").rlike(r"(?i)\bBeginSql\b"), 1).otherwise(0)).over(w))
+    parts = inside.groupBy(key, "_block").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))
+    return parts.select(key, F.element_at("l", 1)["line"].alias("line"), F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("sql"))
+
+
+def sql_findings(rows: DataFrame, key: str) -> DataFrame:
+    """PERF-002 and PERF-003: blocks on ERP tables without a filter for deleted rows, or for the branch."""
+    erp = F.col("sql").rlike(r"(?i)%table:\w+%|RetSqlName|\b[SZ][A-Z0-9]{2}\d{3}\b")
+    fired = F.array_compact(F.array(F.when(erp & ~F.col("sql").rlike(r"(?i)%notdel%|D_E_L_E_T_"), F.struct(F.lit("PERF-002").alias("rule_id"), F.lit("error").alias("severity"))), F.when(erp & ~F.col("sql").rlike(r"(?i)%xfilial|_FILIAL\b"), F.struct(F.lit("PERF-003").alias("rule_id"), F.lit("error").alias("severity")))))
+    return sql_blocks(rows, key).select(key, "line", F.substring(F.trim(F.regexp_replace("sql", r"\s+", " ")), 1, 200).alias("snippet"), F.explode(fired).alias("f")).select(key, "line", "f.rule_id", "f.severity", "snippet")
+
+
+def restricted_calls(rows: DataFrame, key: str, restricted: DataFrame) -> DataFrame:
+    """SEC-005: calls of functions that a catalog (name) restricts."""
+    called = rows.select(key, "line", F.explode(F.regexp_extract_all("text", F.lit(r"\b(\w+)\s*\("), F.lit(1))).alias("snippet"))
+    names = restricted.select(F.upper("name").alias("_n")).distinct()
+    return called.join(names, F.upper("snippet") == F.col("_n"), "left_semi").select(key, "line", F.lit("SEC-005").alias("rule_id"), F.lit("critical").alias("severity"), "snippet")
+
+
+def service_findings(rows: DataFrame, key: str) -> DataFrame:
+    """WS-001: service methods whose service no file declares."""
+    p = r"(?i)^\s*WSMETHOD\s+(?:(?:GET|POST|PUT|DELETE|PATCH)\s+)?\w+.*\bWSSERVICE\s+(\w+)"
+    used = rows.where(F.col("text").rlike(p)).select(key, "line", F.regexp_extract("text", p, 1).alias("snippet"))
+    d = r"(?i)^\s*(?:WSSERVICE|WSRESTFUL)\s+(\w+)"
+    declared = rows.where(F.col("text").rlike(d)).select(F.upper(F.regexp_extract("text", d, 1)).alias("_s")).distinct()
+    return used.join(declared, F.upper("snippet") == F.col("_s"), "left_anti").select(key, "line", F.lit("WS-001").alias("rule_id"), F.lit("error").alias("severity"), "snippet")
+
+
+def branch_findings(rows: DataFrame, key: str, tables: DataFrame) -> DataFrame:
+    """XF-001: branch-dependent seeks on exclusive tables in REST files or jobs, before any environment is opened.
+
+    tables: (code, mode); mode E is exclusive.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumn("_open", F.max(F.when(F.col("text").rlike(_OPENER), 1).otherwise(0)).over(w)).withColumn("_rest", F.max(F.when(F.col("text").rlike(_REST + r"|(?i)^\s*Main\s+Function"), 1).otherwise(0)).over(Window.partitionBy(key)))
+    seeks = marked.where("_open = 0 and _rest = 1").select(key, "line", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)xFilial\s*\(\s*[\"'](\w{2,3})[\"']"), F.lit(1))).alias("snippet"))
+    own = tables.where("upper(mode) = 'E'").select(F.upper("code").alias("_c")).distinct()
+    return seeks.join(own, F.upper("snippet") == F.col("_c"), "left_semi").select(key, "line", F.lit("XF-001").alias("rule_id"), F.lit("error").alias("severity"), "snippet")

@@ -82,6 +82,40 @@ def test_findings(spark):
     assert {(r.line, r.rule_id) for r in static.unit_findings(units, "path").collect()} == {(1, "BP-005"), (1, "SEC-002")}
 
 
+REST = """WSRESTFUL Orders
+RpcSetEnv("01")
+For i := 1
+  cX += "a"
+Next
+cY += "b"
+ConOut("x " + cCpf)
+self:SetResponse(cJson)
+self:SetResponse(EncodeUTF8(cJson))
+oRest:Frobnicate(1)
+BeginSql alias 'x'
+  SELECT A1_COD FROM %table:SA1% SA1 -- why
+  WHERE A1_COD = '--'
+EndSql
+BeginSql
+  SELECT A1_COD FROM SA1010 WHERE A1_FILIAL = '01' AND D_E_L_E_T_ = ' '
+EndSql
+WSMETHOD GET list WSSERVICE Orders
+WSMETHOD GET other WSSERVICE Nowhere
+StaticCall(x, y)
+"""
+
+
+def test_context_findings(spark):
+    df = spark.createDataFrame([("r.prw", REST), ("j.prw", 'Main Function Job()\nDbSeek(xFilial("SA1"))\nRpcSetEnv("1")\nDbSeek(xFilial("SA1")+xFilial("SB1"))\n')], "path string, text string")
+    got = {(r.rule_id, r.line) for r in static.findings(df).where("path = 'r.prw'").collect()}
+    want = {("SEC-001", 2), ("PERF-004", 4), ("SEC-003", 7), ("WS-003", 8), ("WS-004", 10), ("PERF-003", 11), ("PERF-002", 11), ("SQL-001", 12), ("WS-001", 19)}
+    assert want <= got and not {("PERF-004", 6), ("WS-003", 9), ("SQL-001", 13), ("PERF-002", 15), ("PERF-003", 15), ("WS-001", 18)} & got
+    rows = code.source_lines(df)
+    assert [(r.line, r.snippet) for r in static.restricted_calls(rows, "path", spark.createDataFrame([("STATICCALL",)], "name string")).collect()] == [(20, "StaticCall")]
+    found = static.branch_findings(rows, "path", spark.createDataFrame([("SA1", "E"), ("SB1", "C")], "code string, mode string"))
+    assert [(r.path, r.line, r.snippet) for r in found.collect()] == [("j.prw", 2, "SA1")]
+
+
 def test_metrics(spark):
     t = spark.createDataFrame([("If a\nElse\nEndIf\nDo Case\nCase x\nOtherWise\nEndCase\nFor i\nNext\n\n",)], "t string")
     assert t.select(metrics.complexity(F.col("t")), metrics.loc(F.col("t")), metrics.parameters(F.lit("a, b")), metrics.parameters(F.lit(" "))).first()[:] == (4, 9, 2, 0)
