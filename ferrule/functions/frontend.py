@@ -16,7 +16,7 @@ def normal_path(url: Column) -> Column:
 
 _IMPORT = r"import\s*\{([^}]*)\}\s*from\s*['\"]([^'\"]+)['\"]"
 _CALL = r"\.(get|post|put|delete|patch)\s*(?:<[^>]*>)?\s*\(\s*[`'\"]([^`'\"]+)[`'\"]"
-_TAG = r"<(po-[a-z0-9-]+|[a-z]+(?:-[a-z0-9]+)+)((?:\s[^<>]*)?)/?>"
+_TAG = r"<([a-z]+(?:-[a-z0-9]+)+)((?:\s[^<>]*)?)/?>"
 _BINDING = r"[\[\(]*([a-zA-Z][a-zA-Z0-9-]*)[\]\)]*\s*="
 
 

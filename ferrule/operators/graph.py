@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.scratch import written
+
 
 def callers(calls: DataFrame, name: str) -> DataFrame:
     """Who calls ``name``, and whether it calls itself. calls: (file, caller, line, callee)."""
@@ -27,18 +29,20 @@ def callees(calls: DataFrame, name: str) -> DataFrame:
 def reach(edges: DataFrame, start: DataFrame, rounds: int, both_ways: bool = False) -> DataFrame:
     """Nodes within ``rounds`` steps of the start nodes, with the first level that meets each: (node, level).
 
-    edges: (src, dst); start: (node). Each round is one join of the new nodes and one anti-join against those known; the
-    number of rounds is a small parameter, so the plan is bounded.
+    edges: (src, dst); start: (node). Each round is one join of the new nodes and one anti-join against those known, and
+    is written as a table, so no round computes an earlier one again. It stops where a round meets nothing new.
     """
     hops = edges.select("src", "dst")
     if both_ways:
         hops = hops.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    known = start.select("node").distinct().withColumn("level", F.lit(0))
+    known = written(start.select("node").distinct().withColumn("level", F.lit(0)), "reached")
     new = known
     for level in range(1, rounds + 1):
         step = new.join(hops, new.node == hops.src).select(F.col("dst").alias("node")).distinct()
-        new = step.join(known.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
+        new = written(step.join(known.select("node"), "node", "left_anti").withColumn("level", F.lit(level)), "reached")
         known = known.unionByName(new)
+        if new.isEmpty():
+            break
     return known
 
 

@@ -8,8 +8,8 @@ from ferrule.rules import config_audit, decisions, dictionary as rules, static
 from ferrule.sinks import render
 from ferrule.sources import code, config, dictionary, files, logs
 
-SOURCE = """#Include "totvs.ch"
-/*/{Protheus.doc} FATA050
+SOURCE = """#Include "prelude.ch"
+/*/{Acme.doc} FATA050
 Writes orders. @author x
 @author Ana
 @since 2024-01-01
@@ -66,7 +66,7 @@ def test_source_facts(spark):
     doc = code.doc_blocks(df).first()
     assert (doc.unit, doc.author, doc.since, doc.returns, len(doc.params), doc.deprecated) == ("FATA050", "Ana", "2024-01-01", "logical", 2, False)
     kinds = {(r.kind, r.value) for r in code.facts(rows, "path", code.FACTS).collect()}
-    assert {("include", "totvs.ch"), ("field", "A1_NOME"), ("log", "ConOut"), ("sql", "BeginSql")} <= kinds
+    assert {("include", "prelude.ch"), ("field", "A1_NOME"), ("log", "ConOut"), ("sql", "BeginSql")} <= kinds
     label = spark.createDataFrame([("| Programa....: X\n| Autor : Ana B |", 1), ("Autor: x", 2)], "t string, k int")
     got = [r[0] for r in label.orderBy("k").select(code.header_labels(F.col("t"), ["Programa", "Autor"])).collect()]
     assert got == [{"Programa": "X", "Autor": "Ana B"}, {}]
@@ -218,15 +218,15 @@ def test_files(spark, tmp_path):
 
 
 def test_frontend(spark):
-    ts = "import { PoTableModule, PoPageModule as P } from '@po-ui/ng-components';\nthis.http.get<X>(`/api/v1/Orders/${id}`); http.post('http://h/api/x?y=1', b)"
+    ts = "import { TableModule, PageModule as P } from '@ui/components';\nthis.http.get<X>(`/api/v1/Orders/${id}`); http.post('http://h/api/x?y=1', b)"
     f = spark.createDataFrame([("a.ts", ts)], "path string, text string")
-    assert {(r.package, r.symbol) for r in frontend.imports(f).collect()} == {("@po-ui/ng-components", "PoTableModule"), ("@po-ui/ng-components", "PoPageModule")}
+    assert {(r.package, r.symbol) for r in frontend.imports(f).collect()} == {("@ui/components", "TableModule"), ("@ui/components", "PageModule")}
     assert {(r.verb, r.norm) for r in frontend.http_calls(f).collect()} == {("GET", "/api/v1/orders/{id}"), ("POST", "/api/x")}
-    t = spark.createDataFrame([("a.html", '<po-table [p-items]="a > 1" (p-click)="f()" p-sort></po-table><po-x/>')], "path string, text string")
-    assert {(r.component, r.binding) for r in frontend.template_use(t).where("component <> 'po-y'").collect()} >= {("po-x", None)}
-    p = spark.createDataFrame([("p/package.json", '{"dependencies": {"@po-ui/ng-components": "^17.2.0"}, "devDependencies": {"x": "1.0"}}'), ("q", "broken")], "path string, text string")
-    assert {(r.name, r.version) for r in frontend.packages(p).collect()} == {("@po-ui/ng-components", "17.2.0"), ("x", "1.0")}
-    assert frontend.version_mismatch(frontend.packages(p), 16, "@po-ui/").count() == 1
+    t = spark.createDataFrame([("a.html", '<ui-table [p-items]="a > 1" (p-click)="f()" p-sort></ui-table><ui-x/>')], "path string, text string")
+    assert {(r.component, r.binding) for r in frontend.template_use(t).where("component <> 'ui-y'").collect()} >= {("ui-x", None)}
+    p = spark.createDataFrame([("p/package.json", '{"dependencies": {"@ui/components": "^17.2.0"}, "devDependencies": {"x": "1.0"}}'), ("q", "broken")], "path string, text string")
+    assert {(r.name, r.version) for r in frontend.packages(p).collect()} == {("@ui/components", "17.2.0"), ("x", "1.0")}
+    assert frontend.version_mismatch(frontend.packages(p), 16, "@ui/").count() == 1
 
 
 def test_masking(spark):
