@@ -193,8 +193,8 @@ def unknown(used: DataFrame, catalog: DataFrame, key: Sequence[str], scope: Sequ
     out = used.join(catalog.select(*key).distinct(), list(key), "left_anti")
     if scope:
         return out.join(catalog.select(*scope).distinct(), list(scope), "left_semi")
-    some = catalog.limit(1).select(F.lit(True).alias("_some"))
-    return out.crossJoin(F.broadcast(some)).drop("_some")  # one row, or none
+    some = catalog.limit(1).select(F.lit(True).alias("_some"))  # one row, or none
+    return out.withColumn("_some", F.lit(True)).join(F.broadcast(some), "_some", "left_semi").drop("_some")
 
 
 def longest_prefix(paths: DataFrame, roots: DataFrame) -> DataFrame:

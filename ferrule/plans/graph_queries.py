@@ -49,10 +49,10 @@ def trigger_network(t):
 
 
 def _edges(t):
-    n = t.part.agg(F.count("*").alias("n"))  # one row
+    n = t.part.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))  # one row
     key = F.col("p_partkey")
     ends = F.array_compact(F.array(F.when(F.col("p_size") > 10, (key * 7 + F.col("p_size")) % F.col("n")), (key * 3 + 1) % F.col("n")))
-    return t.part.crossJoin(F.broadcast(n)).select(key.alias("src"), F.explode(ends).alias("dst"))
+    return t.part.withColumn("one", F.lit(1)).join(F.broadcast(n), "one").select(key.alias("src"), F.explode(ends).alias("dst"))
 
 
 @query("""
