@@ -1,63 +1,27 @@
-"""What the operators share: the scratch folder, written intermediate tables, sizes."""
+"""What the operators share: tables by name, hashing of ids, drawing of bounded samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.scratch import Tables, scratch_path, written  # noqa: F401
 from ferrule.shipping import ship
 
-#: Rows of a table whose row count has a proven constant bound may be broadcast up to here.
-BOUNDED_ROWS = 1 << 17
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local master gets a temporary folder (tests); on a cluster it is an error, since executors
-    share no local folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = tempfile.mkdtemp(prefix="spark-llm-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared scratch folder: cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this library wrote, by the file system it lies in."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
 def lexical_id(col: str):
     """A document's id as text, for hashing into folds and shards; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def drawn(df: DataFrame, key: Column, total: int, n: int) -> DataFrame:
+    """About ``n`` of the ``total`` rows of ``df`` by a hash of ``key``; all, if there are no more. Never over 2 * n.
+
+    Only a count is needed to draw, so nothing of the rest is ordered or sent anywhere.
+    """
+    return df if total <= n else df.where(F.pmod(F.xxhash64(key), F.lit(total)) < n).limit(2 * n)

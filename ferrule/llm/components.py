@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import written
+from ferrule.llm.common import Tables
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,9 +22,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a row per task. Each round is a written table; only its count and checksum reach the driver. Null ends and loops
     are ignored; an empty table gives an empty one.
     """
-    e = written(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges"
-    )
+    t = Tables(edges.sparkSession)
+    e = t.write("edges", edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     before = _state(e)
     for _ in range(max_rounds):
         if before[0] == 0:
@@ -40,7 +39,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u > v")
             .distinct()
         )
-        e = written(small, "edges")
+        t.paths["last edges"] = t.paths["edges"]
+        e = t.write("edges", small)
+        t.drop("last edges")
         after = _state(e)
         if after == before:
             break

@@ -17,7 +17,6 @@ anchor is a stretch.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import delete_path, scratch_path, table
+from ferrule.llm.common import Tables, table
 
 LENGTH = 400
 GRAM = 64
@@ -39,35 +38,6 @@ BLOCK, CROWDED = 1 << 20, 2048
 _LOW = np.uint64((1 << 21) - 1)
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _BYTES = np.random.default_rng(400).integers(1 << 62, size=256, dtype=np.uint64)
-_FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def _shuffle_files_go(spark):
-    """Shuffle files go when the query that made them has ended, where this Spark knows how."""
-    before = spark.conf.get(_FILES_GO, None)
-    spark.conf.set(_FILES_GO, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(_FILES_GO) if before is None else spark.conf.set(_FILES_GO, before)
-
-
-class _Tables:
-    """Written intermediate tables, deleted when they are of no more use."""
-
-    def __init__(self, spark) -> None:
-        self.spark, self.paths = spark, {}
-
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        self.paths[name] = path = scratch_path(self.spark, name)
-        with _shuffle_files_go(self.spark):
-            df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for n in names:
-            delete_path(self.spark, self.paths.pop(n))
 
 
 def _hashes(buf: np.ndarray) -> np.ndarray:
@@ -302,7 +272,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The key is the hashed id and the hashed text, so repeated rows share one; keys without spans are absent.
     """
-    t = _Tables(docs.sparkSession)
+    t = Tables(docs.sparkSession)
     keyed = docs.select(*_key(id_col, text_col))
     found = t.write("stretches", keyed.mapInArrow(_find, "kid long, ktext int, g long, h long, at long"))
     kinds = t.write(
