@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, trained from document labels only.
 
-A sentence's score is logistic in its words and their beginnings (stems that take many endings); a document is toxic unless every sentence is clean, so its score is one
+A sentence's score is logistic in its distinct words and their beginnings (stems that take many endings); a document is toxic unless every sentence is clean, so its score is one
 less the product of (1 - sentence score). Training lowers the documents' log loss through that product, and the
 sentence scores then locate what offends.
 """
@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import lexical_id, table
+from ferrule.llm.common import drawn, lexical_id, table, written
 
-#: Labelled rows that the model is fitted on at most, half of each class; the ones with the smallest hash of their id.
+#: Labelled rows that the model is fitted on at most, about half of each class, drawn by a hash of their id.
 TRAIN_ROWS = 8000
+#: Features that the model has at most: those whose class rates differ most.
+VOCABULARY = 20_000
 #: A document is rejected from this score on; a sentence offends from OFFENDS on.
 THRESHOLD, OFFENDS = 0.7, 0.5
 #: A word is a feature if its class rates differ by so many standard errors and so many documents hold it.
@@ -78,7 +80,7 @@ class Model:
         at, z, spans = 0, [], []
         for line in data.translate(_FOLD).split(b"\n"):
             if words := line.split():
-                z.append(sum([table[w] for w in words]))
+                z.append(sum([table[w] for w in {*words}]))
                 spans.append((at, at + len(line)))
             at += len(line) + 1
         return 1 / (1 + np.exp(-(self.bias + np.array(z or [0.0])))), spans or [(0, 0)]
@@ -88,40 +90,22 @@ def noisy_or(scores: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(scores, 1 - 1e-12)).sum()))
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> Model:
-    """From documents with labels (0 or 1) and weights. Without both classes the model scores all alike."""
-    n1 = float(weight[toxic == 1].sum())
-    total = float(weight.sum()) or 1.0
-    if not 0 < n1 < total:
-        return Model(4.0 if n1 else -9.0, {})
-    parts = [sentences(t) for t in texts]
-    seen = (Counter(), Counter())
-    for p, y in zip(parts, toxic):
-        seen[y].update({f for w in {w for _, words in p for w in words} for f in features(w)})
-    d1, d0 = int((toxic == 1).sum()), int((toxic == 0).sum())
-    vocab: dict[bytes, int] = {}
-    for w in sorted(seen[1].keys() | seen[0].keys()):
-        a, b = seen[1][w], seen[0][w]
-        p = (a + b) / (d1 + d0)
-        if a + b >= WORD_DOCS and abs(a / d1 - b / d0) > WORD_Z * np.sqrt(p * (1 - p) * (1 / d1 + 1 / d0) + 1e-12):
-            vocab[w] = len(vocab)
-    sent, word, doc, n_doc = [], [], [], 0
-    for k, p in enumerate(parts):
-        for _, words in p or [(0, [])]:
-            for f in chain.from_iterable(map(features, words)):
-                if f in vocab:
-                    sent.append(len(doc))
-                    word.append(vocab[f])
-            doc.append(k)
-        n_doc += 1
-    sent, word, doc = np.array(sent, np.int64), np.array(word, np.int64), np.array(doc, np.int64)
-    y, theta = toxic.astype(float), np.zeros(len(vocab) + 1)
+def fit(vocab: list[bytes], docs: list[tuple[int, list[int], list[int]]], toxic: np.ndarray, weight: np.ndarray) -> Model:
+    """From documents as (sentences, sentence of each feature, feature), labels (0 or 1) and weights."""
+    n = len(docs)
+    sizes = np.array([d[0] for d in docs], np.int64)
+    first = np.cumsum(sizes) - sizes
+    doc = np.repeat(np.arange(n), sizes)
+    held = np.array([len(d[1]) for d in docs])
+    sent = np.array(list(chain.from_iterable(d[1] for d in docs)), np.int64) + np.repeat(first, held)
+    word = np.array(list(chain.from_iterable(d[2] for d in docs)), np.int64)
+    y, total, theta = toxic.astype(float), float(weight.sum()), np.zeros(len(vocab) + 1)
     theta[-1] = -6.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, ROUNDS + 1):
         z = theta[-1] + np.bincount(sent, theta[word], len(doc))
         s = 1 / (1 + np.exp(-np.maximum(z, -500)))
-        clean = np.bincount(doc, -np.logaddexp(0, z), n_doc)  # log of the chance that no sentence offends
+        clean = np.bincount(doc, -np.logaddexp(0, z), n)  # log of the chance that no sentence offends
         p0 = np.exp(np.minimum(clean, -1e-9))
         # d loss / d clean: y = 0 wants it up; y = 1 wants it down
         g_doc = weight / total * np.where(y == 1, p0 / (1 - p0), -1.0)
@@ -129,7 +113,17 @@ def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> Model:
         grad = np.append(np.bincount(word, g[sent], len(vocab)) + RIDGE * theta[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return Model(float(theta[-1]), {w: float(theta[k]) for w, k in vocab.items() if abs(theta[k]) > 0.05})
+    return Model(float(theta[-1]), {w: float(theta[k]) for k, w in enumerate(vocab) if abs(theta[k]) > 0.05})
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, y) -> (feature, n0, n1): documents of each label that hold a feature, summed over a batch."""
+    for b in batches:
+        seen = (Counter(), Counter())
+        for x, y in zip(b.column(0), b.column(1).to_pylist()):
+            seen[y].update({f for w in {w for _, ws in sentences(x.as_py()) for w in ws} for f in features(w)})
+        names = list(seen[0].keys() | seen[1].keys())
+        yield pa.record_batch([pa.array(names, pa.binary()), *[pa.array([c[f] for f in names], pa.int64()) for c in seen]], names=["feature", "n0", "n1"])
 
 
 def held_out(id_col: str = "doc_id"):
@@ -138,27 +132,49 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold, half of each class, weighted by class size.
+    """Fit on at most ``rows`` labelled documents outside the held-out fold, about half of each class, weighted by class size.
 
     Labels other than 0 and 1, and rows without an id, are left out.
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out("id"))
     sizes = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("id"), F.col("id")]
-    picked = own.where("y = 1").orderBy(*order).limit(rows // 2).unionByName(own.where("y = 0").orderBy(*order).limit(rows // 2))
-    found = (
+    each = [drawn(own.where(F.col("y") == y), F.col("id"), sizes.get(y, 0), rows // 2) for y in (0, 1)]
+    picked = each[0].unionByName(each[1])
+    sample = written(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-        .join(F.broadcast(picked), "id")  # at most ``rows`` rows
+        .join(F.broadcast(picked), "id")  # at most 2 * ``rows`` rows
         .where("text is not null")
         .orderBy(*order, F.xxhash64("text"))
         .limit(rows)
-        .select("text", "y")
-        .toPandas()
+        .select("text", "y"),
+        "labelled",
     )
-    y = found["y"].to_numpy(np.int64)
-    taken = np.bincount(y, minlength=2)
-    weight = np.array([sizes.get(k, 0) / max(1, taken[k]) for k in (0, 1)])[y] if len(y) else np.zeros(0)
-    return fit([bytes(t) for t in found["text"]], y, weight)
+    taken = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    d0, d1 = taken.get(0, 0), taken.get(1, 0)
+    if not d0 or not d1:
+        return Model(4.0 if d1 else -9.0, {})  # without both classes all score alike
+    p = (F.col("n0") + F.col("n1")) / (d0 + d1)
+    z = F.abs(F.col("n1") / d1 - F.col("n0") / d0) / F.sqrt(p * (1 - p) * (1 / d0 + 1 / d1) + 1e-12)
+    counts = sample.mapInArrow(_document_counts, "feature binary, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    chosen = counts.where((F.col("n0") + F.col("n1") >= WORD_DOCS) & (z > WORD_Z)).orderBy(F.desc(z), "feature").limit(VOCABULARY).select("feature").collect()
+    vocab = sorted(bytes(r["feature"]) for r in chosen)
+    sent = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(vocab)})  # at most VOCABULARY features
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        for b in batches:
+            rows = []
+            for x in b.column(0):
+                parts = sentences(x.as_py())
+                found = [(k, index[f]) for k, (_, ws) in enumerate(parts) for f in chain.from_iterable(map(features, sorted({*ws}))) if f in index]
+                rows.append((max(1, len(parts)), [k for k, _ in found], [f for _, f in found]))
+            yield pa.record_batch([b.column(1), pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (1, 2)]], names=["y", "n", "sent", "word"])
+
+    found = sample.mapInArrow(hits, "y int, n long, sent array<int>, word array<int>").orderBy("y", "n", F.xxhash64("sent", "word")).collect()
+    y = np.array([r["y"] for r in found])
+    weight = np.array([sizes.get(0, 0) / d0, sizes.get(1, 0) / d1])[y]
+    return fit(vocab, [(r["n"], r["sent"], r["word"]) for r in found], y, weight)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
