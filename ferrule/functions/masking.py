@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ferrule.functions.text import CNPJ_WEIGHTS, CPF_WEIGHTS, check_digits, hmac_sha256
+from ferrule.functions.text import CNPJ_WEIGHTS, CPF_WEIGHTS, amount_class, check_digits, hmac_sha256, redact
 
 #: Shapes of the identifiers.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -37,15 +41,20 @@ def cnpjs(col: Column) -> Column:
     return F.filter(F.regexp_extract_all(col, F.lit(CNPJ), F.lit(0)), lambda x: (F.length(_digits(x)) == 14) & check_digits(_digits(x), CNPJ_WEIGHTS))
 
 
-def mask(col: Column, key: bytes) -> Column:
+#: Recognisers by label, in the order in which they are replaced.
+RECOGNISERS = {"CNPJ": cnpjs, "CPF": cpfs, "EMAIL": emails, "IP": ipv4}
+
+
+def mask(col: Column, key: bytes, labels: Sequence[str] = tuple(RECOGNISERS)) -> Column:
     """A text with its identifiers replaced by keyed tokens; equal values get equal tokens."""
 
     def replaced(text: Column, label: str, values: Column) -> Column:
         token = lambda v: F.concat(F.lit(f"<{label}_"), F.substring(F.upper(hmac_sha256(v, key)), 1, 10), F.lit(">"))
         return F.aggregate(F.array_distinct(values), text, lambda t, v: F.regexp_replace(t, F.concat(F.lit(r"\b\Q"), v, F.lit(r"\E\b")), token(v)))
 
-    for label, found in (("CNPJ", cnpjs), ("CPF", cpfs), ("EMAIL", emails), ("IP", ipv4)):
-        col = replaced(col, label, found(col))
+    for label, found in RECOGNISERS.items():
+        if label in labels:
+            col = replaced(col, label, found(col))
     return col
 
 
@@ -63,3 +72,34 @@ def format_preserving(col: Column, key: bytes) -> Column:
     digits = F.array_join(F.transform(F.concat(nine, F.array(digit(nine, 11))), lambda x: x.cast("string")), "")
     dotted = F.concat(digits.substr(1, 3), F.lit("."), digits.substr(4, 3), F.lit("."), digits.substr(7, 3), F.lit("-"), digits.substr(10, 2))
     return F.when(col.contains("."), dotted).otherwise(digits)
+
+
+@dataclass(frozen=True)
+class Masking:
+    """Settings of a mask: which identifiers, the key, whether secrets and amounts are hidden too."""
+
+    key: bytes
+    recognisers: tuple[str, ...] = ("CNPJ", "CPF", "EMAIL", "IP")
+    secrets: bool = True
+    amounts: tuple[str, ...] = ()
+
+    @classmethod
+    def of(cls, settings: Mapping[str, str]) -> Masking:
+        """From named settings, as of a configuration file: key, recognisers, secrets, amounts; lists by comma."""
+        names = tuple(x.strip().upper() for x in settings.get("recognisers", "CNPJ,CPF,EMAIL,IP").split(",") if x.strip())
+        if unknown := set(names) - set(RECOGNISERS):
+            raise ValueError(f"recognisers {sorted(unknown)}")
+        if not settings.get("key"):
+            raise ValueError("a key is needed")
+        return cls(settings["key"].encode(), names, settings.get("secrets", "yes").lower() in ("yes", "true", "1", "on"), tuple(x.strip() for x in settings.get("amounts", "").split(",") if x.strip()))
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """``df`` with its text columns masked and the named amount columns as ranges; secrets go before identifiers."""
+        out = {}
+        for f in df.schema.fields:
+            if f.name in self.amounts:
+                out[f.name] = amount_class(F.col(f"`{f.name}`").try_cast("double"))
+            elif isinstance(f.dataType, StringType):
+                text = redact(F.col(f"`{f.name}`")) if self.secrets else F.col(f"`{f.name}`")
+                out[f.name] = mask(text, self.key, self.recognisers)
+        return df.withColumns(out)

@@ -158,3 +158,68 @@ def doc_blocks(files: DataFrame, key: str = "path") -> DataFrame:
     tag = lambda n: F.trim(F.regexp_extract("b", rf"(?im)^[ \t*]*@{n}[ \t]+([^\r\n]*)", 1))
     params = F.regexp_extract_all("b", F.lit(r"(?im)^[ \t*]*@param[ \t]+([^\r\n]*)"), F.lit(1))
     return rows.select(key, "unit", F.trim(F.regexp_extract("b", r"^\s*([^\r\n@]*)", 1)).alias("summary"), tag("author").alias("author"), tag("since").alias("since"), params.alias("params"), tag("return").alias("returns"), F.col("b").rlike(r"(?i)@deprecated").alias("deprecated"))
+
+
+#: Labels of the operation codes of routine calls, and what starts code outside a direct call.
+OPERATIONS = {3: "insert", 4: "update", 5: "delete"}
+TRIGGERS = {
+    "workflow": r"(?i)TWFProcess\s*\(\s*\)\s*:\s*New\s*\(\s*[\"']([^\"']+)[\"']",
+    "callback": r"(?i):\s*bReturn\s*:=\s*[\"'](\w+)",
+    "job": r"(?i)\bStartJob\s*\(\s*[\"']([^\"']+)[\"']",
+    "schedule": r"(?i)\bFunction\s+(SchedDef)\b",
+    "mail": r"(?i)\b(TMailManager|TMailMessage|MailSend|SendMail)\b",
+}
+
+
+def routine_calls(files: DataFrame, routines: DataFrame, key: str = "path") -> DataFrame:
+    """Calls of standard routines: (key, unit, line, routine, module, op_code, op_label, dynamic, tables).
+
+    routines: (routine, module, tables array), a small catalog. The operation is the number after the code block and its
+    arguments; anything else there makes it dynamic, as does a routine that is not named.
+    """
+    block = r"(?i)MsExecAuto\s*\(\s*\{\s*\|[^|]*\|\s*([\w&]+)\s*\([^)]*\)\s*\}([^)]*)\)"
+    rows = with_unit(source_lines(files, key), key).select(key, "unit", "line", F.explode(F.regexp_extract_all("text", F.lit(block), F.lit(0))).alias("c"))
+    last = F.trim(F.element_at(F.split(F.regexp_extract("c", block, 2), ","), -1))
+    name, code_ = F.upper(F.regexp_extract("c", block, 1)), last.try_cast("int")
+    label = F.create_map(*[F.lit(x) for p in OPERATIONS.items() for x in p])[code_]
+    found = rows.select(key, "unit", "line", name.alias("routine"), code_.alias("op_code"), label.alias("op_label"), (name.startswith("&") | (code_.isNull() & (last != ""))).alias("dynamic"))
+    known = routines.select(F.upper("routine").alias("routine"), "module", "tables")
+    return found.join(F.broadcast(known), "routine", "left").select(key, "unit", "line", "routine", "module", "op_code", "op_label", "dynamic", "tables")
+
+
+def execution_triggers(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, line, kind, value): what starts code otherwise: workflows, call-backs, jobs, schedules, mail."""
+    return facts(source_lines(files, key), key, TRIGGERS)
+
+
+def entry_points(files: DataFrame, key: str = "path") -> DataFrame:
+    """Units that are entry points: by the shape of their name, or because they read the entry-point parameter array."""
+    rows = with_unit(source_lines(files, key), key).where("unit is not null")
+    uses = F.max(F.when(F.col("text").rlike(r"(?i)\bPARAMIXB\b"), 1).otherwise(0)) == 1
+    found = rows.groupBy(key, "unit").agg(uses.alias("uses"))
+    shape = F.upper("unit").rlike(r"^[A-Z]{2,4}\d{2,4}[A-Z]{2,}\w*$")
+    return found.where(F.col("uses") | shape).select(key, "unit", F.when(F.col("uses"), "parameter").otherwise("name").alias("evidence"))
+
+
+def environment_openers(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, unit, line, company, branch, module): literal arguments of environment openers; a variable counts as empty."""
+    call, words = r"(?i)RpcSetEnv\s*\(([^)]*)\)", r"(?i)PREPARE\s+ENVIRONMENT\s+(.*)$"
+    rows = with_unit(source_lines(files, key), key).where(F.col("text").rlike(f"{call}|{words}"))
+    args = F.split(F.regexp_extract("text", call, 1), ",")
+    literal = lambda c: F.coalesce(F.regexp_extract(c, r"^\s*[\"']([^\"']*)[\"']\s*$", 1), F.lit(""))
+    of = lambda w: F.regexp_extract("text", rf"(?i)\b{w}\s+[\"']([^\"']*)[\"']", 1)
+    pick = lambda k, w: F.when(F.col("text").rlike(call), literal(F.get(args, k))).otherwise(of(w))
+    return rows.select(key, "unit", "line", pick(0, "EMPRESA").alias("company"), pick(1, "FILIAL").alias("branch"), pick(4, "MODULO").alias("module"))
+
+
+def service_structures(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, line, kind, name, fields): declared service structures with their data members in order."""
+    head, member = r"(?i)^\s*(WSSTRUCT|WSSERVICE|WSRESTFUL)\s+(\w+)", r"(?i)^\s*WSDATA\s+(\w+)\s+AS\s+(.+?)\s*$"
+    rows = source_lines(files, key)
+    w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.last(F.when(F.col("text").rlike(head), F.col("line")), ignorenulls=True).over(w)
+    parts = rows.withColumn("_at", start).where(F.col("_at").isNotNull() & F.col("text").rlike(f"{head}|{member}"))
+    item = F.struct("line", F.regexp_extract("text", member, 1).alias("name"), F.regexp_extract("text", member, 2).alias("type"))
+    first = F.max(F.when(F.col("text").rlike(head), F.struct(F.lower(F.regexp_extract("text", head, 1)).alias("kind"), F.regexp_extract("text", head, 2).alias("name"))))
+    found = parts.groupBy(key, "_at").agg(first.alias("h"), F.array_sort(F.collect_list(F.when(F.col("text").rlike(member), item))).alias("m"))
+    return found.select(key, F.col("_at").alias("line"), "h.kind", "h.name", F.transform("m", lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"))).alias("fields"))

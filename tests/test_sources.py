@@ -281,3 +281,43 @@ def test_rendering(spark):
     assert "&lt;b&gt;" in render.to_html(df, 2) and len(render.to_text(df, 3).split("\n")) == 4
     assert render.shown(df, 1, masks={"t": F.lit("x")}).first().t == "x"
     assert "<table>" in render.score_report(spark.createDataFrame([("f", 90.0, "compliant")], "p string, s double, l string"), df, "R")
+
+
+MORE = """User Function MT410INC()
+  x := PARAMIXB[1]
+  MsExecAuto({|x,y| MATA410(x,y)}, aA, 3)
+  MsExecAuto({|x| FINA050(x)}, nOp)
+  RpcSetEnv("01", cFil,,, "FAT")
+  PREPARE ENVIRONMENT EMPRESA "99" FILIAL "02"
+  oP := TWFProcess():New("WF01", "x")
+  StartJob("U_NIGHT", "env")
+Return
+User Function helper()
+Return
+WSSTRUCT Item
+  WSDATA code AS String
+  WSDATA price AS Float
+ENDWSSTRUCT
+"""
+
+
+def test_more_source_facts(spark):
+    df = spark.createDataFrame([("a.prw", MORE)], "path string, text string")
+    catalog = spark.createDataFrame([("MATA410", "FAT", ["SC5", "SC6"])], "routine string, module string, tables array<string>")
+    got = [(r.routine, r.module, r.op_code, r.op_label, r.dynamic, r.tables) for r in code.routine_calls(df, catalog).orderBy("line").collect()]
+    assert got == [("MATA410", "FAT", 3, "insert", False, ["SC5", "SC6"]), ("FINA050", None, None, None, True, None)]
+    assert {(r.kind, r.value) for r in code.execution_triggers(df).collect()} == {("workflow", "WF01"), ("job", "U_NIGHT")}
+    assert [(r.unit, r.evidence) for r in code.entry_points(df).collect()] == [("MT410INC", "parameter")]
+    assert [(r.company, r.branch, r.module) for r in code.environment_openers(df).orderBy("line").collect()] == [("01", "", "FAT"), ("99", "02", "")]
+    s = code.service_structures(df).first()
+    assert (s.kind, s.name, [tuple(f) for f in s.fields]) == ("wsstruct", "Item", [("code", "String"), ("price", "Float")])
+
+
+def test_masking_settings(spark):
+    df = spark.createDataFrame([("a@b.co token=abc", 1500.0, 7)], "t string, amount double, n int")
+    r = masking.Masking.of({"key": "k", "recognisers": "email", "amounts": "amount"}).apply(df).first()
+    assert r.amount == "1k-10k" and r.n == 7 and r.t.startswith("<EMAIL_") and r.t.endswith("token=<secret>")
+    import pytest
+
+    with pytest.raises(ValueError):
+        masking.Masking.of({"key": "k", "recognisers": "nothing"})
