@@ -99,7 +99,8 @@ def op3(spark, sf_dir: str) -> DataFrame:
     rollup.commit("2-delete", toxic)
     poor = labels.where("quality = 0 and coalesce(toxic, 0) <> 1").select("doc_id").distinct()
     lines = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
-    rollup.commit("3-revise", _counts(docs.join(poor, "doc_id", "left_semi"), ["words-1"], lines))
+    # counted before the join, so that counts are shuffled and not texts; an inner join, since a semi-join would move below
+    rollup.commit("3-revise", _counts(docs, ["words-1"], lines).join(poor, "doc_id"))
     rollup.commit("2-delete", toxic)
     return rollup.totals()
 
