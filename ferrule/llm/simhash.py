@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import table, written
+from ferrule.llm.common import Tables, table, written
 from ferrule.llm.components import components
 
 RADIUS = 4
@@ -179,12 +179,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link like any other; repeated rows give repeated results; other columns, whatever their names, are not read; an
     empty table gives an empty result.
     """
-    fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    stars = written(components(links(distinct.select("fp"), radius, tile)).select(F.col("node").alias("fp"), "root"), "stars")
+    t = Tables(docs.sparkSession)
+    fps = t.write("fingerprints", fingerprints(docs, id_col, text_col, shingle))
+    distinct = t.write("distinct", fps.groupBy("fp").agg(F.min("id").alias("low")))
+    stars = t.write("stars", components(links(distinct.select("fp"), radius, tile)).select(F.col("node").alias("fp"), "root"))
     linked = stars.join(distinct, "fp")
     groups = stars.join(linked.groupBy("root").agg(F.min("low").alias("component")), "root").select("fp", "component")
     whole = distinct.join(groups, "fp", "left").select("fp", F.coalesce("component", "low").alias("component"))
+    # a table, so that the join below is of two plain scans: AQE can then split the rows of a very common fingerprint
+    whole = t.write("whole", whole)
+    t.drop("distinct", "stars")
     return fps.join(whole, "fp").select("id", "fp", "component")
 
 
