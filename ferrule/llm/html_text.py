@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.llm.boosting import Boosted, fit
-from ferrule.llm.common import table
+from ferrule.llm.common import drawn, table
 
-#: Pages that the model is fitted on at most, the ones with the smallest hash, and characters of each that are read.
+#: Pages that the model is fitted on, drawn by hash (never over twice as many), and characters of each that are read.
 TRAIN_PAGES, TRAIN_CHARS = 500, 200_000
 #: Other layouts of each sampled page.
 LAYOUTS = 4
@@ -254,12 +254,13 @@ def _layouts(page: Page, y: np.ndarray, rng: np.random.Generator) -> Iterator[tu
 
 
 def train(pages: DataFrame, html_col: str = "html", rows: int = TRAIN_PAGES) -> Boosted:
-    """Fit on at most ``rows`` pages that name their content; none: every node is as likely content as not."""
-    sample = pages.select(F.substring(html_col, 1, TRAIN_CHARS).alias("html")).where("html is not null").select("html", F.xxhash64("html").alias("k")).orderBy("k", "html").limit(rows)
+    """Fit on about ``rows`` pages, drawn by hash, that name their content; none: every node is as likely content as not."""
+    own = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).alias("whole"))
+    sample = drawn(own, F.col("whole"), own.count(), rows).select(F.substring("whole", 1, TRAIN_CHARS).alias("html"))
     rng = np.random.default_rng(1)
     xs, ys = [np.empty((0, N_FEATURES), np.float32)], [np.empty(0)]
-    for r in sample.collect():  # at most ``rows`` pages of TRAIN_CHARS characters
-        page = Page(r["html"])
+    for text in sorted(r["html"] for r in sample.collect()):  # about ``rows`` pages of TRAIN_CHARS characters
+        page = Page(text)
         if (y := page.seeds()) is not None:
             for k, (p, label) in enumerate([*_layouts(page, y, rng), *[(page, y)] * LAYOUTS]):
                 x = p.features()
