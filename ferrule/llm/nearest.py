@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import table, written
+from ferrule.llm.common import drawn, table, written
 
-#: Rows that the rotation is learned from, and queries that the radius is learned from, at most.
+#: Rows that the rotation is learned from, and queries that the radius is learned from, drawn by hash (never over twice as many).
 SAMPLE, PROBES = 4096, 128
 #: Rows of a block; share of true neighbours that the radius must hold on the learning queries.
 BLOCK, HELD = 32768, 0.99
@@ -114,13 +114,12 @@ def probe(query: np.ndarray, base: np.ndarray, radius: int) -> Iterator[tuple[np
                     yield a[~seen], b[~seen]
 
 
-def learn(rows: DataFrame, queries: DataFrame, k: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+def learn(rows: DataFrame, queries: DataFrame, k: int, n: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
     """The rotation, from a bounded sample, and the radius: what holds the true neighbours of a few queries among all rows."""
     spark = rows.sparkSession
-    order = [F.xxhash64("vec_id"), F.col("vec_id")]
-    sample = rows.orderBy(*order).limit(SAMPLE).toPandas()
+    sample = drawn(rows, F.col("vec_id"), n, SAMPLE).toPandas().sort_values("vec_id", kind="stable")
     model = rotation(_unit(_stack(sample["v"])))
-    asked = queries.orderBy(*order).limit(PROBES).toPandas()
+    asked = drawn(queries, F.col("vec_id"), queries.count(), PROBES).toPandas().sort_values("vec_id", kind="stable")
     if not len(asked):
         return model, 0
     q_id, qu = asked["vec_id"].to_numpy(np.int64), _unit(_stack(asked["v"]))
@@ -163,7 +162,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    model, radius = learn(rows, asked, k)
+    model, radius = learn(rows, asked, k, n)
     blocks = -(-n // BLOCK)
     sent = spark.sparkContext.broadcast(model)
     left = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.hash("v")), F.lit(blocks)).cast("int"))
