@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.llm import similar
 from ferrule.llm.common import Tables, table, written
 from ferrule.llm.components import components
 
@@ -195,9 +196,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less near-duplicates: of each group the document with the smallest id stays, all its columns unchanged.
 
+    Near-duplicates are texts whose 5-word shingles have a Jaccard similarity of 0.8 or more, confirmed pair by pair
+    (``similar``); op4's radius and shingle are that query's own. A group is what such pairs link.
     Repeated rows of one id count once. Documents without an id can't be named as duplicates; they stay.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    found = similar.groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     kept = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
     named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
