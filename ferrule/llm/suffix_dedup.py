@@ -29,6 +29,8 @@ from ferrule.llm.common import Tables, table
 
 LENGTH = 400
 GRAM = 64
+#: Words of a passage that dedup_texts cuts out wherever it repeats, however few bytes they have, and words of its anchor.
+WORDS, WORD_GRAM = 51, 16
 #: Difference cover: modulus and residues; each residue is a difference of two of them.
 V, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Windows of a chunk that is hashed at a time; longer documents are cut there.
@@ -267,6 +269,81 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each word; words are parted by \\x20 and \\x09-\\x0D."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
+    turn = np.flatnonzero(np.diff(inside))
+    words = data.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), turn[::2], turn[1::2]
+
+
+def _word_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents -> stretches of windows of WORDS words with one anchor, the WORD_GRAM words that hash lowest."""
+    names, piece = ["kid", "ktext", "g", "h", "first", "n", "start", "end"], 1 << 20
+    for b in batches:
+        out = [[] for _ in names]
+        for kid, ktext, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            words, start, end = _word_hashes(data.as_py() or b"")
+            for s in range(0, len(words) - WORDS + 1, piece):
+                w = words[s : s + piece + WORDS - 1]
+                g, width = w, 1
+                while width < WORD_GRAM:
+                    g = g[: len(g) - width] * _FACTORS[width.bit_length()] + g[width:]
+                    width *= 2
+                g = (g ^ (g >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+                g ^= g >> np.uint64(29)
+                at = (_lowest((g & ~_LOW) | np.arange(len(g), dtype=np.uint64), WORDS - WORD_GRAM + 1) & _LOW).astype(np.int64)
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                n = np.diff(np.append(first, len(at)))
+                last = first + n + WORDS - 1
+                h = np.fromiter((xxhash.xxh3_64_intdigest(w[i:j].tobytes()) for i, j in zip(first.tolist(), last.tolist())), np.uint64, len(n))
+                for x, y in zip(out, (np.full(len(n), kid), np.full(len(n), ktext, np.int32), g[at[first]].view(np.int64), h.view(np.int64), s + first, n, start[s + first], end[s + last - 1])):
+                    x.append(y)
+        if out[0]:
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=names)
+
+
+def _word_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with their open stretches -> a 128-bit hash and the bytes of each window of WORDS words."""
+    for b in batches:
+        for k in range(b.num_rows):
+            words, start, end = _word_hashes(b.column(2)[k].as_py() or b"")
+            rows = b.column(3)[k].as_py()
+            at = np.concatenate([np.arange(r["first"], r["first"] + r["n"]) for r in rows])
+            settled = np.repeat([r["settled"] for r in rows], [r["n"] for r in rows])
+            view = memoryview(words.tobytes())
+            w = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[8 * j : 8 * (j + WORDS)]) for j in at.tolist()]), "<i8").reshape(-1, 2)
+            kid, ktext = np.full(len(at), b.column(0)[k].as_py()), np.full(len(at), b.column(1)[k].as_py(), np.int32)
+            yield pa.record_batch([pa.array(x) for x in (w[:, 0], w[:, 1], kid, ktext, start[at], end[at + WORDS - 1], settled)], names=["w1", "w2", "kid", "ktext", "start", "end", "settled"])
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` -> (kid, ktext, spans): by document key the byte spans of its passages of WORDS words that also start elsewhere.
+
+    As repeated_spans, by words instead of bytes: the kind of white space between words doesn't count. Windows of open
+    stretches are counted by their 128-bit hash over all tasks.
+    """
+    t = Tables(docs.sparkSession)
+    keyed = docs.select(*_key(id_col, text_col))
+    found = t.write("runs", keyed.mapInArrow(_word_runs, "kid long, ktext int, g long, h long, first long, n long, start long, end long"))
+    one = [F.first(c).alias(c) for c in ("kid", "ktext", "first", "n")]
+    kinds = t.write("run_kinds", found.groupBy("g", "h").agg((F.count("*") > 1).alias("settled"), *one))
+    buckets = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g")
+    settled = t.write("settled_runs", found.join(kinds.where("settled").select("g", "h"), ["g", "h"], "left_semi").select("kid", "ktext", "start", "end"))
+    t.drop("runs")
+    rows = kinds.join(buckets, "g", "left_semi").groupBy("kid", "ktext").agg(F.collect_list(F.struct("first", "n", "settled")).alias("rows"))
+    open_ = t.write("open_runs", rows)
+    t.drop("run_kinds")
+    cut = keyed.join(open_, ["kid", "ktext"]).select("kid", "ktext", "data", "rows")
+    windows = t.write("word_windows", cut.mapInArrow(_word_windows, "w1 long, w2 long, kid long, ktext int, start long, end long, settled boolean"))
+    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    more = t.write("more_runs", windows.where("not settled").join(twice, ["w1", "w2"], "left_semi").select("kid", "ktext", "start", "end"))
+    t.drop("open_runs", "word_windows")
+    return settled.unionByName(more).groupBy("kid", "ktext").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """``docs`` -> (kid, ktext, spans): by document key the byte spans of its repeated strings, overlapping, unordered.
 
@@ -356,6 +433,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with the repeated strings cut out of their texts, all rows and columns kept.
 
+    Cut are strings of LENGTH bytes and passages of WORDS words, whatever their bytes, that stand anywhere else too.
     Bytes of a character that a cut leaves broken go too. ``length_col``, where there is one, holds the new number of
     characters. A null text stays null.
     """
@@ -372,7 +450,8 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     columns = docs.columns
     at = columns.index(text_col)
-    spans = repeated_spans(docs, id_col, text_col)
+    spans = repeated_spans(docs, id_col, text_col).unionByName(repeated_passages(docs, id_col, text_col))
+    spans = spans.groupBy("kid", "ktext").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     key = _key(f"`{id_col}`", f"`{text_col}`")[:2]
     taken = {c.lower() for c in docs.columns}
     names = [next(n for n in (c + "_" * k for k in range(99)) if n.lower() not in taken) for c in ("kid", "ktext", "spans")]
