@@ -25,12 +25,12 @@ BITS, SUBSTRING, ROUNDS = 64, 8, 30
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v): rows with an id whose vector has the table's commonest length (ties: the shorter), is finite and not zero."""
+    """(vec_id, v), each once: rows with an id whose vector has the table's commonest length (ties: the shorter), is finite and not zero."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (common["d"] if common else 0))
+    return rows.where(F.size("v") == (common["d"] if common else 0)).dropDuplicates(["vec_id", "v"])
 
 
 def _stack(values) -> np.ndarray:
@@ -72,16 +72,19 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _nearest(q_id, qu, ids, xu, pairs_q, pairs_x, k: int) -> pd.DataFrame:
-    """The k nearest of each query among the pairs, by exact cosine; ties to smaller ids."""
+    """The k nearest ids of each query id among the pairs, by exact cosine; ties to smaller ids. An id's best pair counts."""
     score = np.empty(len(pairs_q))
     for at in range(0, len(pairs_q), 1 << 17):
         score[at : at + (1 << 17)] = np.einsum("ij,ij->i", qu[pairs_q[at : at + (1 << 17)]], xu[pairs_x[at : at + (1 << 17)]])
-    order = np.lexsort([ids[pairs_x], -score, pairs_q])
-    q = pairs_q[order]
+    asked, found = q_id[pairs_q], ids[pairs_x]
+    order = np.lexsort([-score, found, asked])
+    order = order[np.append(True, (np.diff(asked[order]) != 0) | (np.diff(found[order]) != 0))[: len(order)]]
+    order = order[np.lexsort([found[order], -score[order], asked[order]])]
+    q = asked[order]
     first = np.append(True, q[1:] != q[:-1]) if len(q) else np.zeros(0, bool)
     start = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
     top = order[np.arange(len(q)) - start < k]
-    return pd.DataFrame({"query_id": q_id[pairs_q[top]], "vec_id": ids[pairs_x[top]], "score": score[top]})
+    return pd.DataFrame({"query_id": asked[top], "vec_id": found[top], "score": score[top]})
 
 
 def probe(query: np.ndarray, base: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -152,7 +155,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
 
     is_query: condition on ``vec_id``. score: cosine in double precision. Vectors that are null, zero, hold null or
     non-finite components, or aren't of the table's commonest length take no part, nor do rows without an id. Ties go to the
-    smaller id. Repeated rows count once. Where the radius leaves a query fewer than k neighbours of k
+    smaller id. Repeated rows count once; of several vectors of an id the nearest counts. Where the radius leaves a query fewer than k neighbours of k
     there are, its rest comes from an exact scan of the blocks. Other columns are not read; an empty table gives an
     empty result.
     """
@@ -191,17 +194,21 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
                 rerank()
         rerank()
         found = pd.concat(best) if best else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        short = np.flatnonzero(pd.Series(q_id).map(found.groupby("query_id").size()).fillna(0).to_numpy() < min(k, len(ids)))
+        found = found.sort_values("score", ascending=False).drop_duplicates(["query_id", "vec_id"])
+        known, copies = np.unique(ids, return_counts=True)  # an id may have several vectors
+        there = np.minimum(k, len(known) - np.isin(q_id, known))
+        short = np.flatnonzero(pd.Series(q_id).map(found.groupby("query_id").size()).fillna(0).to_numpy() < there)
         for at in range(0, len(short), 64):
             some = short[at : at + 64]
-            close = np.argsort(-(qu[some] @ xu.T), axis=1)[:, : k + 1]
+            close = np.argsort(-(qu[some] @ xu.T), axis=1)[:, : (k + 1) * int(copies.max())]
             a, b = np.repeat(some, close.shape[1]), close.ravel()
             own = q_id[a] != ids[b]
             found = pd.concat([found, _nearest(q_id, qu, ids, xu, a[own], b[own], k)])
-        found = found.drop_duplicates()
-        return found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
+        return found.groupby("query_id").head(k)
 
     near = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(block, "query_id long, vec_id long, score double")
+    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # vectors of an id may lie in several blocks
     # top k of a query among k rows a block: sorted arrays cut to k, merged before the shuffle
     ranked = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("top"))
     return ranked.select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.s")).alias("score"))
