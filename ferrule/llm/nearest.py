@@ -1,7 +1,7 @@
 """Nearest neighbours by multi-index hashing: learned rotated binary codes, cut into substrings, each indexed.
 
 A bounded sample gives the rotation (iterative quantisation) and the Hamming radius. All rows are dealt by hash into
-blocks of a fixed size; a block holds an index for each substring of its codes, and every query probes it: of two codes
+blocks of a fixed size, and so are the queries: a task holds one block of each. A block holds an index for each substring of its codes, and every query probes it: of two codes
 within the radius one substring at least differs by no more than its share, so all values within that share are
 looked up. Candidates within the radius are reranked by exact cosine in the block, which reports its nearest few.
 """
@@ -19,8 +19,8 @@ from ferrule.llm.common import drawn, table, written
 
 #: Rows that the rotation is learned from, and queries that the radius is learned from, drawn by hash (never over twice as many).
 SAMPLE, PROBES = 4096, 128
-#: Rows of a block; share of true neighbours that the radius must hold on the learning queries.
-BLOCK, HELD = 32768, 0.99
+#: Rows of a block and queries of a query block; share of true neighbours that the radius must hold on the learning queries.
+BLOCK, QUERY_BLOCK, HELD = 32768, 32768, 0.99
 BITS, SUBSTRING, ROUNDS = 64, 8, 30
 
 
@@ -150,6 +150,15 @@ def learn(rows: DataFrame, queries: DataFrame, k: int, n: int) -> tuple[tuple[np
     return model, int(np.ceil(np.quantile(top["bits"], HELD)))
 
 
+def dealt(rows: DataFrame, asked: DataFrame, n: int, n_asked: int) -> tuple[DataFrame, DataFrame]:
+    """Rows and queries by hash in blocks: each block of either side once for every block of the other, by (block, part)."""
+    blocks, parts = -(-n // BLOCK), max(1, -(-n_asked // QUERY_BLOCK))
+    place = F.xxhash64("vec_id", F.hash("v"))
+    own = lambda size: F.pmod(place, F.lit(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    return rows.withColumn("block", own(blocks)).withColumn("part", every(parts)), asked.withColumn("part", own(parts)).withColumn("block", every(blocks))
+
+
 def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``vectors`` -> (query_id, rank, vec_id, score): the nearest found of each query, among all rows but its own id.
 
@@ -166,10 +175,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     model, radius = learn(rows, asked, k, n)
-    blocks = -(-n // BLOCK)
     sent = spark.sparkContext.broadcast(model)
-    left = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.hash("v")), F.lit(blocks)).cast("int"))
-    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left, right = dealt(rows, asked, n, asked.count())
 
     def block(key: tuple, base: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         if not len(base) or not len(query):
@@ -207,7 +214,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
         found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
         return found.groupby("query_id").head(k)
 
-    near = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(block, "query_id long, vec_id long, score double")
+    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(block, "query_id long, vec_id long, score double")
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # vectors of an id may lie in several blocks
     # top k of a query among k rows a block: sorted arrays cut to k, merged before the shuffle
     ranked = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("top"))
