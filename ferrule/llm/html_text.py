@@ -59,6 +59,7 @@ class Page:
         self.pieces: list[tuple[int, str]] = []  # (block, text), a None-text piece ends a block
         self.length = max(1, len(text))
         stack, link, pos, n = [0], False, 0, len(text)
+        unclosed: set[str] = set()  # elements without an end tag from here on
         while pos < n:
             m = _TAG.search(text, pos)
             end = m.start() if m else n
@@ -71,10 +72,17 @@ class Page:
             if not name:
                 continue
             closing = m[1] or m[4]
+            if name == "head":
+                continue  # may end without an end tag; what it holds unseen is skipped by itself
             if name in UNSEEN:
-                if not closing and not (m[3] or m[6] or "").endswith("/"):
+                if not closing and not (m[3] or m[6] or "").endswith("/") and name not in unclosed:
                     shut = _CLOSE[name].search(text, pos)
-                    pos = shut.end() if shut else n
+                    if shut:
+                        pos = shut.end()
+                    elif name in ("script", "style"):  # by HTML's rules the rest is code
+                        break
+                    else:  # only the tag is skipped
+                        unclosed.add(name)
             elif name in BLOCKS:
                 self.pieces.append((-1, ""))
                 if closing:
