@@ -157,7 +157,7 @@ class Codec:
         code[first] = head.indices.to_numpy() + len(rest.dictionary)
         return code, bounds, [*[" " + p for p in rest.dictionary.to_pylist()], *head.dictionary.to_pylist()]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Texts (large_string, no nulls) -> all their ids, and where each text's begin, with the end."""
         if not len(texts):
             return np.empty(0, np.int32), np.zeros(1, np.int64)
@@ -168,6 +168,14 @@ class Codec:
         ends = np.cumsum(size[code])
         return flat[_places(np.cumsum(size) - size, size, code)], np.append(0, ends)[bounds]
 
+    def encode(self, text: str) -> tuple[list[int], str]:
+        """Ids of one text, and the same as decimal numbers joined by commas."""
+        ids, bounds = self.encode_all(pa.array([text], pa.large_string()))
+        return ids.tolist(), bytes(self.shown(ids, bounds)[0]).decode()
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
     def shown(self, ids: np.ndarray, bounds: np.ndarray) -> list[memoryview]:
         """Decimal ids joined by commas, of each text."""
         rows = self.digits[ids]
@@ -243,7 +251,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         c = codec()
         for b in batches:
             for at, texts in _portions(b.column(1)):
-                ids, bounds = c.encode(texts)
+                ids, bounds = c.encode_all(texts)
                 each = [c.offsets(t, ids[x:y]) if y > x else ((), ()) for t, x, y in zip(texts.to_pylist(), bounds.tolist(), bounds[1:].tolist())]
                 cols = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)), *[pa.array([e[k] for e in each], pa.list_(pa.int32())) for k in range(2)]]
                 yield pa.record_batch([b.column(0).slice(at, len(texts)), *cols], names=["id", "ids", "starts", "ends"])
@@ -263,7 +271,7 @@ def decode(rows: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec()
         for b in batches:
-            data = [b"".join(c.bytes_of[i] for i in ids or [] if i is not None) for ids in b.column(1).to_pylist()]
+            data = [c.decode([i for i in ids or [] if i is not None]) for ids in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(data, pa.binary()), pa.array([d.decode(errors="replace") for d in data], pa.string())], names=["id", "data", "text"])
 
     return rows.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(work, schema)
@@ -282,7 +290,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         c = codec()
         for b in batches:
             for at, texts in _portions(b.column(1)):
-                ids, bounds = c.encode(texts)
+                ids, bounds = c.encode_all(texts)
                 hashes = [[hashlib.sha256(x).hexdigest() for x in of(ids, bounds)] for of in (c.shown, c.decoded)]
                 yield pa.record_batch([b.column(0).slice(at, len(texts)), pa.array(np.diff(bounds)), *map(pa.array, hashes)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
