@@ -1,9 +1,9 @@
 """SimHash near-duplicates: fingerprints, tiled exact comparison, linked groups.
 
-Every pair of fingerprints within the radius is found. 64 bits are cut into ``radius + 1`` bands, so two such
-fingerprints agree in one band at least; rows that share a band value form a cell. A cell is compared whole, ordered by
-population count, and rows whose population counts differ beyond the radius are never compared. A cell above
-``TILE`` rows is cut into tiles by population count and hash, and only the tile pairs whose counts lie within
+Every pair of fingerprints within the radius is found. 64 bits are cut into ``radius + AGREE`` bands, so two such
+fingerprints agree in AGREE bands at least; rows that share the values of so many bands form a cell. A cell is compared
+whole, ordered by population count, and rows whose population counts differ beyond the radius are never compared. A cell
+above ``TILE`` rows is cut into tiles by population count and hash, and only the tile pairs whose counts lie within
 the radius are dealt out, each to one task. Comparison is numpy exclusive-or and bit counts. A task reports a spanning
 forest of the links it found, never all pairs.
 """
@@ -11,7 +11,7 @@ forest of the links it found, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm import similar
-from ferrule.llm.common import Tables, table, written
+from ferrule.llm.common import Tables, table
 from ferrule.llm.components import components
 
 RADIUS = 4
 SHINGLE = 4
+#: Bands that the rows of a cell share: cells of two of six bands hold about N / 2**21 unrelated fingerprints.
+AGREE = 2
 SEED = 42
 #: Rows of a cell, or of a tile of a larger cell, that one task compares at a time.
 TILE = 2048
@@ -88,8 +89,8 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[root[far]]
 
 
-def _compare(unit: np.ndarray, fp: np.ndarray, tile: np.ndarray, lone: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows ordered by unit, then population count -> a forest of the links within units.
+def pairs(unit: np.ndarray, fp: np.ndarray, tile: np.ndarray, lone: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows ordered by unit, then population count -> portions of the row pairs of a unit within the radius.
 
     In a unit that pairs two different tiles (not ``lone``) only rows of different tiles are compared.
     """
@@ -97,7 +98,7 @@ def _compare(unit: np.ndarray, fp: np.ndarray, tile: np.ndarray, lone: np.ndarra
     count = np.bitwise_count(fp).astype(np.int16)
     last = np.flatnonzero(np.append(unit[1:] != unit[:-1], True))
     end = last[np.searchsorted(last, np.arange(n))]
-    active, d, us, vs, held = np.arange(n), 0, [], [], 0
+    active, d = np.arange(n), 0
     while len(active):
         d += 1
         active = active[active + d <= end[active]]
@@ -106,70 +107,89 @@ def _compare(unit: np.ndarray, fp: np.ndarray, tile: np.ndarray, lone: np.ndarra
         hit = np.bitwise_count(fp[active] ^ fp[other]) <= radius
         hit &= lone[active] | (tile[active] != tile[other])
         if hit.any():
-            us.append(fp[active[hit]])
-            vs.append(fp[other[hit]])
-            held += len(us[-1])
-            if held > LINKS_HELD:
-                u, v = _forest(np.concatenate(us), np.concatenate(vs))
-                us, vs, held = [u], [v], 0
-    if not us:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return _forest(np.concatenate(us), np.concatenate(vs))
+            yield active[hit], other[hit]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """``distinct`` (fp: distinct signed longs) -> (u, v): links that connect all that lie within ``radius`` bits."""
-    bands = radius + 1
-    edges = [64 * k // bands for k in range(bands + 1)]
-    cell = [
-        F.struct(
-            (F.lit(k << 32) + F.shiftrightunsigned("fp", edges[k]).bitwiseAND((1 << (edges[k + 1] - edges[k])) - 1)).cast("long").alias("cell")
-        )
-        for k in range(bands)
-    ]
-    rows = distinct.select("fp", F.bit_count("fp").alias("pc"), F.explode(F.array(*cell)).alias("c")).select(F.col("c.cell").alias("cell"), "pc", "fp")
-    # at most the sum of 2 ** width over the bands rows, whatever the input: 36,864 cells for a radius of 4
-    counts = rows.groupBy("cell").count().where(F.col("count") > tile).select("cell")
-    hot = rows.join(F.broadcast(counts), "cell", "left_semi").groupBy("cell", "pc").agg(F.ceil(F.count("*") / tile).cast("int").alias("k"))
-    hot = written(hot, "hot_cells")
-    plain = rows.join(F.broadcast(counts), "cell", "left_anti").select(
-        "cell", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("tile"), "pc", "fp"
-    )
-    # a tile is numbered pc * 2**20 + part; each row of a hot cell goes to every tile pair within the radius of its own
-    own = rows.join(F.broadcast(hot), ["cell", "pc"]).withColumn("tile", (F.col("pc") * (1 << 20) + F.pmod(F.xxhash64("fp"), F.col("k"))).cast("int"))
-    other = hot.select("cell", F.col("pc").alias("pc2"), "k").select("cell", "pc2", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
+def dealt(t: Tables, rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """``rows`` (cell, fp, more) -> units of comparison (cell, lo, hi), each whole in one task: cells, or tile pairs of crowded cells.
+
+    A tile is numbered pc * 2**20 + part; each row of a crowded cell goes to every tile pair within the radius of its own.
+    """
+    more = [c for c in rows.columns if c not in ("cell", "fp")]
+    rows = rows.withColumn("pc", F.bit_count("fp"))
+    # written tables: Spark knows their sizes, and broadcasts them only where they are small
+    crowded = t.write("crowded", rows.groupBy("cell").count().where(F.col("count") > tile).select("cell"))
+    hot = t.write("hot", rows.join(crowded, "cell", "left_semi").groupBy("cell", "pc").agg(F.ceil(F.count("*") / tile).cast("int").alias("k")))
+    plain = rows.join(crowded, "cell", "left_anti").select("cell", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("tile"), "pc", "fp", *more)
+    own = rows.join(hot, ["cell", "pc"]).withColumn("tile", (F.col("pc") * (1 << 20) + F.pmod(F.xxhash64("fp", *more), F.col("k"))).cast("int"))
+    other = hot.select("cell", F.col("pc").alias("pc2"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
     other = other.select("cell", "pc2", (F.col("pc2") * (1 << 20) + F.col("part")).cast("int").alias("tile2"))
-    crowded = (
+    split = (
         own.drop("k")
         .join(other, "cell")
         .where(F.abs(F.col("pc2") - F.col("pc")) <= radius)
-        .select("cell", F.least("tile", "tile2").alias("lo"), F.greatest("tile", "tile2").alias("hi"), "tile", "pc", "fp")
+        .select("cell", F.least("tile", "tile2").alias("lo"), F.greatest("tile", "tile2").alias("hi"), "tile", "pc", "fp", *more)
     )
-    dealt = plain.unionByName(crowded).repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi", "pc")
+    return plain.unionByName(split).repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi", "pc")
+
+
+def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows as dealt -> whole units: the rows, and what ``pairs`` takes of them."""
+    rest = None
+    for b in batches:
+        block = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        keys = [block.column(c).to_numpy() for c in ("cell", "lo", "hi")]
+        new = np.flatnonzero(sum(np.diff(k) != 0 for k in keys)) + 1
+        rest = block.slice(int(new[-1]) if len(new) else 0)
+        if len(new):
+            yield _unit(block.slice(0, int(new[-1])))
+    if rest is not None and rest.num_rows:
+        yield _unit(rest)
+
+
+def _unit(block: pa.Table) -> tuple:
+    cell, lo, hi = (block.column(c).to_numpy() for c in ("cell", "lo", "hi"))
+    unit = np.cumsum(np.append(0, (cell[1:] != cell[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+    return block, unit, block.column("fp").to_numpy().astype(np.int64).view(np.uint64), block.column("tile").to_numpy(), lo == hi
+
+
+def cells(radius: int, agree: int = AGREE):
+    """All cells of a fingerprint column ``fp``: the values of each choice of ``agree`` of ``radius + agree`` bands."""
+    bands = radius + agree
+    edges = [64 * k // bands for k in range(bands + 1)]
+    out = []
+    for number, chosen in enumerate(combinations(range(bands), agree)):
+        value = F.lit(number).cast("long")
+        for k in chosen:
+            width = edges[k + 1] - edges[k]
+            value = F.shiftleft(value, width).bitwiseOR(F.shiftrightunsigned("fp", edges[k]).bitwiseAND((1 << width) - 1))
+        out.append(value)
+    return F.array(*out)
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, agree: int = AGREE) -> DataFrame:
+    """``distinct`` (fp: distinct signed longs) -> (u, v): links that connect all that lie within ``radius`` bits.
+
+    An empty table gives none; null fingerprints aren't expected.
+    """
+    t = Tables(distinct.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in batches:
-            block = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            cols = {c: block.column(c).to_numpy() for c in ("cell", "lo", "hi")}
-            new = np.flatnonzero((np.diff(cols["cell"]) != 0) | (np.diff(cols["lo"]) != 0) | (np.diff(cols["hi"]) != 0)) + 1
-            cut = int(new[-1]) if len(new) else 0
-            rest = block.slice(cut)
-            if cut:
-                yield from found(block.slice(0, cut), new[new < cut])
-        if rest is not None and rest.num_rows:
-            yield from found(rest, np.empty(0, int))
-
-    def found(block: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
-        unit = np.zeros(block.num_rows, np.int64)
-        unit[new] = 1
-        fp = block.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-        lone = block.column("lo").to_numpy() == block.column("hi").to_numpy()
-        u, v = _compare(np.cumsum(unit), fp, block.column("tile").to_numpy(), lone, radius)
-        if len(u):
-            yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-    return dealt.mapInArrow(work, "u long, v long")
+        for _, unit, fp, own, lone in units(batches):
+            us, vs, held = [], [], 0
+            for a, b in pairs(unit, fp, own, lone, radius):
+                us.append(fp[a])
+                vs.append(fp[b])
+                held += len(a)
+                if held > LINKS_HELD:
+                    u, v = _forest(np.concatenate(us), np.concatenate(vs))
+                    us, vs, held = [u], [v], 0
+            if us:
+                u, v = _forest(np.concatenate(us), np.concatenate(vs))
+                yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+    rows = distinct.select(F.explode(cells(radius, agree)).alias("cell"), "fp")
+    return dealt(t, rows, radius, tile).mapInArrow(work, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -196,14 +216,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less near-duplicates: of each group the document with the smallest id stays, all its columns unchanged.
 
-    Near-duplicates are texts whose 5-word shingles have a Jaccard similarity of 0.8 or more, confirmed pair by pair
-    (``similar``); op4's radius and shingle are that query's own. A group is what such pairs link.
-    Repeated rows of one id count once. Documents without an id can't be named as duplicates; they stay.
+    Near-duplicates are texts whose 5-word shingles have a Jaccard similarity of 0.8 or more: their SimHash fingerprints
+    are compared by tiles, and what lies within that similarity's radius is confirmed pair by pair (``similar``). A group
+    is what such pairs link. Of several texts of the smallest id the one with the smallest hash stays; a text that is in
+    no group stays whatever its id. Repeated rows of one id and text count once. Documents without an id can't be named
+    as duplicates; they stay. An empty table gives an empty one.
     """
-    found = similar.groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    kept = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    from ferrule.llm import similar
+
+    own = docs.where(F.col(f"`{id_col}`").isNotNull())
+    kept = similar.groups(own, id_col, text_col).groupBy("component").agg(F.min("mark").alias("mark")).select("mark.*")
+    taken = {c.lower() for c in docs.columns}
+    names = [next(n for n in (c + "_" * k for k in range(99)) if n.lower() not in taken) for c in ("id1", "h1", "h2")]
+    marked = own.select("*", *[c.alias(n) for c, n in zip(similar.mark(f"`{id_col}`", f"`{text_col}`"), names)])
+    named = marked.join(kept.toDF(*names), names, "left_semi").dropDuplicates(names)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return named.select(*columns).unionByName(docs.where(F.col(f"`{id_col}`").isNull()).select(*columns))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

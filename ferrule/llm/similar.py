@@ -1,11 +1,13 @@
-"""Groups of texts whose word shingles have a Jaccard similarity of SIMILARITY or more.
+"""Groups of texts whose word shingles have a Jaccard similarity of SIMILARITY or more, by their SimHash fingerprints.
 
-A 64-bit SimHash can't hold that similarity: such texts differ by up to 17 bits and more, a radius at which nearly all
-pairs would have to be compared. So candidates come from MinHash cells (BANDS bands of ROWS minima; a pair at 0.8 shares
-no cell with a chance of 3 in a million), and every candidate pair is confirmed by exact Jaccard.
+Such texts differ by up to 20 bits of 64 and more, a radius at which bands of a fingerprint part nothing. So cells come
+from minima of the shingles' hashes (BANDS bands of ROWS minima; a pair at 0.8 shares no cell with a chance of 3 in a
+million), fingerprints are compared within the cells, by tiles (``simhash``), and each pair within RADIUS bits (a pair at 0.8
+is beyond with a chance of about 6 in a million) is confirmed by exact Jaccard.
 
-Equal texts are one node. Each node is first compared with the smallest node of its cells; only in cells that then
-still hold several groups are all pairs of different groups compared, so a large group of near copies stays linear.
+Equal texts are one node. Each node is first compared with one node of each of its cells, another in each; only in
+cells that then still hold several groups are pairs of different groups compared, so a large group of near copies
+stays linear.
 """
 
 from __future__ import annotations
@@ -16,14 +18,17 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.llm import simhash
 from ferrule.llm.common import Tables
 from ferrule.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Bits that fingerprints of texts at SIMILARITY differ by at most: 9.7 are expected, with a deviation of 2.9.
+RADIUS = 24
 BANDS, ROWS = 32, 5
 _SEED = 42
 _RNG = np.random.default_rng(5)
@@ -59,28 +64,38 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return cell.view(np.int64)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes: the bits set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        counts += np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def mark(id_col: str, text_col: str) -> list[Column]:
+    """What a row is told by: its id and two hashes of its text."""
+    text = F.col(text_col).cast("string")
+    return [F.col(id_col), F.xxhash64(text), F.hash(text)]
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> their words' 128-bit hash, number of shingles and cells."""
+    """Texts -> their words' 128-bit hash, number of shingles, fingerprint and cells."""
     for b in batches:
-        keys, sizes, cells = [], [], []
-        for text in b.column(1).cast(pa.large_binary()):
+        keys, sizes, cells, fps = [], [], [], []
+        for text in b.column(3).cast(pa.large_binary()):
             words = _words(text.as_py())
             h = shingles(words)
             keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
             sizes.append(len(h))
+            fps.append(fingerprint(h))
             cells.append(bands(h) if len(h) else np.empty(0, np.int64))
-        yield pa.record_batch([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], names=["id", "key", "size", "cells"])
+        yield pa.record_batch([*b.columns[:3], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], names=["id", "h1", "h2", "key", "size", "fp", "cells"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, sets = [], []
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())):
-            words = _words(text.as_py())
-            if xxhash.xxh3_128_digest(b" ".join(words)) == key:  # not another text of the same id
-                keys.append(key)
-                sets.append(shingles(words).tobytes())
-        yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "hashes"])
+        words = [_words(text.as_py()) for text in b.column(0).cast(pa.large_binary())]
+        yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()), pa.array([shingles(w).tobytes() for w in words], pa.binary())], names=["key", "hashes"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,47 +109,60 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(b.columns[:2], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of cells -> pairs of nodes of different groups, within RADIUS bits and of fit sizes."""
+    for block, unit, fp, tile, lone in simhash.units(batches):
+        key, root = (block.column(c).combine_chunks() for c in ("key", "root"))
+        group = root.dictionary_encode().indices.to_numpy()
+        size = block.column("size").to_numpy()
+        for a, b in simhash.pairs(unit, fp, tile, lone, RADIUS):
+            low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            fit = (group[a] != group[b]) & (10 * low >= round(10 * SIMILARITY) * high)
+            if fit.any():
+                yield pa.record_batch([key.take(pa.array(x[fit])) for x in (a, b)], names=["x", "y"])
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all with ids -> (id, component): one row per row; component is the smallest id of those linked by such similarity.
+    """``docs``, all with ids -> (mark, component): one row per row; component names those linked by such similarity.
 
-    Case (A-Z) and kind of white space don't count. Null texts and texts without words are equal; repeated rows give
-    repeated results; an empty table gives an empty result.
+    mark: (id, h1, h2), the row's id and hashes of its text; component: the smallest mark of its group. Case (A-Z) and
+    kind of white space don't count. Null texts and texts without words are equal; repeated rows give repeated results;
+    an empty table gives an empty result.
     """
     t = Tables(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    columns = {"id": docs.schema[id_col].dataType, "key": T.BinaryType(), "size": T.LongType(), "cells": T.ArrayType(T.LongType())}
-    schema = T.StructType([T.StructField(c, kind) for c, kind in columns.items()])
-    keyed = t.write("keyed", source.mapInArrow(_keys, schema))
-    nodes = t.write("nodes", keyed.groupBy("key").agg(F.min("id").alias("low"), F.first("size").alias("size"), F.first("cells").alias("cells")))
-    spread = nodes.select("key", "size", F.explode("cells").alias("cell"))
-    leads = t.write("leads", spread.groupBy("cell").agg(F.min(F.struct("key", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("cell", "lead"))
-    crowd = t.write("crowd", spread.join(leads, "cell").select("cell", "key", "size", F.col("lead.key").alias("lead"), F.col("lead.size").alias("lead_size")))
+    source = docs.select(*[c.alias(n) for c, n in zip(mark(f"`{id_col}`", f"`{text_col}`"), ("id", "h1", "h2"))], F.col(f"`{text_col}`").cast("string").alias("text"))
+    columns = {"key": T.BinaryType(), "size": T.LongType(), "fp": T.LongType(), "cells": T.ArrayType(T.LongType())}
+    schema = T.StructType([*source.schema.fields[:3], *[T.StructField(c, kind) for c, kind in columns.items()]])
+    keyed = t.write("keyed", source.mapInArrow(_keys, schema).select(F.struct("id", "h1", "h2").alias("mark"), *columns))
+    nodes = t.write("nodes", keyed.groupBy("key").agg(F.min("mark").alias("low"), *[F.first(c).alias(c) for c in ("size", "fp", "cells")]))
+    spread = nodes.select("key", "size", "fp", F.explode("cells").alias("cell"))
+    lead = F.min(F.struct(F.xxhash64("key", "cell").alias("draw"), "key", "size", "fp")).alias("lead")
+    leads = t.write("leads", spread.groupBy("cell").agg(lead, F.count("*").alias("n")).where("n > 1").select("cell", "lead"))
+    crowd = t.write("crowd", spread.join(leads, "cell").select("cell", "key", "size", "fp", "lead"))
     t.drop("leads")
-    # texts of nodes that share a cell; equal texts by one of their ids
-    asked = crowd.select("key").distinct().join(nodes, "key").select("key", F.col("low").alias("id"))
-    owned = asked.join(source, "id").select("key", "text")
+    # texts of nodes that share a cell; equal texts by one of their rows
+    asked = crowd.select("key").distinct().join(nodes, "key").select("low.*")
+    owned = source.join(asked, ["id", "h1", "h2"], "left_semi").select("text")
     sets = t.write("sets", owned.mapInArrow(_sets, "key binary, hashes binary").dropDuplicates(["key"]))
 
-    def similar(a, b):
-        return F.least(a, b) * 10 >= F.greatest(a, b) * round(10 * SIMILARITY)
-
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         of_u = sets.select(F.col("key").alias("u"), F.col("hashes").alias("x"))
         of_v = sets.select(F.col("key").alias("v"), F.col("hashes").alias("y"))
-        return t.write(name, pairs.distinct().join(of_u, "u").join(of_v, "v").select("u", "v", "x", "y").mapInArrow(_confirm, "u binary, v binary"))
+        own = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        return t.write(name, own.join(of_u, "u").join(of_v, "v").select("u", "v", "x", "y").mapInArrow(_confirm, "u binary, v binary"))
 
-    first = confirmed(crowd.where(F.col("key") != F.col("lead")).where(similar(F.col("size"), F.col("lead_size"))).select(F.col("lead").alias("u"), F.col("key").alias("v")), "first")
+    small, large = F.least("size", "lead.size"), F.greatest("size", "lead.size")
+    fit = (F.col("key") != F.col("lead.key")) & (small * 10 >= large * round(10 * SIMILARITY)) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= RADIUS)
+    first = confirmed(crowd.where(fit).select(F.col("lead.key").alias("x"), F.col("key").alias("y")), "first")
     roots = components(first)
-    known = crowd.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    known = t.write("known", known.select("cell", "key", "size", "root", "lead"))
+    known = crowd.join(roots.withColumnRenamed("node", "key"), "key", "left").select("cell", "key", "size", "fp", F.coalesce("root", "key").alias("root"), (F.col("key") == F.col("lead.key")).alias("led"))
+    known = t.write("known", known)
     mixed = known.groupBy("cell").agg((F.min("root") != F.max("root")).alias("mixed"), F.count("*").alias("n")).where("mixed and n > 2").select("cell")
-    some = t.write("mixed", known.where("key != lead").join(mixed, "cell", "left_semi").select("cell", "key", "size", "root"))
-    other = some.select("cell", F.col("key").alias("v"), F.col("size").alias("size2"), F.col("root").alias("root2"))
-    pairs = some.join(other, "cell").where((F.col("key") < F.col("v")) & (F.col("root") != F.col("root2")) & similar(F.col("size"), F.col("size2")))
-    rest = confirmed(pairs.select(F.col("key").alias("u"), "v"), "rest")
+    some = t.write("mixed", known.where("not led").join(mixed, "cell", "left_semi").select("cell", "fp", "key", "size", "root"))
+    rest = confirmed(simhash.dealt(t, some, RADIUS, simhash.TILE).mapInArrow(_near, "x binary, y binary"), "rest")
     stars = t.write("stars", components(first.unionByName(rest)).withColumnRenamed("node", "key"))
     linked = stars.join(nodes.select("key", "low"), "key")
     named = stars.join(linked.groupBy("root").agg(F.min("low").alias("component")), "root").select("key", "component")
     whole = t.write("whole", nodes.select("key", "low").join(named, "key", "left").select("key", F.coalesce("component", "low").alias("component")))
     t.drop("crowd", "sets", "known", "mixed")
-    return keyed.select("id", "key").join(whole, "key").select("id", "component")
+    return keyed.select("mark", "key").join(whole, "key").select("mark", "component")
