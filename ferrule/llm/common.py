@@ -22,6 +22,8 @@ def lexical_id(col: str):
 def drawn(df: DataFrame, key: Column, total: int, n: int) -> DataFrame:
     """About ``n`` of the ``total`` rows of ``df`` by a hash of ``key``; all, if there are no more. Never over 2 * n.
 
-    Only a count is needed to draw, so nothing of the rest is ordered or sent anywhere.
+    Only a count is needed to draw; what the hash has drawn, and nothing else, is then ordered by hash, so the same rows
+    come each time. Rows of equal keys are drawn together or not at all: take a key that tells rows apart.
     """
-    return df if total <= n else df.where(F.pmod(F.xxhash64(key), F.lit(total)) < n).limit(2 * n)
+    h = F.xxhash64(key)
+    return df if total <= n else df.where(F.pmod(h, F.lit(total)) < n).orderBy(h).limit(2 * n)

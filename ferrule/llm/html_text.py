@@ -1,6 +1,7 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded so that no kept node lies under a dropped one.
 
-The nodes are block elements; inline markup belongs to the block around it. The model learns from the pages that name
+The nodes are block elements, and inline elements with a class, id, role or label; other inline markup belongs to the node
+around it. The model learns from the pages that name
 their parts (an article or main element, class and id names, navigation, footer, ...): such names give the labels of a
 bounded sample. Each sampled page is also laid out anew in other ways that pages are built (named and nameless
 wrappers, side bars, notices, forms, reader comments), and half of these layouts hide the names, so the trees learn
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +24,18 @@ from pyspark.sql import types as T
 from ferrule.llm.boosting import Boosted, fit
 from ferrule.llm.common import drawn, table
 
-#: Pages that the model is fitted on, drawn by hash (never over twice as many), and characters of each that are read.
+#: Pages that the model is fitted on, drawn by hash (never over twice as many), among those of so many characters at most.
 TRAIN_PAGES, TRAIN_CHARS = 500, 200_000
+#: Open elements that a start tag looks through for one that it closes; deeper nesting closes by end tags alone.
+LOOK = 256
 #: Other layouts of each sampled page.
 LAYOUTS = 4
 #: Pages whose nodes are scored together.
 GROUP = 128
 #: Elements by kind.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-UNSEEN = frozenset("audio button canvas head iframe math noscript object script select style svg template textarea title video".split())
+UNSEEN = frozenset("button head iframe noscript script select style svg template textarea title".split())
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ENDS_P = BLOCKS - {"html", "body"}
 GOOD_TAGS = frozenset("article main".split())
 BAD_TAGS = frozenset("nav footer aside form header menu dialog".split())
@@ -45,9 +50,9 @@ _ATTR = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLOSE = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in UNSEEN}
 _HASHED = 8
-N_FEATURES = 25 + _HASHED
+N_FEATURES = 26 + _HASHED
 #: Columns that tell names, hidden in half of the training rows.
-_NAMED = [*range(17, 23), *range(25, 25 + _HASHED)]
+_NAMED = [*range(17, 23), *range(26, 26 + _HASHED)]
 
 
 class Page:
@@ -59,6 +64,10 @@ class Page:
         self.pieces: list[tuple[int, str]] = []  # (block, text), a None-text piece ends a block
         self.length = max(1, len(text))
         stack, link, pos, n = [0], False, 0, len(text)
+        self.open: Counter[str] = Counter()  # open nodes by element
+        plain: Counter[str] = Counter()  # open inline elements that are no nodes, since the last node of that element
+        held: list[int] = []  # what ``plain`` was before each open inline node
+        once: set[str] = set()
         unclosed: set[str] = set()  # elements without an end tag from here on
         while pos < n:
             m = _TAG.search(text, pos)
@@ -86,41 +95,70 @@ class Page:
             elif name in BLOCKS:
                 self.pieces.append((-1, ""))
                 if closing:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == name:
-                            del stack[k:]
-                            break
+                    if self.open[name]:
+                        self._close(stack, name)
                     continue
                 link = False
                 self._imply(stack, name)
-                if name in ("html", "body") and name in self.tag:
-                    continue
-                attrs = m[3] or m[6] or ""
-                found = _ATTR.findall(attrs) if attrs else ()
-                self.tag.append(name)
-                self.parent.append(stack[-1])
-                self.depth.append(len(stack))
-                self.names.append(tuple(w.lower() for f in found for w in _NAME.findall(" ".join(f))))
-                for x in (self.chars, self.linked, self.marks):
-                    x.append(0)
-                self.at.append(pos)
-                if name != "hr":
-                    stack.append(len(self.tag) - 1)
-            elif name == "a":
-                link = not closing
+                if name in ("html", "body"):
+                    if name in once:
+                        continue
+                    once.add(name)
+                self._node(stack, name, _ATTR.findall(m[3] or m[6] or ""), pos)
             elif name == "br":
                 self.pieces.append((stack[-1], " "))
+            elif name not in VOID and not (m[3] or m[6] or "").endswith("/"):
+                if name == "a":
+                    link = not closing
+                found = _ATTR.findall(m[3] or m[6] or "") if not closing else ()
+                if found:
+                    self._node(stack, name, found, pos)
+                    held.append(plain[name])
+                    plain[name] = 0
+                elif not closing:
+                    plain[name] += self.open[name] > 0
+                elif plain[name]:
+                    plain[name] -= 1
+                elif self.open[name]:
+                    self._close(stack, name)
+                    plain[name] = held.pop() if held else 0
+
+    def _node(self, stack: list[int], name: str, found: list, pos: int) -> None:
+        self.tag.append(name)
+        self.parent.append(stack[-1])
+        self.depth.append(len(stack))
+        self.names.append(tuple(w.lower() for f in found for w in _NAME.findall(" ".join(f))))
+        for x in (self.chars, self.linked, self.marks):
+            x.append(0)
+        self.at.append(pos)
+        if name != "hr":
+            stack.append(len(self.tag) - 1)
+            self.open[name] += 1
+
+    def _close(self, stack: list[int], name: str) -> None:
+        """Close the innermost open node of that name, which there is, and all in it."""
+        while True:
+            tag = self.tag[stack.pop()]
+            self.open[tag] -= 1
+            if tag == name:
+                break
 
     def _imply(self, stack: list[int], name: str) -> None:
-        """Close what a start tag closes."""
+        """Close what a start tag closes. The stack is searched only where there is something to close."""
         shut = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(name, ())
-        stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}.get(name, ())
-        for k in range(len(stack) - 1, 0, -1):
+        if name in ENDS_P:
+            shut = (*shut, "p")
+        if not any(self.open[t] for t in shut):
+            return
+        stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}.get(name, ("td", "th", "table"))
+        for k in range(len(stack) - 1, max(0, len(stack) - 1 - LOOK), -1):
             tag = self.tag[stack[k]]
-            if tag in shut or tag == "p" and name in ENDS_P:
+            if tag in shut:
+                for x in stack[k:]:
+                    self.open[self.tag[x]] -= 1
                 del stack[k:]
                 break
-            if tag in stop or tag in ("td", "th", "table") and not stop:
+            if tag in stop:
                 break
 
     def _text(self, node: int, text: str, link: bool) -> None:
@@ -160,13 +198,13 @@ class Page:
         cols = [
             np.log1p(own[0]), np.log1p(total), linked / np.maximum(total, 1), own[1] / np.maximum(own[0], 1), own[2] / np.maximum(own[0], 1), marks / np.maximum(total, 1),
             np.log1p(nodes), total / nodes, self.depth, index, kids[up], np.log1p(kids), np.log1p(before), np.log1p(after), np.array(self.at) / self.length, total / max(1.0, total[0]), np.log1p(total[up] / nodes[up]),
-            good, bad, over_good, over_bad, [t in GOOD_TAGS for t in self.tag], [t in BAD_TAGS for t in self.tag], [t in HEADINGS for t in self.tag], [2 * (t in LISTS) + (t in TABLES) for t in self.tag],
+            good, bad, over_good, over_bad, [t in GOOD_TAGS for t in self.tag], [t in BAD_TAGS for t in self.tag], [t in HEADINGS for t in self.tag], [2 * (t in LISTS) + (t in TABLES) for t in self.tag], [t not in BLOCKS for t in self.tag],
         ]
         for k, c in enumerate(cols):
             x[:, k] = c
         for k, ws in enumerate(self.names):
             for w in ws:
-                x[k, 25 + sum(w.encode()) % _HASHED] = 1
+                x[k, 26 + sum(w.encode()) % _HASHED] = 1
         return x
 
     def seeds(self) -> np.ndarray | None:
@@ -191,6 +229,7 @@ class Page:
         largest total log chance are found from the leaves up.
         """
         p = np.clip(p, 0.01, 0.99)
+        p[0] = 0.5  # the page itself is no choice
         weight = 1 + np.array(self.chars) / 40
         keep, drop = (weight * np.log(p)).tolist(), (weight * np.log(1 - p)).tolist()
         for k in range(len(p) - 1, 0, -1):
@@ -214,6 +253,8 @@ _KEEP, _DROP = "trainkeep", "traindrop"
 _WRAPS = ("article", "main", 'div class="post-content"', 'div id="content"', 'section class="entry"', 'div class="story-body"', "div", "td", "body")
 _EDGES = ("nav", "header", "footer", "aside", 'div class="menu"', 'div id="sidebar"', 'div class="top-nav"', 'ul class="navbar"', 'div class="related"', 'div class="breadcrumbs"', 'div id="footer"', 'div class="social-share"', "div")
 _WITHIN = ('div class="ad"', 'div class="cookie-notice"', "form", "aside", 'div class="newsletter-signup"', 'p class="notice"', 'div class="promo"')
+_INLINE_KEPT = ('span class="highlight"', 'a class="link"', 'em class="term"', 'strong id="key"', 'span class="dropcap"', 'code class="literal"', 'time class="date"', 'span class="caps"')
+_INLINE_DROPPED = ('span class="ad"', 'span class="promo"', 'a class="share-link"', 'a class="sponsored"', 'span class="comment-count"', 'small class="notice"', 'label class="newsletter"')
 _AFTER = ('div class="comments"', 'section id="comments"', 'ol class="comment-list"', 'div class="replies"')
 
 
@@ -232,7 +273,14 @@ def laid_out(kept: list[str], other: list[str], rng: np.random.Generator) -> str
     tag = pick(("p", "p", "p", "div", "li", "blockquote"))
     body = [f"<{pick(('h1', 'h2'))}>{clean(kept[0])[:60]}</h1>"] * int(rng.integers(0, 2))
     for text in kept:
-        body.append(f"<{tag}>{clean(text)}</{tag}>")
+        words = clean(text)
+        if rng.random() < 0.25:  # a named inline element, of the text or not
+            at, to = sorted(int(x) for x in rng.integers(0, len(words) + 1, 2))
+            mine = rng.random() < 0.6
+            end = min(to, at + 60) if mine else at
+            inner = words[at:end] if mine else clean(pick(other))[:80]
+            words = words[:at] + part(pick(_INLINE_KEPT if mine else _INLINE_DROPPED), inner, _KEEP if mine else _DROP) + words[end:]
+        body.append(f"<{tag}>{words}</{tag}>")
         if rng.random() < 0.08:
             body.append(part(pick(_WITHIN), pick((lines, links))(), _DROP))
     middle = part(pick(_WRAPS), "".join(body), _KEEP)
@@ -261,29 +309,41 @@ def _layouts(page: Page, y: np.ndarray, rng: np.random.Generator) -> Iterator[tu
         yield new, label.astype(float)
 
 
-def train(pages: DataFrame, html_col: str = "html", rows: int = TRAIN_PAGES) -> Boosted:
-    """Fit on about ``rows`` pages, drawn by hash, that name their content; none: every node is as likely content as not."""
-    own = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).alias("whole"))
-    sample = drawn(own, F.col("whole"), own.count(), rows).select(F.substring("whole", 1, TRAIN_CHARS).alias("html"))
-    rng = np.random.default_rng(1)
-    xs, ys = [np.empty((0, N_FEATURES), np.float32)], [np.empty(0)]
-    for text in sorted(r["html"] for r in sample.collect()):  # about ``rows`` pages of TRAIN_CHARS characters
-        page = Page(text)
-        if (y := page.seeds()) is not None:
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages -> the features and labels of their nodes and of their other layouts, as bytes."""
+    for b in batches:
+        for order, text in zip(b.column(0).to_pylist(), b.column(1)):
+            page, rng = Page(text.as_py()), np.random.default_rng(order % 2**63)
+            if (y := page.seeds()) is None:
+                continue
+            xs, ys = [], []
             for k, (p, label) in enumerate([*_layouts(page, y, rng), *[(page, y)] * LAYOUTS]):
                 x = p.features()
                 if k % 2 and k < LAYOUTS:
                     x[:, _NAMED] = 0
                 xs.append(x)
                 ys.append(label)
-    return fit(np.concatenate(xs), np.concatenate(ys))
+            yield pa.record_batch([pa.array([order]), pa.array([np.concatenate(xs).tobytes()], pa.binary()), pa.array([np.concatenate(ys).tobytes()], pa.binary())], names=["page", "x", "y"])
+
+
+def train(pages: DataFrame, html_col: str = "html", rows: int = TRAIN_PAGES) -> Boosted:
+    """Fit on about ``rows`` pages, drawn by hash among those of TRAIN_CHARS characters or fewer, that name their content.
+
+    None: every node is as likely content as not. Pages are read and laid out in tasks; numbers alone reach the driver.
+    """
+    own = pages.where(F.char_length(F.col(f"`{html_col}`")) <= TRAIN_CHARS).select(F.col(f"`{html_col}`").alias("whole"))
+    sample = drawn(own, F.col("whole"), own.count(), rows).select(F.xxhash64("whole").alias("page"), "whole").repartition(12, "page")
+    found = sample.mapInArrow(_examples, "page long, x binary, y binary").collect()  # about ``rows`` pages of TRAIN_CHARS characters at most
+    found.sort(key=lambda r: r["page"])
+    x = np.frombuffer(b"".join(r["x"] for r in found), np.float32).reshape(-1, N_FEATURES)
+    return fit(x, np.frombuffer(b"".join(r["y"] for r in found)))
 
 
 def extract(pages: DataFrame, model: Boosted, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` -> (id, url, text, n_blocks): main text of each whole page.
 
     Character references are decoded, white space inside a block is one space, blocks are joined by two newlines in page
-    order. A null or empty page has an empty text; one row per row; other columns are not read; an empty table gives an
+    order. Elements that end tags leave open end where HTML ends them. A null or empty page has an empty text; one row per row; other columns are not read; an empty table gives an
     empty result.
     """
     sent = pages.sparkSession.sparkContext.broadcast(model)  # TREES trees of depth DEPTH
