@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import drawn, table, written
@@ -120,9 +120,9 @@ def probe(query: np.ndarray, base: np.ndarray, radius: int) -> Iterator[tuple[np
 def learn(rows: DataFrame, queries: DataFrame, k: int, n: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
     """The rotation, from a bounded sample, and the radius: what holds the true neighbours of a few queries among all rows."""
     spark = rows.sparkSession
-    sample = drawn(rows, F.col("vec_id"), n, SAMPLE).toPandas().sort_values("vec_id", kind="stable")
+    sample = drawn(rows, F.struct("vec_id", "v"), n, SAMPLE).toPandas().sort_values("vec_id", kind="stable")
     model = rotation(_unit(_stack(sample["v"])))
-    asked = drawn(queries, F.col("vec_id"), queries.count(), PROBES).toPandas().sort_values("vec_id", kind="stable")
+    asked = drawn(queries, F.struct("vec_id", "v"), queries.count(), PROBES).toPandas().sort_values("vec_id", kind="stable")
     if not len(asked):
         return model, 0
     q_id, qu = asked["vec_id"].to_numpy(np.int64), _unit(_stack(asked["v"]))
@@ -216,9 +216,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
 
     near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(block, "query_id long, vec_id long, score double")
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # vectors of an id may lie in several blocks
-    # top k of a query among k rows a block: sorted arrays cut to k, merged before the shuffle
-    ranked = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("top"))
-    return ranked.select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.s")).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # Spark cuts each partition to k a query before the shuffle
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, id_col:
     its own, no cluster). A document beyond ``capacity`` is cut into pieces of that size and a rest. A bin holds no two
     pieces of one cluster and at most ``per_source`` of one source; full pieces have a bin to themselves. Pieces are dealt
     by hash into shards of ``shard`` pieces or so, which bounds memory and spreads a hot source evenly; a shard is packed
-    largest first. Bin ids are shard * 2**32 + number. Repeated rows are placed as often as they stand; an empty table
+    largest first, so the result depends on the rows alone, not on machines or partitions. Bin ids are shard * 2**32 + number. Repeated rows are placed as often as they stand; an empty table
     gives an empty result.
     """
     rows = docs.select(
@@ -77,9 +77,11 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, id_col:
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
         "id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("piece") * capacity).alias("size"), "source", "cluster"
     )
-    pieces = written(pieces, "pieces")
-    shards = max(1, -(-pieces.count() // shard))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "cluster"), F.lit(shards)))
+    # equal pieces are counted and numbered, so that copies, rows without an id among them, spread over all shards
+    pieces = written(pieces.groupBy("id", "piece", "start", "size", "source", "cluster").agg(F.count("*").alias("copies")), "pieces")
+    shards = max(1, -(-(pieces.agg(F.sum("copies")).first()[0] or 0) // shard))
+    each = pieces.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    dealt = each.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "cluster", "copy"), F.lit(shards)))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("piece", "start", "size", "bin", "pos")]])
 
     def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -96,8 +98,12 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, id_col:
 
 
 def pack_texts(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns of documents, packed by the bytes of their texts; equal texts are a duplicate cluster."""
-    return pack(docs, F.octet_length("text"), F.col("source"), F.xxhash64("text")).withColumnRenamed("id", "doc_id").withColumnsRenamed({"bin": "bin_id"})
+    """``docs`` with the columns of documents, packed by the bytes of their texts; equal texts are a duplicate cluster.
+
+    A null text has no bytes, is in no cluster and takes a place all the same; repeated rows are placed as often as they stand and
+    are a cluster; an empty table gives an empty result; other columns are not read.
+    """
+    return pack(docs, F.octet_length("text"), F.col("source"), F.when(F.col("text").isNotNull(), F.xxhash64("text"))).withColumnRenamed("id", "doc_id").withColumnsRenamed({"bin": "bin_id"})
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

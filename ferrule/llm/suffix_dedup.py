@@ -238,9 +238,15 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = sort_block(buf, bucket, offsets[:-1] - base, n, lead)
         yield from _spans(t.column("kid").to_numpy(), t.column("ktext").to_numpy(), at >> 20, n, t.column("settled").to_numpy(), repeated)
 
-    rest = None
+    rest, last = None, None
     for b in batches:
         t = pa.Table.from_batches([b])
+        told = [t.column(c).to_numpy() for c in ("g", "kid", "ktext", "at")]  # repeated rows hold the same stretch: once is enough
+        new = np.append(last != [x[0] for x in told], sum(x[1:] != x[:-1] for x in told) > 0) if t.num_rows else np.zeros(0, bool)
+        if not new.any():
+            continue
+        last = [x[-1] for x in told]
+        t = t.filter(pa.array(new))
         rest = t if rest is None else pa.concat_tables([rest, t])
         while True:
             g = rest.column("g").to_numpy()
@@ -341,13 +347,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     more = t.write("more_runs", windows.where("not settled").join(twice, ["w1", "w2"], "left_semi").select("kid", "ktext", "start", "end"))
     t.drop("open_runs", "word_windows")
-    return settled.unionByName(more).groupBy("kid", "ktext").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return settled.unionByName(more).groupBy("kid", "ktext").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """``docs`` -> (kid, ktext, spans): by document key the byte spans of its repeated strings, overlapping, unordered.
 
-    The key is the hashed id and the hashed text, so repeated rows share one; keys without spans are absent.
+    The key is the hashed id and the hashed text, so repeated rows share one; keys without spans are absent. A null text is
+    empty; an empty table gives an empty result.
     """
     t = Tables(docs.sparkSession)
     keyed = docs.select(*_key(id_col, text_col))
@@ -375,20 +382,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         some = open_.select("kid", "ktext", F.filter("rows", keep).alias("rows")).where(F.size("rows") > 0)
         return keyed.join(some, ["kid", "ktext"]).select("kid", "ktext", "data", "rows").mapInArrow(_cut, _CUT)
 
-    spans = cut(lambda r: ~r["crowded"]).repartition("g").sortWithinPartitions("g").mapInArrow(_sort, "kid long, ktext int, start long, end long")
+    spans = cut(lambda r: ~r["crowded"]).repartition("g").sortWithinPartitions("g", "kid", "ktext", "at").mapInArrow(_sort, "kid long, ktext int, start long, end long")
     spans = settled.unionByName(t.write("sorted", spans))
     if buckets.where(F.col("n") > crowded).limit(1).count():
         windows = t.write("windows", cut(lambda r: r["crowded"]).mapInArrow(_windows, "w1 long, w2 long, kid long, ktext int, start long, settled boolean"))
         twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
         more = windows.where("not settled").join(twice, ["w1", "w2"], "left_semi").select("kid", "ktext", "start", (F.col("start") + LENGTH).alias("end"))
         spans = spans.unionByName(t.write("more", more))
-    return spans.groupBy("kid", "ktext").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # a set: repeated rows share a key and have the same spans
+    return spans.groupBy("kid", "ktext").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def _key(id_col: str, text_col: str) -> list:
     """kid, ktext, data: the hashed id, the hashed text, the text's bytes."""
-    text = F.col(text_col).cast("string")
-    return [F.xxhash64(F.col(id_col)).alias("kid"), F.hash(text).alias("ktext"), F.coalesce(text, F.lit("")).cast("binary").alias("data")]
+    text = F.col(f"`{text_col}`").cast("string")
+    return [F.xxhash64(F.col(f"`{id_col}`")).alias("kid"), F.hash(text).alias("ktext"), F.coalesce(text, F.lit("")).cast("binary").alias("data")]
 
 
 def remove(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -404,13 +412,13 @@ def remove(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` -> (id, kept binary, n_bytes, n_spans): each text without the bytes of repeated strings.
+    """``docs`` -> (id, kept binary, n_bytes, n_spans, text): each text without the bytes of repeated strings.
 
     A byte goes if a string of LENGTH bytes that covers it also starts anywhere else, the same document included. One row
     per row; repeated rows count as repeats of each other; a null text is empty; other columns are not read; an empty
-    table gives an empty result.
+    table gives an empty result. ``text`` is what is kept, less the bytes of characters that a cut leaves broken.
     """
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_spans", T.LongType())])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("text", T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -418,10 +426,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for data, spans in zip(b.column(1), b.column(2)):
                 data, s = data.as_py(), spans.as_py() or []
                 rows.append((*remove(data, [(x["start"], x["end"]) for x in s]), len(data)))
-            yield pa.record_batch([b.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["id", "kept", "n_bytes", "n_spans"])
+            cols = [pa.array([r[0] for r in rows], pa.binary()), *[pa.array([r[k] for r in rows], pa.int64()) for k in (2, 1)], pa.array([r[0].decode(errors="ignore") for r in rows], pa.string())]
+            yield pa.record_batch([b.column(0), *cols], names=["id", "kept", "n_bytes", "n_spans", "text"])
 
     spans = repeated_spans(docs, id_col, text_col)
-    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    whole = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return (
         whole.select("id", *_key("id", "text"))
         .join(spans, ["kid", "ktext"], "left")
@@ -435,7 +444,7 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Cut are strings of LENGTH bytes and passages of WORDS words, whatever their bytes, that stand anywhere else too.
     Bytes of a character that a cut leaves broken go too. ``length_col``, where there is one, holds the new number of
-    characters. A null text stays null.
+    characters. A null text stays null; repeated rows count as repeats of each other; an empty table gives an empty one.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,7 +461,7 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = columns.index(text_col)
     spans = repeated_spans(docs, id_col, text_col).unionByName(repeated_passages(docs, id_col, text_col))
     spans = spans.groupBy("kid", "ktext").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    key = _key(f"`{id_col}`", f"`{text_col}`")[:2]
+    key = _key(id_col, text_col)[:2]
     taken = {c.lower() for c in docs.columns}
     names = [next(n for n in (c + "_" * k for k in range(99)) if n.lower() not in taken) for c in ("kid", "ktext", "spans")]
     spans = spans.toDF(*names)
@@ -466,5 +475,5 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op8(spark, sf_dir: str) -> DataFrame:
     found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
-        F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+        F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text"
     )

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ferrule.llm.common import drawn, lexical_id, table, written
 
-#: Labelled rows that the model is fitted on at most, about half of each class, drawn by a hash of their id.
+#: Labelled rows that the model is fitted on, about half of each class, drawn by a hash of their id (never over twice as many).
 TRAIN_ROWS = 8000
 #: Features that the model has at most: those whose class rates differ most.
 VOCABULARY = 20_000
@@ -28,6 +28,8 @@ VOCABULARY = 20_000
 THRESHOLD, OFFENDS = 0.7, 0.5
 #: A word is a feature if its class rates differ by so many standard errors and so many documents hold it.
 WORD_Z, WORD_DOCS = 4.0, 5
+#: Tasks that read the labelled rows.
+TASKS = 24
 ROUNDS, RATE, RIDGE = 300, 0.2, 1e-5
 #: Bytes of a word's beginnings that are features besides the whole word.
 STEMS = (4, 5, 6)
@@ -132,24 +134,19 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold, about half of each class, weighted by class size.
+    """Fit on about ``rows`` labelled documents outside the held-out fold, about half of each class, weighted by class size.
 
-    Labels other than 0 and 1, and rows without an id, are left out.
+    Labels other than 0 and 1, and rows without an id, are left out. Of several texts of an id one is taken, by its hash;
+    without rows of both classes every text scores alike.
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out("id"))
     sizes = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = [F.xxhash64("id"), F.col("id")]
     each = [drawn(own.where(F.col("y") == y), F.col("id"), sizes.get(y, 0), rows // 2) for y in (0, 1)]
-    picked = each[0].unionByName(each[1])
-    sample = written(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-        .join(F.broadcast(picked), "id")  # at most 2 * ``rows`` rows
-        .where("text is not null")
-        .orderBy(*order, F.xxhash64("text"))
-        .limit(rows)
-        .select("text", "y"),
-        "labelled",
-    )
+    picked = each[0].unionByName(each[1]).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
+    # the broadcast side has at most 2 * ``rows`` ids; one text an id is left before anything is dealt out
+    sample = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = written(sample.select("text", "y").repartition(TASKS, F.xxhash64("text")), "labelled")
     taken = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     d0, d1 = taken.get(0, 0), taken.get(1, 0)
     if not d0 or not d1:
@@ -205,7 +202,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` less the rows that score ``threshold`` or more; all their columns, unchanged, in one pass over the texts."""
+    """``docs`` less the rows that score ``threshold`` or more; all their columns, unchanged, in one pass over the texts.
+
+    A null or empty text has one empty sentence; repeated rows all stay or all go; without labels of both classes none
+    goes unless all labels are toxic; an empty table gives an empty one.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
     at = docs.columns.index(text_col)
 
