@@ -1,17 +1,22 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed deltas.
 
 A batch of inserts, deletes and revised counts is resolved against the ledger into signed rows: a delete subtracts what the
-ledger holds, a revision subtracts that and adds the new count. Rows and their sums are written under the batch's name,
-then a commit file; a batch that is committed is skipped, one that broke off is written anew. Totals add up the sums of
-the committed batches, so they never read documents again.
+ledger holds, a revision subtracts that and adds the new count. Rows and their sums are written in a folder of the attempt's
+own, then a commit file under the batch's name, which can be made only once: a batch that is committed is skipped, one that
+broke off leaves nothing that counts, and of two writers one wins. Totals add up the sums of the committed batches, so they
+never read documents again. The ledger is partitioned by a hash of the document, so a batch reads the parts it touches;
+``compact`` folds the batches so far into one.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import scratch_path, table
+from ferrule.llm import byte_bpe
+from ferrule.llm.common import Tables, scratch_path, table
 
 DIMENSIONS = ("source", "lang", "version")
 _KEY = ("doc_id", "version")
@@ -26,28 +31,104 @@ def count_tokens(text: Column, version: str) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(PATTERNS[version])).cast("long")
 
 
+#: Parts of the ledger, by a hash of the document, unless a rollup is given another number.
+PARTS = 16
+
+
+def count_by_codec(docs: DataFrame, path: str, version: str, pattern: str | None = None) -> DataFrame:
+    """``docs`` -> changes that put each row's tokens by the byte-level BPE ranks of the file ``path`` (op10's codec).
+
+    Null ids, sources and languages are kept as they are; a null text has no tokens; an empty table gives an empty result.
+    """
+    rows = docs.select(F.struct("doc_id", "source", "lang").alias("own"), "text")
+    found = byte_bpe.round_trip(rows, path, "own", "text", pattern)
+    return found.select("id.*", F.lit(version).alias("version"), "n_tokens", F.lit("put").alias("kind"))
+
+
 class Rollup:
     """Ledger, totals and commits under ``path``, a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS) -> None:
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(self.parts)).cast("int").alias("part")
+
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def batches(self) -> list[str]:
-        """Names of the committed batches, one for each; the list grows with batches, not with data."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+        """Names of the committed batches, in order."""
+        return [k for k in self._committed() if not k.startswith("compact-")]
+
+    def _committed(self) -> dict[str, str]:
+        """Committed batches, compactions among them, and the folders of their rows; grows with batches, not with data.
+
+        A commit file's content is the folder; one without content is of a writer that broke off in the middle.
+        """
+        fs, folder = self._file("")
+        out = {}
+        for s in fs.listStatus(folder) if fs.exists(folder) else []:
+            f = fs.open(s.getPath())
+            try:
+                out[s.getPath().getName()] = bytes(f.readNBytes(1 << 20)).decode()
+            finally:
+                f.close()
+        return dict(sorted((k, v) for k, v in out.items() if v))
+
+    def _commit_file(self, name: str, folder: str) -> bool:
+        """Make the commit file; False where another writer has made it."""
+        fs, path = self._file(name)
+        try:
+            f = fs.create(path, False)
+        except Exception as e:  # noqa: BLE001  the JVM's, told by its class
+            if "FileAlreadyExists" in str(e) or fs.exists(path) and name in self._committed():
+                return False
+            raise
+        f.write(bytearray(folder.encode()))
+        f.close()
+        return True
+
+    def _folders(self) -> list[str]:
+        """Folders that count: those of the newest compaction and of the batches that it doesn't hold."""
+        found = self._committed()
+        whole = max((k for k in found if k.startswith("compact-")), default=None)
+        held = found[whole].split("\n")[1:] if whole else []
+        own = {k: v.split("\n")[0] for k, v in found.items() if not k.startswith("compact-")}
+        return [*([found[whole].split("\n")[0]] if whole else []), *[v for k, v in own.items() if k not in held]]
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        names = self.batches()
+        names = self._folders()
         if not names:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/{n}" for n in names])
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*[f"{self.path}/{kind}/attempt={n}" for n in names])
+
+    def _write(self, rows: DataFrame) -> str:
+        """Rows and their sums in a new folder."""
+        folder = uuid.uuid4().hex
+        where = f"{self.path}/rows/attempt={folder}"
+        rows.withColumn("part", self._part()).repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(where)
+        sums = self.spark.read.schema(_ROWS).parquet(where).groupBy(*DIMENSIONS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums.write.parquet(f"{self.path}/sums/attempt={folder}")
+        return folder
+
+    def compact(self) -> bool:
+        """Fold all batches committed so far into one; their names stay committed. False where there is nothing to fold."""
+        before = self._committed()
+        names = [k for k in before if not k.startswith("compact-")]
+        if len(self._folders()) < 2:
+            return False
+        folder = self._write(self.ledger().select(*[c.split()[0] for c in _ROWS.split(", ")]))
+        return self._commit_file(f"compact-{len(before):012d}", "\n".join([folder, *names]))
 
     def ledger(self) -> DataFrame:
         """What stands: a row for each document and version, with its counts."""
-        return self._read("rows", _ROWS).groupBy(*_KEY, "source", "lang").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0")
+        return self._standing(self._read("rows", _ROWS))
+
+    @staticmethod
+    def _standing(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*_KEY, "source", "lang").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0")
 
     def totals(self) -> DataFrame:
         """Documents and tokens by source, language and version; combinations that hold none are absent."""
@@ -63,22 +144,23 @@ class Rollup:
         """
         if batch in self.batches():
             return False
+        if batch.startswith("compact-") or "/" in batch:
+            raise ValueError(f"no name for a batch: {batch}")
         bad = F.when(F.col("kind").isin("put", "delete"), F.col("kind") == "delete").otherwise(F.raise_error(F.concat(F.lit("kind "), F.coalesce("kind", F.lit("null")))).cast("boolean"))
         last = F.max(F.struct(bad.alias("gone"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "source", "lang")).alias("new")
-        new = changes.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "version").agg(last)
-        old = self.ledger().withColumnsRenamed({"doc_id": "doc_id_", "version": "version_"})
+        t = Tables(self.spark)
+        new = t.write("changes", changes.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "version").agg(last))
+        parts = [r[0] for r in new.select(self._part()).distinct().collect()]  # at most ``parts`` numbers
+        rows = self._read("rows", _ROWS + ", part int")
+        old = self._standing(rows.where(F.col("part").isin(parts))) if "part" in rows.columns and parts else self.ledger().limit(0)
+        old = old.withColumnsRenamed({"doc_id": "doc_id_", "version": "version_"})
         touched = old.join(new, old.doc_id_.eqNullSafe(new.doc_id) & old.version_.eqNullSafe(new.version), "left_semi").select(
             F.col("doc_id_").alias("doc_id"), "source", "lang", F.col("version_").alias("version"), (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens")
         )
         added = new.where("not new.gone").select("doc_id", "new.source", "new.lang", "version", F.lit(1).cast("long").alias("n_docs"), "new.n_tokens")
-        rows = f"{self.path}/rows/{batch}"
-        touched.unionByName(added).write.mode("overwrite").option("compression", "zstd").parquet(rows)
-        sums = self.spark.read.schema(_ROWS).parquet(rows).groupBy(*DIMENSIONS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/sums/{batch}")
-        jvm = self.spark._jvm
-        mark = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{batch}")
-        mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(mark, True).close()
-        return True
+        folder = self._write(touched.unionByName(added))
+        t.drop("changes")
+        return self._commit_file(batch, folder)
 
 
 def _counts(docs: DataFrame, versions, text: Column = None) -> DataFrame:

@@ -20,8 +20,10 @@ from ferrule.llm.common import table
 
 #: Fixed values: (host, path, verdict) of the default rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Longest context, weight of the next shorter context, and count table size; counts of all URLs go into tables of this size.
-ORDER, SHORTER, BUCKETS = 4, 2.0, 1 << 18
+#: Longest context, and weight of the next shorter context.
+ORDER, SHORTER = 4, 2.0
+#: Slots of a count table for each distinct context and sign that the URLs hold, and the binary logarithm of its least size.
+ROOM, LEAST_BITS = 8, 18
 #: Bins of the calibration, over log-likelihood differences per character from -SPAN to SPAN.
 BINS, SPAN = 2000, 5.0
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -47,8 +49,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return rule, verdict
 
 
-def _slots(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots of context plus sign, slots of context) by order and position, and the length of each URL with its end."""
+def _hashes(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of context plus sign, hashes of context) by order and position, and the length of each URL with its end."""
     lead = b"\x02" * ORDER
     text = b"".join(lead + u + b"\x03" for u in urls)
     sizes = np.array([len(u) + 1 for u in urls])
@@ -63,8 +65,25 @@ def _slots(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         context.append(h)
         h = (h + signs[at] + np.uint64(1 << 20)) * _PRIME
         joint.append(h ^ (h >> np.uint64(31)))
-    fold = lambda x: (np.array(x) * _PRIME >> np.uint64(46)).astype(np.int64)  # noqa: E731  18 bits
-    return fold(joint), fold(context), sizes
+    return np.array(joint), np.array(context), sizes
+
+
+def _fold(h: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of hashes in a table of 2**bits."""
+    return (h * _PRIME >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def table_bits(urls: DataFrame) -> int:
+    """The binary logarithm of the table size for all rows of ``urls`` (url binary): it grows with their distinct contexts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [u or b"" for u in b.column(0).to_pylist()]
+            for at in range(0, len(data), 5000):
+                yield pa.record_batch([pa.array(np.unique(_hashes(data[at : at + 5000])[0]).view(np.int64))], names=["h"])
+
+    n = urls.select("url").mapInArrow(work, "h long").agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    return max(LEAST_BITS, int(ROOM * n).bit_length())
 
 
 def _likelihood(counts: np.ndarray, contexts: np.ndarray, joint: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -79,7 +98,9 @@ def ratios(model: np.ndarray, urls: list[bytes]) -> np.ndarray:
     """Log-likelihood difference per character, allowed less blocked. model: [class][signs or contexts][slot]."""
     if not urls:
         return np.empty(0)
-    joint, context, sizes = _slots(urls)
+    bits = model.shape[-1].bit_length() - 1
+    joint, context, sizes = _hashes(urls)
+    joint, context = _fold(joint, bits), _fold(context, bits)
     each = _likelihood(*model[1], joint, context) - _likelihood(*model[0], joint, context)
     return np.add.reduceat(each, np.cumsum(sizes) - sizes) / sizes
 
@@ -87,11 +108,14 @@ def ratios(model: np.ndarray, urls: list[bytes]) -> np.ndarray:
 def train(urls: DataFrame) -> np.ndarray:
     """(url binary, label 0 or 1, fold 0 or 1) -> counts [fold][class][signs or contexts][slot] over all rows.
 
-    Every task sums its rows into tables of BUCKETS slots; the sums of the tasks are added up before anything is sent.
+    Every task sums its rows into tables whose size grows with the distinct contexts of all rows (``table_bits``), so that slots that
+    two contexts share stay rare; the sums of the tasks are added up before anything is sent.
     """
+    bits = table_bits(urls)
+    slots = 1 << bits
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2, 2, BUCKETS), np.int64)
+        total = np.zeros((2, 2, 2, slots), np.int64)
         for b in batches:
             label, fold = b.column(1).to_numpy(), b.column(2).to_numpy()
             data = b.column(0).to_pylist()
@@ -99,17 +123,18 @@ def train(urls: DataFrame) -> np.ndarray:
                 for f in (0, 1):
                     own = [data[k] for k in np.flatnonzero((label == y) & (fold == f))]
                     for at in range(0, len(own), 5000):
-                        for kind, slots in enumerate(_slots(own[at : at + 5000])[:2]):
-                            total[f, y, kind] += np.bincount(slots.ravel(), minlength=BUCKETS)
+                        for kind, h in enumerate(_hashes(own[at : at + 5000])[:2]):
+                            slot, n = np.unique(_fold(h, bits), return_counts=True)
+                            total[f, y, kind, slot] += n
         flat = total.ravel()
         slot = np.flatnonzero(flat)
         yield pa.record_batch([pa.array(slot), pa.array(flat[slot])], names=["slot", "n"])
 
-    out = np.zeros(8 * BUCKETS, np.int64)
+    out = np.zeros(8 * slots, np.int64)
     sums = urls.select("url", "label", "fold").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = sums.toPandas()  # at most 8 * BUCKETS rows, whatever the input
+    found = sums.toPandas()  # a row for each distinct context, at most: characters in fours, not URLs
     out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return out.reshape(2, 2, 2, BUCKETS)
+    return out.reshape(2, 2, 2, slots)
 
 
 def _scored(rows: DataFrame, columns: list[str], model_of, sent) -> DataFrame:
