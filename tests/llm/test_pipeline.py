@@ -4,21 +4,19 @@ from ferrule.llm import packing, simhash, suffix_dedup, toxicity
 
 def test_stages_follow_each_other(spark, tiny):
     """run() equals the brute-force version: each stage's decisions applied by hand to what the one before kept."""
-    from tests.llm.test_near_duplicates import brute_groups
-    from tests.llm.test_suffix_dedup import brute
+    from tests.llm.test_similar import brute_kept
+    from tests.llm.test_suffix_stage import brute_words
 
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     labels = spark.read.parquet(f"{tiny}/labels.parquet")
     model = toxicity.train(docs, labels)
     table = model.table()
     rows = [(r.doc_id, r.text) for r in docs.collect() if toxicity.noisy_or(model.scores((r.text or "").encode(), table)[0]) < toxicity.THRESHOLD]
-    rows = [(d, t) for (d, t), (_, _, c) in zip(rows, brute_groups(rows)) if c == d]
-    sizes = {d: n - gone for (d, _), (n, gone, _, _) in zip(rows, brute([t for _, t in rows]))}
+    near = set(brute_kept(rows))
+    rows = [(d, t) for d, t in rows if d in near]
+    sizes = {d: len(t.encode()) for (d, _), t in zip(rows, brute_words([t or "" for _, t in rows]))}
     out = corpus_pipeline.run(spark, tiny).toPandas()
-    got = out.groupby("doc_id")["size"].sum().to_dict()
-    assert got.keys() == sizes.keys()
-    # a cut inside a character takes the character's other bytes along
-    assert all(sizes[d] - 6 * 8 <= got[d] <= sizes[d] for d in got)
+    assert out.groupby("doc_id")["size"].sum().to_dict() == sizes
     assert out.groupby("bin_id")["size"].sum().max() <= packing.CAPACITY
 
 
