@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +32,13 @@ def drawn(df: DataFrame, key: Column, total: int, n: int) -> DataFrame:
     """
     h = F.xxhash64(key)
     return df if total <= n else df.where(F.pmod(h, F.lit(total)) < n).orderBy(h).limit(2 * n)
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the values of ``column`` (text or bytes) make ``size`` bytes or so; a longer value is alone."""
+    for b in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)), 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, to - at)
+            at = to

@@ -5,9 +5,9 @@ from minima of the shingles' hashes (BANDS bands of ROWS minima; a pair at 0.8 s
 million), fingerprints are compared within the cells, by tiles (``simhash``), and each pair within RADIUS bits (a pair at 0.8
 is beyond with a chance of about 6 in a million) is confirmed by exact Jaccard.
 
-Equal texts are one node. Each node is first compared with one node of each of its cells, another in each; only in
-cells that then still hold several groups are pairs of different groups compared, so a large group of near copies
-stays linear.
+Equal texts are one node. Each node is first compared with the smallest node of its cells, mostly the same in all; in cells
+that then still hold several groups, with a node of the largest group there, drawn anew for each cell; only in cells that
+even then hold several groups are pairs of different groups compared. So a large group of near copies stays linear.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.llm import simhash
-from ferrule.llm.common import Tables
+from ferrule.llm.common import Tables, portions
 from ferrule.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -80,7 +80,7 @@ def mark(id_col: str, text_col: str) -> list[Column]:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts -> their words' 128-bit hash, number of shingles, fingerprint and cells."""
-    for b in batches:
+    for b in portions(batches, 3):
         keys, sizes, cells, fps = [], [], [], []
         for text in b.column(3).cast(pa.large_binary()):
             words = _words(text.as_py())
@@ -93,7 +93,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in portions(batches, 0):
         words = [_words(text.as_py()) for text in b.column(0).cast(pa.large_binary())]
         yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()), pa.array([shingles(w).tobytes() for w in words], pa.binary())], names=["key", "hashes"])
 
@@ -136,7 +136,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     keyed = t.write("keyed", source.mapInArrow(_keys, schema).select(F.struct("id", "h1", "h2").alias("mark"), *columns))
     nodes = t.write("nodes", keyed.groupBy("key").agg(F.min("mark").alias("low"), *[F.first(c).alias(c) for c in ("size", "fp", "cells")]))
     spread = nodes.select("key", "size", "fp", F.explode("cells").alias("cell"))
-    lead = F.min(F.struct(F.xxhash64("key", "cell").alias("draw"), "key", "size", "fp")).alias("lead")
+    lead = F.min(F.struct("key", "size", "fp")).alias("lead")
     leads = t.write("leads", spread.groupBy("cell").agg(lead, F.count("*").alias("n")).where("n > 1").select("cell", "lead"))
     crowd = t.write("crowd", spread.join(leads, "cell").select("cell", "key", "size", "fp", "lead"))
     t.drop("leads")
@@ -151,18 +151,33 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         own = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
         return t.write(name, own.join(of_u, "u").join(of_v, "v").select("u", "v", "x", "y").mapInArrow(_confirm, "u binary, v binary"))
 
-    small, large = F.least("size", "lead.size"), F.greatest("size", "lead.size")
-    fit = (F.col("key") != F.col("lead.key")) & (small * 10 >= large * round(10 * SIMILARITY)) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= RADIUS)
-    first = confirmed(crowd.where(fit).select(F.col("lead.key").alias("x"), F.col("key").alias("y")), "first")
-    roots = components(first)
-    known = crowd.join(roots.withColumnRenamed("node", "key"), "key", "left").select("cell", "key", "size", "fp", F.coalesce("root", "key").alias("root"), (F.col("key") == F.col("lead.key")).alias("led"))
-    known = t.write("known", known)
-    mixed = known.groupBy("cell").agg((F.min("root") != F.max("root")).alias("mixed"), F.count("*").alias("n")).where("mixed and n > 2").select("cell")
-    some = t.write("mixed", known.where("not led").join(mixed, "cell", "left_semi").select("cell", "fp", "key", "size", "root"))
+    def led(rows: DataFrame) -> DataFrame:
+        """Pairs of each node and the lead of its cell that may be similar."""
+        small, large = F.least("size", "lead.size"), F.greatest("size", "lead.size")
+        fit = (F.col("key") != F.col("lead.key")) & (small * 10 >= large * round(10 * SIMILARITY)) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= RADIUS)
+        return rows.where(fit).select(F.col("lead.key").alias("x"), F.col("key").alias("y"))
+
+    def mixed(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Rows (cell, key, size, fp) with their groups by the links, in cells of three nodes or more that hold several groups."""
+        rooted = rows.select("cell", "key", "size", "fp").join(components(links).withColumnRenamed("node", "key"), "key", "left")
+        known = t.write(f"{name}_known", rooted.withColumn("root", F.coalesce("root", "key")))
+        several = known.groupBy("cell").agg((F.min("root") != F.max("root")).alias("mixed"), F.count("*").alias("n")).where("mixed and n > 2").select("cell")
+        out = t.write(name, known.join(several, "cell", "left_semi"))
+        t.drop(f"{name}_known")
+        return out
+
+    first = confirmed(led(crowd), "first")
+    some = mixed(crowd, first, "some")
+    t.drop("crowd")
+    by_root = some.groupBy("cell", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "cell").alias("draw"), "key", "size", "fp")).alias("lead"))
+    again = by_root.groupBy("cell").agg(F.max(F.struct("n", "root", "lead")).alias("most")).select("cell", F.col("most.root").alias("lead_root"), "most.lead")
+    second = confirmed(led(some.join(again, "cell").where(F.col("root") != F.col("lead_root"))), "second")
+    linked = t.write("linked", first.unionByName(second))
+    some = mixed(some, linked, "more")
     rest = confirmed(simhash.dealt(t, some, RADIUS, simhash.TILE).mapInArrow(_near, "x binary, y binary"), "rest")
-    stars = t.write("stars", components(first.unionByName(rest)).withColumnRenamed("node", "key"))
-    linked = stars.join(nodes.select("key", "low"), "key")
-    named = stars.join(linked.groupBy("root").agg(F.min("low").alias("component")), "root").select("key", "component")
+    stars = t.write("stars", components(linked.unionByName(rest)).withColumnRenamed("node", "key"))
+    lows = stars.join(nodes.select("key", "low"), "key")
+    named = stars.join(lows.groupBy("root").agg(F.min("low").alias("component")), "root").select("key", "component")
     whole = t.write("whole", nodes.select("key", "low").join(named, "key", "left").select("key", F.coalesce("component", "low").alias("component")))
-    t.drop("crowd", "sets", "known", "mixed")
+    t.drop("sets", "some", "more")
     return keyed.select("mark", "key").join(whole, "key").select("mark", "component")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import Tables, table
+from ferrule.llm.common import Tables, portions, table
 
 LENGTH = 400
 GRAM = 64
@@ -108,7 +108,7 @@ def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["kid", "ktext", "g", "h", "at"]
-    for b in batches:
+    for b in portions(batches, 2, 16 << 20):
         data, offsets = _values(b.column(2))
         kid, ktext = b.column(0).to_numpy(), b.column(1).to_numpy()
         raw = memoryview(data)
@@ -288,7 +288,7 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _word_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents -> stretches of windows of WORDS words with one anchor, the WORD_GRAM words that hash lowest."""
     names, piece = ["kid", "ktext", "g", "h", "first", "n", "start", "end"], 1 << 20
-    for b in batches:
+    for b in portions(batches, 2):
         out = [[] for _ in names]
         for kid, ktext, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             words, start, end = _word_hashes(data.as_py() or b"")
