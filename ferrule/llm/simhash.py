@@ -110,10 +110,11 @@ def pairs(unit: np.ndarray, fp: np.ndarray, tile: np.ndarray, lone: np.ndarray,
             yield active[hit], other[hit]
 
 
-def dealt(t: Tables, rows: DataFrame, radius: int, tile: int) -> DataFrame:
+def dealt(t: Tables, rows: DataFrame, radius: int, tile: int, load: DataFrame | None = None) -> DataFrame:
     """``rows`` (cell, fp, more) -> units of comparison (cell, lo, hi), each whole in one task: cells, or tile pairs of crowded cells.
 
     A tile is numbered pc * 2**20 + part; each row of a crowded cell goes to every tile pair within the radius of its own.
+    ``load`` (key, more) is joined to what is dealt out.
     """
     more = [c for c in rows.columns if c not in ("cell", "fp")]
     rows = rows.withColumn("pc", F.bit_count("fp"))
@@ -130,7 +131,8 @@ def dealt(t: Tables, rows: DataFrame, radius: int, tile: int) -> DataFrame:
         .where(F.abs(F.col("pc2") - F.col("pc")) <= radius)
         .select("cell", F.least("tile", "tile2").alias("lo"), F.greatest("tile", "tile2").alias("hi"), "tile", "pc", "fp", *more)
     )
-    return plain.unionByName(split).repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi", "pc")
+    whole = plain.unionByName(split)
+    return (whole if load is None else whole.join(load, "key")).repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi", "pc")
 
 
 def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

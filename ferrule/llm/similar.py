@@ -6,8 +6,8 @@ million), fingerprints are compared within the cells, by tiles (``simhash``), an
 is beyond with a chance of about 6 in a million) is confirmed by exact Jaccard.
 
 Equal texts are one node. Each node is first compared with the smallest node of its cells, mostly the same in all; in cells
-that then still hold several groups, with a node of the largest group there, drawn anew for each cell; only in cells that
-even then hold several groups are pairs of different groups compared. So a large group of near copies stays linear.
+that then still hold several groups the nodes meet with their shingles, and a task reports a spanning forest of the links
+between groups that it has confirmed, never the pairs. So what is shuffled stays linear in a large group of near copies.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bits that fingerprints of texts at SIMILARITY differ by at most: 9.7 are expected, with a deviation of 2.9.
 RADIUS = 24
 BANDS, ROWS = 32, 5
+#: Rows of a cell that meet in one task (of two tiles twice as many), and shingles compared at a time.
+TILE, STRIPE = 512, 4096
 _SEED = 42
 _RNG = np.random.default_rng(5)
 _TURN = _RNG.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
@@ -109,17 +111,52 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(b.columns[:2], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
 
 
+def alike(hashes: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets a[k] and b[k] have SIMILARITY: their intersections by bit counts over the values that several sets hold."""
+    size = np.array([len(h) for h in hashes])
+    values = np.concatenate(hashes)
+    _, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    shared = count[place] > 1
+    row, column = np.repeat(np.arange(len(hashes)), size)[shared], number[place[shared]]
+    both = np.zeros(len(a), np.int64)
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, STRIPE):  # a stripe of the values at a time
+        own = (column >= at) & (column < at + STRIPE)
+        flags = np.zeros((len(hashes), STRIPE), bool)
+        flags[row[own], column[own] - at] = True
+        bits = np.packbits(flags, axis=1).view(np.uint64)
+        for k in range(0, len(a), 1 << 16):
+            x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            both[k : k + (1 << 16)] += np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+    # the intersection over the union, in whole numbers
+    return 10 * both >= round(10 * SIMILARITY) * (size[a] + size[b] - both)
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units of cells -> pairs of nodes of different groups, within RADIUS bits and of fit sizes."""
+    """Units of cells -> a forest of the confirmed links between nodes of different groups."""
     for block, unit, fp, tile, lone in simhash.units(batches):
-        key, root = (block.column(c).combine_chunks() for c in ("key", "root"))
+        key, root, sets = (block.column(c).combine_chunks() for c in ("key", "root", "hashes"))
         group = root.dictionary_encode().indices.to_numpy()
         size = block.column("size").to_numpy()
+        found = []
         for a, b in simhash.pairs(unit, fp, tile, lone, RADIUS):
             low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
             fit = (group[a] != group[b]) & (10 * low >= round(10 * SIMILARITY) * high)
             if fit.any():
-                yield pa.record_batch([key.take(pa.array(x[fit])) for x in (a, b)], names=["x", "y"])
+                found.append((a[fit], b[fit]))
+        if not found:
+            continue
+        a, b = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(unit[a], kind="stable")
+        a, b = a[order], b[order]
+        edges = [0, *(np.flatnonzero(np.diff(unit[a])) + 1).tolist(), len(a)]
+        for s, e in zip(edges, edges[1:]):
+            rows, ends = np.unique(np.concatenate([a[s:e], b[s:e]]), return_inverse=True)
+            x, y = ends[: e - s], ends[e - s :]
+            near = alike([np.frombuffer(sets[k].as_py(), np.uint64) for k in rows.tolist()], x, y)
+            if near.any():
+                u, v = simhash._forest(rows[x[near]], rows[y[near]])
+                yield pa.record_batch([key.take(pa.array(u)), key.take(pa.array(v))], names=["u", "v"])
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,17 +204,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return out
 
     first = confirmed(led(crowd), "first")
-    some = mixed(crowd, first, "some")
-    t.drop("crowd")
-    by_root = some.groupBy("cell", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "cell").alias("draw"), "key", "size", "fp")).alias("lead"))
-    again = by_root.groupBy("cell").agg(F.max(F.struct("n", "root", "lead")).alias("most")).select("cell", F.col("most.root").alias("lead_root"), "most.lead")
-    second = confirmed(led(some.join(again, "cell").where(F.col("root") != F.col("lead_root"))), "second")
-    linked = t.write("linked", first.unionByName(second))
-    some = mixed(some, linked, "more")
-    rest = confirmed(simhash.dealt(t, some, RADIUS, simhash.TILE).mapInArrow(_near, "x binary, y binary"), "rest")
-    stars = t.write("stars", components(linked.unionByName(rest)).withColumnRenamed("node", "key"))
+    some = mixed(crowd, first, "some").select("cell", "fp", "key", "size", "root")
+    rest = t.write("rest", simhash.dealt(t, some, RADIUS, TILE, sets).mapInArrow(_near, "u binary, v binary"))
+    stars = t.write("stars", components(first.unionByName(rest)).withColumnRenamed("node", "key"))
     lows = stars.join(nodes.select("key", "low"), "key")
     named = stars.join(lows.groupBy("root").agg(F.min("low").alias("component")), "root").select("key", "component")
     whole = t.write("whole", nodes.select("key", "low").join(named, "key", "left").select("key", F.coalesce("component", "low").alias("component")))
-    t.drop("sets", "some", "more")
+    t.drop("crowd", "sets", "some")
     return keyed.select("mark", "key").join(whole, "key").select("mark", "component")
