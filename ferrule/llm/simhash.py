@@ -113,22 +113,25 @@ def pairs(unit: np.ndarray, fp: np.ndarray, tile: np.ndarray, lone: np.ndarray,
 def dealt(t: Tables, rows: DataFrame, radius: int, tile: int, load: DataFrame | None = None) -> DataFrame:
     """``rows`` (cell, fp, more) -> units of comparison (cell, lo, hi), each whole in one task: cells, or tile pairs of crowded cells.
 
-    A tile is numbered pc * 2**20 + part; each row of a crowded cell goes to every tile pair within the radius of its own.
+    A tile holds a range of population counts, a quarter of the radius wide, or a part of it, and is numbered
+    range * 2**20 + part; each row of a crowded cell goes to every tile pair within the radius of its own.
     ``load`` (key, more) is joined to what is dealt out.
     """
     more = [c for c in rows.columns if c not in ("cell", "fp")]
+    width = max(1, radius // 4)
     rows = rows.withColumn("pc", F.bit_count("fp"))
+    ranged = rows.withColumn("range", F.floor(F.col("pc") / width).cast("int"))
     # written tables: Spark knows their sizes, and broadcasts them only where they are small
     crowded = t.write("crowded", rows.groupBy("cell").count().where(F.col("count") > tile).select("cell"))
-    hot = t.write("hot", rows.join(crowded, "cell", "left_semi").groupBy("cell", "pc").agg(F.ceil(F.count("*") / tile).cast("int").alias("k")))
+    hot = t.write("hot", ranged.join(crowded, "cell", "left_semi").groupBy("cell", "range").agg(F.ceil(F.count("*") / tile).cast("int").alias("k")))
     plain = rows.join(crowded, "cell", "left_anti").select("cell", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("tile"), "pc", "fp", *more)
-    own = rows.join(hot, ["cell", "pc"]).withColumn("tile", (F.col("pc") * (1 << 20) + F.pmod(F.xxhash64("fp", *more), F.col("k"))).cast("int"))
-    other = hot.select("cell", F.col("pc").alias("pc2"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
-    other = other.select("cell", "pc2", (F.col("pc2") * (1 << 20) + F.col("part")).cast("int").alias("tile2"))
+    own = ranged.join(hot, ["cell", "range"]).withColumn("tile", (F.col("range") * (1 << 20) + F.pmod(F.xxhash64("fp", *more), F.col("k"))).cast("int"))
+    other = hot.select("cell", F.col("range").alias("range2"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
+    other = other.select("cell", "range2", (F.col("range2") * (1 << 20) + F.col("part")).cast("int").alias("tile2"))
     split = (
         own.drop("k")
         .join(other, "cell")
-        .where(F.abs(F.col("pc2") - F.col("pc")) <= radius)
+        .where(F.abs(F.col("range2") - F.col("range")) <= (max(1, radius) - 1) // width + 1)
         .select("cell", F.least("tile", "tile2").alias("lo"), F.greatest("tile", "tile2").alias("hi"), "tile", "pc", "fp", *more)
     )
     whole = plain.unionByName(split)

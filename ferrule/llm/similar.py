@@ -31,7 +31,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS = 24
 BANDS, ROWS = 32, 5
 #: Rows of a cell that meet in one task (of two tiles twice as many), and shingles compared at a time.
-TILE, STRIPE = 512, 4096
+TILE, STRIPE = 1024, 4096
 _SEED = 42
 _RNG = np.random.default_rng(5)
 _TURN = _RNG.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
