@@ -97,11 +97,11 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def prefix_groups(names: DataFrame, scope: str, name: str, longest: int = 6, shortest: int = 3, least: int = 3) -> DataFrame:
-    """Names of a scope that share a prefix: the longest prefixes first, a name's shorter ones suppressed by a longer one.
+    """Names of a scope that share a prefix, whatever their case: the longest prefixes first, a name's shorter ones suppressed by a longer one.
 
     A prefix is reported if ``least`` names or more carry it and it doesn't begin a longer reported prefix.
     """
-    spread = names.select(scope, F.col(name).alias("_name")).distinct().select(scope, "_name", F.explode(F.sequence(F.lit(longest), F.lit(shortest), F.lit(-1))).alias("len"))
+    spread = names.select(scope, F.lower(name).alias("_name")).distinct().select(scope, "_name", F.explode(F.sequence(F.lit(longest), F.lit(shortest), F.lit(-1))).alias("len"))
     found = spread.where(F.length("_name") >= F.col("len")).groupBy(scope, "len", F.expr("substring(_name, 1, len)").alias("prefix")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     longer = found.select(F.col(scope).alias("_s"), F.explode(F.transform(F.sequence(F.lit(shortest), F.length("prefix")), lambda k: F.when(k < F.length("prefix"), F.col("prefix").substr(F.lit(1), k)))).alias("_p")).where("_p is not null").distinct()
     return found.join(longer, (F.col(scope) == F.col("_s")) & (F.col("prefix") == F.col("_p")), "left_anti").select(scope, "prefix", "n")
@@ -177,13 +177,23 @@ def suffix_bridge(left: DataFrame, right: DataFrame, sep: str = "/") -> DataFram
     return a.unionByName(b).distinct()
 
 
+def counted(rows: DataFrame, key: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with the number of rows of their key: counts are joined back, so a key with very many rows stays spread out.
+
+    A null in the key is a value like any other.
+    """
+    counts = rows.groupBy(*key).agg(F.count("*").alias(name)).toDF(*[f"_{c}" for c in key], name)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    return rows.join(counts, same).drop(*[f"_{c}" for c in key])
+
+
 def innermost(points: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     """The smallest span that holds each point. points: (point, at); spans: (span, low, high), ends included.
 
     Spans are spread over cells of ``width``, so the range join is an equi-join on the cell; the smallest span is a
-    partial minimum.
+    partial minimum. Of spans with the same ends only the first counts, so repeated ones cost nothing.
     """
-    spread = spans.select("*", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))).alias("_cell"))
+    spread = spans.groupBy("low", "high").agg(F.min("span").alias("span")).select("*", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))).alias("_cell"))
     hit = points.withColumn("_cell", F.floor(F.col("at") / width)).join(spread, "_cell").where("at between low and high")
     return hit.groupBy("point").agg(F.min(F.struct((F.col("high") - F.col("low")).alias("size"), "span")).alias("m")).select("point", F.col("m.span").alias("span"))
 

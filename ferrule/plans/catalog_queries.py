@@ -28,10 +28,10 @@ def catalog_decode(t):
 
 
 @query("""
-SELECT u AS unit, n, p_brand AS file FROM (SELECT CAST(regexp_extract(p_name || '(' || l_partkey || ')', '[(]([0-9]+)[)]', 1) AS BIGINT) AS u, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A' GROUP BY 1) LEFT JOIN part ON p_partkey = u""")
+SELECT u AS unit, n, p_brand AS file FROM (SELECT CAST(regexp_extract(p_name || '(' || l_partkey || ')', '[(]([0-9]+)[)]', 1) AS BIGINT) AS u, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) LEFT JOIN part ON p_partkey = u""")
 def catalog_callers(t):
     """Call expressions resolved to the file that defines the unit (AGG-11)."""
-    expr = t.lineitem.where("l_returnflag = 'A'").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat("p_name", F.lit("("), F.col("l_partkey").cast("string"), F.lit(")")).alias("e"))
+    expr = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat("p_name", F.lit("("), F.col("l_partkey").cast("string"), F.lit(")")).alias("e"))
     n = expr.groupBy(F.regexp_extract("e", "[(]([0-9]+)[)]", 1).cast("long").alias("unit")).agg(F.count("*").alias("n"))
     return n.join(t.part, F.col("p_partkey") == F.col("unit"), "left").select("unit", "n", F.col("p_brand").alias("file"))
 

@@ -92,9 +92,9 @@ def impact_slots(t):
 WITH c AS (SELECT user_id, event_type, event_id FROM events WHERE value > 90),
 a AS (SELECT user_id, event_type, min(event_id) AS hit FROM c GROUP BY 1, 2), b AS (SELECT user_id, min(event_id) AS hit FROM c GROUP BY 1)
 SELECT e.event_id, CASE WHEN a.hit IS NOT NULL THEN 'both' WHEN b.hit IS NOT NULL THEN 'thread' ELSE 'none' END AS match, coalesce(a.hit, b.hit) AS hit
-FROM events e LEFT JOIN a USING (user_id, event_type) LEFT JOIN b USING (user_id) WHERE e.value < 5""")
+FROM events e LEFT JOIN a USING (user_id, event_type) LEFT JOIN b USING (user_id)""")
 def correlate(t):
     """Events matched to findings by the best key that agrees (JOI-18, LOG-11)."""
     found = t.events.where("value > 90").select("user_id", "event_type", F.col("event_id").alias("hit"))
-    rows = t.events.where("value < 5").select("event_id", "user_id", "event_type")
+    rows = t.events.select("event_id", "user_id", "event_type")
     return G.priority_match(rows, found, [("both", ["user_id", "event_type"]), ("thread", ["user_id"])], ["hit"], F.col("hit")).select("event_id", "match", "hit")

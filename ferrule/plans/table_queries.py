@@ -73,7 +73,7 @@ def health_checks(t):
 
 
 @query("""
-WITH s AS (SELECT DISTINCT p_brand AS brand, p_name AS nm FROM part),
+WITH s AS (SELECT DISTINCT p_brand AS brand, lower(p_name) AS nm FROM part),
 f AS (SELECT brand, k AS len, substr(nm, 1, k) AS prefix, count(*) AS n FROM s, (SELECT unnest([6, 5, 4, 3]) AS k) WHERE length(nm) >= k GROUP BY 1, 2, 3 HAVING count(*) >= 3)
 SELECT brand, prefix, n FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.brand = f.brand AND g.len > f.len AND starts_with(g.prefix, f.prefix))""")
 def prefix_groups(t):
@@ -89,24 +89,24 @@ def unit_ranges(t):
 
 
 @query("""
-WITH c AS (SELECT c_custkey, c_nationkey, c_nationkey * 500.0 AS low, c_nationkey * 500.0 + 20000 + c_custkey % 97 * 100 AS high FROM customer WHERE c_custkey < 150)
+WITH c AS (SELECT c_custkey, c_nationkey, c_nationkey * 500.0 AS low, c_nationkey * 500.0 + 20000 + c_custkey % 97 * 100 AS high FROM customer)
 SELECT o_orderkey AS point, (SELECT min({'size': CAST(high AS BIGINT) - CAST(low AS BIGINT), 'span': c_custkey}).span FROM c WHERE CAST(o_totalprice AS BIGINT) BETWEEN CAST(low AS BIGINT) AND CAST(high AS BIGINT)) AS span
 FROM orders WHERE span IS NOT NULL""")
 def innermost_owner(t):
     """The smallest enclosing range of each point (JOI-13)."""
     low = (F.col("c_nationkey") * 500).cast("long")
-    spans = t.customer.where("c_custkey < 150").select(F.col("c_custkey").alias("span"), low.alias("low"), (low + 20000 + F.col("c_custkey") % 97 * 100).alias("high"))
+    spans = t.customer.select(F.col("c_custkey").alias("span"), low.alias("low"), (low + 20000 + F.col("c_custkey") % 97 * 100).alias("high"))
     return O.innermost(t.orders.select(F.col("o_orderkey").alias("point"), F.round("o_totalprice", 0).cast("long").alias("at")), spans, 10000)
 
 
 @query("""
 SELECT doc_id, CASE WHEN l IS NULL THEN 'deleted' WHEN d IS NULL THEN 'new' WHEN l > d THEN 'stale' ELSE 'fresh' END AS state
 FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.n AS d, b.n AS l
-      FROM (SELECT doc_id, n_chars % 3 AS n FROM documents WHERE n_chars % 5 <> 0) a
+      FROM (SELECT doc_id, n_chars % 3 AS n FROM documents) a
       FULL JOIN (SELECT doc_id, quality + toxic AS n FROM labels) b USING (doc_id))""")
 def stale_check(t):
     """Stored against listed: deleted, new, stale, fresh (LKP-21, JOI-19, SRC-07)."""
-    return O.compare_listing(t.documents.where("n_chars % 5 <> 0").select("doc_id", (F.col("n_chars") % 3).alias("n")), t.labels.select("doc_id", (F.col("quality") + F.col("toxic")).alias("n")), "doc_id", "n")
+    return O.compare_listing(t.documents.select("doc_id", (F.col("n_chars") % 3).alias("n")), t.labels.select("doc_id", (F.col("quality") + F.col("toxic")).alias("n")), "doc_id", "n")
 
 
 @query("""
@@ -120,13 +120,13 @@ def upsert_dedup(t):
 
 @query("""
 SELECT a.p_partkey AS left_id, b.s AS right_id
-FROM part a JOIN (SELECT p_partkey AS s, split_part(p_name, ' ', 2) || CASE WHEN p_size % 2 = 0 THEN '/' || p_brand ELSE '' END AS path FROM part WHERE p_size <= 2) b
+FROM part a JOIN (SELECT p_partkey AS s, split_part(p_name, ' ', 2) || CASE WHEN p_size % 2 = 0 THEN '/' || p_brand ELSE '' END AS path FROM part) b
 ON ('/' || p_type || '/' || split_part(p_name, ' ', 2) || '/' || p_brand) LIKE '%/' || b.path OR ('/' || b.path) LIKE '%/' || p_type || '/' || split_part(p_name, ' ', 2) || '/' || p_brand""")
 def bridge_suffix(t):
     """Paths of which one ends with the other (JOI-06)."""
     word = F.split_part("p_name", F.lit(" "), F.lit(2))
     left = t.part.select(F.col("p_partkey").alias("left_id"), F.concat_ws("/", "p_type", word, "p_brand").alias("left_path"))
-    right = t.part.where("p_size <= 2").select(F.col("p_partkey").alias("right_id"), F.concat(word, F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("/"), "p_brand")).otherwise("")).alias("right_path"))
+    right = t.part.select(F.col("p_partkey").alias("right_id"), F.concat(word, F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("/"), "p_brand")).otherwise("")).alias("right_path"))
     return O.suffix_bridge(left, right)
 
 
@@ -284,7 +284,6 @@ SELECT c_custkey AS id, CASE WHEN n.n_nationkey IS NULL THEN 'unknown' ELSE 'kno
 FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON c_nationkey = n.n_nationkey""")
 def counted_findings(t):
     """Findings with the number of their rule (WIN-01, JOI-01)."""
-    from pyspark.sql import Window
-
     known = t.nation.where("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), F.lit(True).alias("known"))
-    return t.customer.join(known, "c_nationkey", "left").select(F.col("c_custkey").alias("id"), F.when(F.col("known"), "known").otherwise("unknown").alias("state"), F.count("*").over(Window.partitionBy("c_mktsegment")).alias("n_rule"))
+    rows = t.customer.join(known, "c_nationkey", "left").select(F.col("c_custkey").alias("id"), F.when(F.col("known"), "known").otherwise("unknown").alias("state"), "c_mktsegment")
+    return O.counted(rows, ["c_mktsegment"], "n_rule").select("id", "state", "n_rule")

@@ -13,11 +13,13 @@ def lines(docs: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
     return docs.select(*key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line_text")).select(*key, (F.col("pos") + 1).cast("long").alias("line"), F.col("line_text").alias("text"))
 
 
+#: Names of screens of the time before model-view-controller.
+LEGACY_SCREENS = ("AxCadastro", "Modelo2", "Modelo3", "MsNewGetDados")
 #: Findings that one line shows by itself: rule, severity, what fires, what excuses it. Patterns are for stripped lines.
 LINE_RULES = (
     ("MOD-001", "warning", r"(?i)\bConOut\s*\(", None),
     ("MOD-002", "warning", r"(?i)^\s*Public\s+\w", None),
-    ("MOD-004", "info", r"(?i)\bAx(Cadastro|Inclui|Altera|Deleta)\s*\(", None),
+    ("MOD-004", "info", r"(?i)(?<![:.\w])(" + "|".join(LEGACY_SCREENS) + r")\s*\(", None),
     ("PERF-001", "warning", r"(?i)\bSELECT\s+\*", None),
     ("PERF-005", "warning", r"(?i)\b(RecCount|LastRec)\s*\(\s*\)\s*(>|<>|!=)\s*0", None),
     ("SQL-002", "critical", r"(?i)\b(UPDATE\s+\w+\s+SET|DELETE\s+FROM)\b", r"(?i)\bWHERE\b"),
@@ -70,6 +72,25 @@ def pair_findings(rows: DataFrame, key: str, rules=PAIR_RULES) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("snippet", F.lit(""))
 
 
+def mixed_access(rows: DataFrame, key: str) -> DataFrame:
+    """BP-006: units that lock records both by RecLock and by the raw calls; rows (key, unit, line, text) without comments.
+
+    The line is that of the first DbRLock, else of the first dbAppend. Lines outside units are not judged; the same unit
+    name twice in a file is one unit.
+    """
+    at = F.struct("line", F.substring(F.trim("text"), 1, 200).alias("snippet"))
+    first = lambda pattern: F.min(F.when(F.col("text").rlike(pattern), at))
+    by_unit = rows.where("unit is not null").groupBy(key, "unit").agg(first(r"(?i)\bRecLock\s*\(").alias("high"), F.coalesce(first(r"(?i)\bDbRLock\s*\("), first(r"(?i)\bdbAppend\s*\(\s*\)")).alias("raw"))
+    return by_unit.where("high is not null and raw is not null").select(key, "raw.line", F.lit("BP-006").alias("rule_id"), F.lit("error").alias("severity"), "raw.snippet")
+
+
+def encoding_findings(files: DataFrame, key: str = "path") -> DataFrame:
+    """ENC-001: sources for the older compiler that are stored as UTF-8. files: (key, encoding, text); null encodings don't fire."""
+    old = F.lower(key).rlike(r"[.]pr[wx]$") & (F.lower("encoding") == "utf-8")
+    snippet = F.substring(F.regexp_extract(F.coalesce("text", F.lit("")), r"^([^\r\n]*)", 1), 1, 200).alias("snippet")
+    return files.where(old).select(key, F.lit(1).cast("long").alias("line"), F.lit("ENC-001").alias("rule_id"), F.lit("error").alias("severity"), snippet)
+
+
 def unit_findings(units: DataFrame, key: str) -> DataFrame:
     """units (key, line, kind, name, args): naming and parameter count (SEC-002, BP-005)."""
     n = F.when(F.trim("args") == "", 0).otherwise(F.size(F.split("args", ",")))
@@ -79,7 +100,7 @@ def unit_findings(units: DataFrame, key: str) -> DataFrame:
 
 
 def findings(files: DataFrame, key: str = "path") -> DataFrame:
-    """All findings of source files that need no catalog, by line and rule."""
+    """All findings of source files (key, text, and encoding where it is known) that need no catalog, by line and rule."""
     from ferrule.sources.code import source_lines, with_unit
 
     rows = with_unit(source_lines(files, key), key)
@@ -88,6 +109,9 @@ def findings(files: DataFrame, key: str = "path") -> DataFrame:
     doc = [r for r in NEAR_RULES if r[0] == "BP-007"]
     found = line_findings(rows, key).unionByName(near_findings(rows, key, near)).unionByName(near_findings(raw, key, doc)).unionByName(pair_findings(rows, key))
     found = found.unionByName(context_findings(rows.drop("unit"), key)).unionByName(sql_findings(rows.drop("unit"), key)).unionByName(service_findings(rows, key))
+    found = found.unionByName(mixed_access(rows, key))
+    if "encoding" in files.columns:
+        found = found.unionByName(encoding_findings(files, key))
     return found.orderBy(key, "line", "rule_id")
 
 

@@ -88,8 +88,8 @@ def last_wins(rows: DataFrame, key: tuple[str, ...]) -> tuple[DataFrame, DataFra
 
 
 def custom_table(code):
-    """Whether a table code lies in the ranges left to customers."""
-    return F.upper(code).rlike(r"^(Z[A-Z0-9]{2}|SZ[A-Z0-9]|Q[A-Z0-9]{2})$")
+    """Whether a table code lies in the ranges left to customers: SZ and a sign, Q with a letter and a sign, Z and one sign or two."""
+    return F.upper(code).rlike(r"^(SZ[A-Z0-9]|Q[A-Z][A-Z0-9]|Z[A-Z0-9]{1,2})$")
 
 
 def custom_field(name, owner=None):
