@@ -65,13 +65,39 @@ def test_source_facts(spark):
     assert [(r.name, r["mode"]) for r in code.parameter_modes(df).collect()] == [("MV_ABC", "read_write")]
     doc = code.doc_blocks(df).first()
     assert (doc.unit, doc.author, doc.since, doc.returns, len(doc.params), doc.deprecated) == ("FATA050", "Ana", "2024-01-01", "logical", 2, False)
-    kinds = {(r.kind, r.value) for r in code.facts(rows, "path", code.FACTS).collect()}
+    kinds = {(r.kind, r.value) for r in code.named(rows, "path").collect()}
     assert {("include", "prelude.ch"), ("field", "A1_NOME"), ("log", "ConOut"), ("sql", "BeginSql")} <= kinds
     label = spark.createDataFrame([("| Programa....: X\n| Autor : Ana B |", 1), ("Autor: x", 2)], "t string, k int")
     got = [r[0] for r in label.orderBy("k").select(code.header_labels(F.col("t"), ["Programa", "Autor"])).collect()]
     assert got == [{"Programa": "X", "Autor": "Ana B"}, {}]
 
 
+def test_references_of_lines(spark):
+    lines = [
+        'Posicione("SA1", 1, xFilial("SB1") + cX)',
+        'x := RetSqlTab("SC5") + GetMVDef("MV_AAA", "d") + FWMVPar(\'MV_BBB\')',
+        'ZA1->(dbAppend()) ; SC6 -> (RecLock("SC6"))',
+        'FWFormStruct(1, "SA2") ; FWFormStruct(2, "SA3") ; FWFormStruct(nX, "SA4")',
+        'FWExecView("t", "VIEWX") ; FWLoadModel("MODX") ; ExistBlock("PEX")',
+        '::Run(1) ; oA:Go() ; U_abc () ; 9:x()',
+        'RecLock(cAlias) ; DbSelectArea()',
+        "",
+        None,
+    ]
+    df = spark.createDataFrame([("a", k, t) for k, t in enumerate(lines)], "path string, line int, text string")
+    got = sorted((r.line, r.what, r.kind, r.value) for r in code.named(df, "path").collect())
+    want = [(0, "table", "read", "SA1"), (0, "table", "read", "SB1"), (1, "table", "read", "SC5"), (1, "parameter", "read", "MV_AAA"), (1, "parameter", "read", "MV_BBB")]
+    want += [(2, "table", "write", "ZA1"), (2, "table", "lock", "SC6"), (2, "table", "lock", "SC6"), (3, "table", "model", "SA2")]
+    want += [(4, "call", "execview", "VIEWX"), (4, "call", "loadmodel", "MODX"), (4, "call", "execblock", "PEX"), (5, "call", "method", "::Run"), (5, "call", "method", "oA:Go"), (5, "call", "user_func", "abc"), (5, "call", "method", "9:x")]
+    assert got == sorted(want)
+
+
+def test_endpoints(spark):
+    text = '@Get("/a/b")\n@Post(endpoint = "/c", x="y")\n@Other("/z")\nWSMETHOD GET orders WSSERVICE Sales\nWSMETHOD orders WSSERVICE Sales\nWSMETHOD PUT one WSRECEIVE id WSSERVICE Sales\n'
+    got = [(r.line, r.style, r.verb, r.route, r.service) for r in code.endpoints(spark.createDataFrame([("a", text), ("n", None)], "path string, text string")).orderBy("line").collect()]
+    assert got == [(1, "annotation", "GET", "/a/b", ""), (2, "annotation", "POST", "/c", ""), (4, "classic", "GET", "orders", "Sales"), (6, "classic", "PUT", "one", "Sales")]
+
+
 def test_findings(spark):
     df = spark.createDataFrame([("a.prw", SOURCE + "Public cZ\ncSenha := 'abcdef'\nPrivate lMsErroAuto\nPrivate zz\n"), ("b.prw", "BEGIN TRANSACTION\nx\n")], "path string, text string")
     got = {(r.path, r.rule_id, r.line) for r in static.findings(df).collect()}
