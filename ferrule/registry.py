@@ -42,7 +42,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from ferrule.plans import catalog_queries, document_queries, graph_queries, log_queries, source_queries, table_queries  # noqa: F401
+    from ferrule.plans import catalog_queries, document_queries, graph_queries, log_queries, source_queries, table_queries, trace_queries  # noqa: F401
 
 
 load()
