@@ -7,13 +7,15 @@ that an edge doesn't have is empty, its line 0. Nulls in a table's columns count
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import word_match
+from ferrule.functions.text import severity_rank, word_match
+from ferrule.operators.graph import reach
 
 Tables = dict[str, DataFrame]
 #: Edges by the mode in which a source uses a table.
@@ -156,3 +158,49 @@ def lineage(tables: Tables, kind: str, name: str, max_per_edge: int = 20, layers
     if not parts:
         raise ValueError(f"none of the tables of a {kind} trace is given")
     return reduce(DataFrame.unionByName, parts)
+
+
+def trigger_hits(triggers: DataFrame, field: str, depth: int = 1) -> DataFrame:
+    """Triggers that a field sets off, within so many steps: the triggers' rows with ``level`` and ``via``.
+
+    A trigger is met by its source field or by a whole word of its rule or condition; the field that it fills leads to the next
+    step. It comes once, at its first level, by the smallest name that leads to it; ``via`` is empty at level one. Words are
+    spread into keys, so that each step is an equi-join.
+    """
+    words = F.regexp_extract_all(F.concat_ws(" ", "rule", "condition"), F.lit(r"(\w+)"), F.lit(1))
+    met_by = F.array_distinct(F.transform(F.concat(F.array("source"), words), lambda w: F.upper(w)))
+    hops = triggers.select("source", "seq", F.upper("target").alias("dst"), F.explode(met_by).alias("src")).where("src <> ''")
+    nodes = reach(hops.where("dst <> ''").select("src", "dst").distinct(), triggers.sparkSession.createDataFrame([(field.strip().upper(),)], "node string"), depth - 1)
+    first = hops.join(nodes, F.col("src") == F.col("node")).groupBy("source", "seq").agg(F.min(F.struct("level", "node")).alias("m"))
+    via = F.when(F.col("m.level") > 0, F.col("m.node")).otherwise("")
+    return triggers.join(first.select("source", "seq", (F.col("m.level") + 1).alias("level"), via.alias("via")), ["source", "seq"])
+
+
+def impact(rows: DataFrame, tables: Tables, field: str, depth: int = 1, max_per_kind: int = 50) -> DataFrame:
+    """What a change of a field touches: (severity, kind, location, detail), most severe first, then by kind and place.
+
+    rows: (path, unit, line, text) of sources without comments; tables: ``sx3``, ``sx7``, ``sx1``, as far as they are there. A unit
+    counts once, critical if a line of it assigns the field. ``depth`` is held within 1 to 3, and each kind's first
+    ``max_per_kind`` rows are taken: features of the report.
+    """
+    name = field.strip().upper()
+    assigns = F.col("text").rlike(rf"(?i)\b{re.escape(name)}\s*:=|\breplace\s+{re.escape(name)}\b")
+    used = rows.where(word_match(F.col("text"), name)).groupBy("path", "unit").agg(F.min("line").alias("line"), F.max(assigns).alias("writes"))
+    hit = lambda severity, kind, location, detail: (F.lit(severity) if isinstance(severity, str) else severity, F.lit(kind), location, detail)
+    found = [(used, hit(F.when(F.col("writes"), "critical").otherwise("warning"), "source", F.concat_ws(":", "path", F.col("line").cast("string")), F.coalesce("unit", F.lit(""))))]
+    if "sx3" in tables:
+        fields = tables["sx3"]
+        slots = [c for c in FIELD_SLOTS if c in fields.columns]
+        texts = F.array_join(F.array_compact(F.array(*[F.when(word_match(F.col(c), name), F.lit(c)) for c in slots])), ",")
+        place = F.concat_ws(".", "table_code", "field")
+        found.append((fields.where(F.upper("field") == name), hit("warning", "definition", place, F.lit(""))))
+        found.append((fields.withColumn("_texts", texts).where("_texts <> ''"), hit("warning", "dictionary", place, F.col("_texts"))))
+    if "sx7" in tables:
+        place = F.concat(F.concat_ws("#", "source", "seq"), F.lit(" -> "), F.coalesce("target", F.lit("")))
+        found.append((trigger_hits(tables["sx7"], name, min(max(depth, 1), 3)), hit("critical", "trigger", place, F.concat_ws(" ", F.concat(F.lit("depth="), "level"), F.nullif("via", F.lit(""))))))
+    if "sx1" in tables:
+        met = word_match(F.col("validation"), name) | (F.upper("lookup") == name)
+        found.append((tables["sx1"].where(met), hit("warning", "prompt", F.concat_ws("/", "grp", "ord"), F.coalesce("prompt", F.lit("")))))
+    names = ("severity", "kind", "location", "detail")
+    parts = [df.select(*[c.alias(n) for c, n in zip(cols, names)]).orderBy(severity_rank(F.col("severity")), "location", "detail").limit(max_per_kind) for df, cols in found]
+    return reduce(DataFrame.unionByName, parts).orderBy(severity_rank(F.col("severity")), "kind", "location")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ferrule.operators.lineage import lineage
+from ferrule.operators.lineage import impact, lineage
 from ferrule.registry import query
 from ferrule.sources.facts import fact_tables
 
@@ -47,3 +47,18 @@ UNION ALL SELECT 1, 'arch_summary', 'src/7.prw', '', 0::BIGINT, w, '1' FROM part
 def trace_file(t):
     """What a file holds (GRF-14)."""
     return lineage(_sources(t), "file", "7.prw")
+
+
+@query("""
+SELECT * FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'critical' ELSE 'warning' END AS severity, 'source' AS kind, 'src/' || p_partkey || '.prw:1' AS location, 'P' || p_partkey AS detail
+  FROM part WHERE p_size = 3 ORDER BY severity, location LIMIT 50)
+UNION ALL SELECT * FROM (SELECT 'critical', 'trigger', 'F' || p_partkey || '#1 -> F' || p_size AS location, 'depth=1' FROM part WHERE p_partkey = 3 OR p_partkey % 5 = 3 ORDER BY location LIMIT 50)""")
+def impact_report(t):
+    """Sources and triggers that a change of a field touches (GRF-03, 04, 06)."""
+    name = lambda c: F.concat(F.lit("F"), F.col(c).cast("string"))
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(name("p_size"), F.lit(" := 1"))).otherwise(F.concat(F.lit("x("), name("p_size"), F.lit(")")))
+    path = F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".prw"))
+    rows = t.part.select(path.alias("path"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("unit"), F.lit(1).cast("long").alias("line"), text.alias("text"))
+    rule = F.concat(F.lit("F"), (F.col("p_partkey") % 5).cast("string"))
+    triggers = t.part.select(name("p_partkey").alias("source"), F.lit("1").alias("seq"), name("p_size").alias("target"), rule.alias("rule"), F.lit("").alias("condition"))
+    return impact(rows, {"sx7": triggers}, "F3")

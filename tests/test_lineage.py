@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators.lineage import lineage
+from ferrule.operators.lineage import impact, lineage, trigger_hits
 from ferrule.sources.facts import fact_tables
 
 A = """/*/{X.doc} FATA1
@@ -77,3 +77,26 @@ def test_bounds_and_nothing_found(tables):
     with pytest.raises(ValueError):
         lineage({}, "table", "SA1")
     assert lineage({"refs": tables["refs"]}, "field", "A1_COD").agg(F.count("*")).first()[0] == 1
+
+
+TRIGGERS = [("A_1", "1", "A_2", "x", None), ("A_2", "1", "A_3", "f(a_1)", ""), ("A_3", "1", "A_1", "", ""), ("B_1", "1", "B_2", "A_12", None), ("B_3", "1", None, "", "A_3 == 1"), (None, "9", "A_9", "", "")]
+
+
+def test_trigger_hits(spark):
+    df = spark.createDataFrame(TRIGGERS, "source string, seq string, target string, rule string, condition string")
+    got = lambda depth: sorted((r.source, r.level, r.via) for r in trigger_hits(df, "a_1", depth).collect())
+    assert got(1) == [("A_1", 1, ""), ("A_2", 1, "")]
+    assert got(2) == [("A_1", 1, ""), ("A_2", 1, ""), ("A_3", 2, "A_3"), ("B_3", 2, "A_3")]
+    assert got(3) == got(2) and trigger_hits(df.limit(0), "A_1", 2).count() == 0
+
+
+def test_impact(spark):
+    rows = spark.createDataFrame([("a", "F", 3, "x := SA1->A_1"), ("a", "F", 5, "A_1 := 2"), ("b", None, 1, "y(A_1)"), ("c", "G", 1, "A_12 := 1"), ("d", "H", 1, None)], "path string, unit string, line int, text string")
+    t = {"sx7": spark.createDataFrame(TRIGGERS, "source string, seq string, target string, rule string, condition string")}
+    t["sx3"] = spark.createDataFrame([("SA", "A_1", "A_1 > 0", None), ("SA", "A_7", "", "a_1"), ("SA", "A_8", "A_12", None)], "table_code string, field string, validation string, init string")
+    t["sx1"] = spark.createDataFrame([("G", "1", "p", "A_1"), ("G", "2", "q", None)], "grp string, ord string, prompt string, validation string").withColumn("lookup", F.lit(""))
+    got = [tuple(r) for r in impact(rows, t, "a_1", depth=2).collect()]
+    want = [("critical", "source", "a:3", "F"), ("critical", "trigger", "A_1#1 -> A_2", "depth=1"), ("critical", "trigger", "A_2#1 -> A_3", "depth=1"), ("critical", "trigger", "A_3#1 -> A_1", "depth=2 A_3"), ("critical", "trigger", "B_3#1 -> ", "depth=2 A_3")]
+    want += [("warning", "definition", "SA.A_1", ""), ("warning", "dictionary", "SA.A_1", "validation"), ("warning", "dictionary", "SA.A_7", "init"), ("warning", "prompt", "G/1", "p"), ("warning", "source", "b:1", "")]
+    assert got == want
+    assert impact(rows.limit(0), {}, "A_1").count() == 0
