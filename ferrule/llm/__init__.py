@@ -1,4 +1,4 @@
-"""Training-data operators: ten DataFrame operators and the queries that apply them.
+"""Training-data operators: DataFrame operators and the queries that apply them.
 
 Nothing outside this folder, ``tests/llm`` and ``corpus_pipeline.py`` imports it.
 """

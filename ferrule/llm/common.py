@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,3 +43,23 @@ def portions(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
             yield b.slice(at, to - at)
             at = to
+
+
+def pieces(texts: pa.Array, between: re.Pattern[bytes], size: int = 4 << 20) -> Iterator[tuple[int, pa.Array, bytes, bool]]:
+    """(place of the first text, texts, bytes before them, whether they end here): a portion's texts, the long ones cut.
+
+    Texts of ``size`` bytes or fewer come together and whole. A longer one comes alone, in parts of ``size`` bytes and up to
+    the next match of ``between``, a pattern of single ASCII signs, which ends the part.
+    """
+    long, at = np.flatnonzero(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) > size), 0
+    for k in [*long.tolist(), len(texts)]:
+        if k > at:
+            yield at, texts.slice(at, k - at), b"", True
+        if k < len(texts):
+            data, start = texts[k].as_buffer(), 0
+            while start < len(data):
+                cut = between.search(data, start + size)
+                stop = cut.end() if cut else len(data)
+                yield k, pa.array([bytes(data[start:stop])], pa.binary()).cast(pa.string()), bytes(data[max(0, start - 16) : start]), stop == len(data)
+                start = stop
+        at = k + 1
