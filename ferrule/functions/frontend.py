@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normal_path(url: Column) -> Column:
@@ -54,3 +59,63 @@ def version_mismatch(projects: DataFrame, catalog_major: int, name_prefix: str)
     """Projects whose dependency has another major version than the catalog. projects: (path, name, version)."""
     major = F.split_part("version", F.lit("."), F.lit(1)).try_cast("int")
     return projects.where(F.col("name").startswith(name_prefix) & (major != catalog_major)).withColumn("major", major)
+
+
+#: A declared type before a literal, as ``: Name =``, ``: Name[] =`` or ``: Array<Name> =``.
+_TYPED = re.compile(r":\s*(?:Array\s*<\s*([A-Za-z_]\w*)\s*>|([A-Za-z_]\w*)(?:\s*\[\s*\])?)\s*=\s*(?=[\[{])")
+#: A string, a comment, a bracket, or a key with its value where that is a string.
+_IN_LITERAL = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?<![\w.$])([A-Za-z_]\w*)\s*:(?!:)(?:\s*(?:'((?:[^'\\\n]|\\.)*)'|\"((?:[^\"\\\n]|\\.)*)\"))?|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`\\]|\\.)*`|([\[{(])|([\]})])|,", re.S)
+_USE = T.ArrayType(T.StructType([T.StructField("interface", T.StringType()), T.StructField("key_path", T.StringType()), T.StructField("property", T.StringType()), T.StructField("value", T.StringType()), T.StructField("line", T.LongType()), T.StructField("direct", T.BooleanType())]))
+
+
+def literal_keys(text: str | None) -> Iterator[dict]:
+    """Every key of every object literal of a declared type: interface, path of keys down to it, value if a string, line.
+
+    A walk with a stack: each brace opens a level of keys under the key that it stands after; a key is direct if it belongs to
+    the literal itself or to an object of its array. What stands before a colon elsewhere (arguments, conditions) is no key.
+    """
+    for m in _TYPED.finditer(text or ""):
+        start = text[m.end()]
+        levels: list[tuple[str, str]] = []  # bracket, key that it stands after
+        last, direct, begins = "", 2 if start == "[" else 1, False
+        for t in _IN_LITERAL.finditer(text, m.end()):
+            if t[4]:
+                levels.append((t[4], last))
+                last = ""
+            elif t[5]:
+                last = levels.pop()[1] if levels else ""
+                if not levels:
+                    break
+            elif t[1] and begins and levels[-1][0] == "{":
+                last = t[1]
+                path = ".".join([k for _, k in levels if k] + [last])
+                yield {"interface": m[1] or m[2], "key_path": path, "property": last, "value": t[2] or t[3] or "", "line": text.count("\n", 0, t.start()) + 1, "direct": len(levels) == direct}
+            if t[0][:2] not in ("//", "/*"):
+                begins = t[0] in ("{", ",")  # a key stands at the beginning of an object, or after a comma
+
+
+@F.pandas_udf(_USE)
+def _literals(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: list(literal_keys(t)))
+
+
+def interface_use(files: DataFrame) -> DataFrame:
+    """files (path, text) -> (path, interface, key_path, property, value, line, direct): keys of typed object literals, nested ones too.
+
+    ``value`` is empty where the value is no string. Null texts give none; keys that a line repeats count once.
+    """
+    typed = files.where(F.col("text").rlike(r":\s*[A-Za-z_][\w<>\s\[\]]*=\s*[\[{]"))
+    return typed.select("path", F.explode(_literals(F.col("text"))).alias("u")).select("path", "u.*").distinct()
+
+
+def interface_findings(use: DataFrame, catalog: DataFrame) -> DataFrame:
+    """POUI-IFACE: (path, line, component, binding, kind, value) of direct keys that their interface lacks, and of values outside a list.
+
+    catalog: (interface, property, values array; empty: any value). Interfaces that it doesn't know are not judged.
+    """
+    own = use.where("direct").select("path", "line", F.col("interface").alias("component"), F.col("property").alias("binding"), "value")
+    known = catalog.select(F.col("interface").alias("component"), F.col("property").alias("binding"), F.col("values").alias("allowed"))
+    lacking = own.join(known.select("component").distinct(), "component", "left_semi").join(known, ["component", "binding"], "left_anti")
+    outside = own.join(known, ["component", "binding"]).where("value <> '' and size(allowed) > 0 and not array_contains(allowed, value)")
+    columns = ["path", "line", "component", "binding"]
+    return lacking.select(*columns, F.lit("interface").alias("kind"), F.lit("").alias("value")).unionByName(outside.select(*columns, F.lit("value").alias("kind"), "value")).distinct()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from ferrule.functions.text import CNPJ_WEIGHTS, CPF_WEIGHTS, amount_class, check_digits, hmac_sha256, redact
 
@@ -93,13 +93,68 @@ class Masking:
             raise ValueError("a key is needed")
         return cls(settings["key"].encode(), names, settings.get("secrets", "yes").lower() in ("yes", "true", "1", "on"), tuple(x.strip() for x in settings.get("amounts", "").split(",") if x.strip()))
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        """``df`` with its text columns masked and the named amount columns as ranges; secrets go before identifiers."""
-        out = {}
+    def apply(self, df: DataFrame, replaced: str | None = None) -> DataFrame:
+        """``df`` with its texts masked and the named amount columns as ranges; secrets go before identifiers.
+
+        Texts inside structs, arrays and map values are masked too, at any depth; names of fields, keys of maps and other
+        types stay. Nulls stay null, empty arrays empty. With ``replaced``, a column of that name counts what the mask has
+        replaced in the row: a struct with a number for each recogniser, and for amounts, worked out in the same pass.
+        """
+        out, counts = {}, dict.fromkeys((*self.recognisers, *(["AMOUNT"] if self.amounts else [])), F.lit(0))
         for f in df.schema.fields:
+            col = F.col(f"`{f.name}`")
             if f.name in self.amounts:
-                out[f.name] = amount_class(F.col(f"`{f.name}`").try_cast("double"))
-            elif isinstance(f.dataType, StringType):
-                text = redact(F.col(f"`{f.name}`")) if self.secrets else F.col(f"`{f.name}`")
-                out[f.name] = mask(text, self.key, self.recognisers)
+                out[f.name] = amount_class(col.try_cast("double"))
+                counts["AMOUNT"] = counts["AMOUNT"] + col.try_cast("double").isNotNull().cast("int")
+                continue
+            if not _holds_text(f.dataType):
+                continue
+            out[f.name] = _rebuilt(col, f.dataType, lambda c: mask(self._bare(c), self.key, self.recognisers))
+            for label in self.recognisers if replaced else ():
+                found = lambda c, label=label: F.size(RECOGNISERS[label](self._before(c, label)))
+                counts[label] = counts[label] + _summed(col, f.dataType, found)
+        if replaced:
+            out[replaced] = F.struct(*[n.alias(k) for k, n in counts.items()])
         return df.withColumns(out)
+
+    def _bare(self, text: Column) -> Column:
+        return redact(text) if self.secrets else text
+
+    def _before(self, text: Column, label: str) -> Column:
+        """A text as the recogniser of a label meets it: those before it have replaced theirs."""
+        earlier = [r for r in RECOGNISERS if r in self.recognisers]
+        return mask(self._bare(text), self.key, earlier[: earlier.index(label)])
+
+
+def _holds_text(of: DataType) -> bool:
+    if isinstance(of, StructType):
+        return any(_holds_text(f.dataType) for f in of.fields)
+    if isinstance(of, (ArrayType, MapType)):
+        return _holds_text(of.elementType if isinstance(of, ArrayType) else of.valueType)
+    return isinstance(of, StringType)
+
+
+def _rebuilt(col: Column, of: DataType, text: Callable[[Column], Column]) -> Column:
+    """A column with a function applied to every text in it."""
+    if not _holds_text(of):
+        return col
+    if isinstance(of, StructType):
+        return F.when(col.isNotNull(), F.struct(*[_rebuilt(col[f.name], f.dataType, text).alias(f.name) for f in of.fields]))
+    if isinstance(of, ArrayType):
+        return F.transform(col, lambda c: _rebuilt(c, of.elementType, text))
+    if isinstance(of, MapType):
+        return F.transform_values(col, lambda _, c: _rebuilt(c, of.valueType, text))
+    return text(col)
+
+
+def _summed(col: Column, of: DataType, number: Callable[[Column], Column]) -> Column:
+    """The sum of a number of every text in a column; nulls count as 0."""
+    if not _holds_text(of):
+        return F.lit(0)
+    if isinstance(of, StructType):
+        return sum((_summed(col[f.name], f.dataType, number) for f in of.fields), F.lit(0))
+    if isinstance(of, MapType):
+        col, of = F.map_values(col), ArrayType(of.valueType)
+    if isinstance(of, ArrayType):
+        return F.coalesce(F.aggregate(col, F.lit(0), lambda n, c: n + _summed(c, of.elementType, number)), F.lit(0))
+    return F.when(col.isNotNull(), number(col)).otherwise(0)

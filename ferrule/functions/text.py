@@ -147,3 +147,9 @@ CNPJ_WEIGHTS = [[5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2], [6, 5, 4, 3, 2, 9, 8, 7, 6
 def version_key(col: Column) -> Column:
     """Dotted version as an array of numbers, for comparison; parts that aren't numbers count as 0."""
     return F.transform(F.split(col, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
+
+
+def padded_version(col: Column, places: int = 8) -> Column:
+    """``version_key`` with zeros to a fixed length, so that versions of unequal length compare."""
+    digits = F.transform(F.split(col, r"\."), lambda p: F.coalesce(F.regexp_extract(F.trim(p), r"^(\d+)", 1).try_cast("long"), F.lit(0)))
+    return F.slice(F.concat(digits, F.array_repeat(F.lit(0).cast("long"), places)), 1, places)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,15 +189,103 @@ def counted(rows: DataFrame, key: Sequence[str], name: str) -> DataFrame:
     return rows.join(counts, same).drop(*[f"_{c}" for c in key])
 
 
-def innermost(points: DataFrame, spans: DataFrame, width: int) -> DataFrame:
-    """The smallest span that holds each point. points: (point, at); spans: (span, low, high), ends included.
-
-    Spans are spread over cells of ``width``, so the range join is an equi-join on the cell; the smallest span is a
-    partial minimum. Of spans with the same ends only the first counts, so repeated ones cost nothing.
+#: Ends of ranges that a cell of the sweep has, about.
+CELL_ENDS = 20_000
+#: Points of one cell that one group looks up, about; more are dealt over several.
+CELL_POINTS = 200_000
+
+
+def _sweep(spans: pd.DataFrame) -> Iterator[tuple[int, int | None, object]]:
+    """(start, size, span) where the smallest open span changes; spans (low, high, span), ends included."""
+    starts = sorted(zip(spans["low"], spans["high"], spans["span"]))
+    turns, open_, k, last = sorted({*spans["low"], *(spans["high"] + 1)}), [], 0, None
+    for at in turns:
+        while k < len(starts) and starts[k][0] <= at:
+            low, high, span = starts[k]
+            heapq.heappush(open_, (high - low, span, high))
+            k += 1
+        while open_ and open_[0][2] < at:
+            heapq.heappop(open_)
+        now = open_[0][:2] if open_ else (None, None)
+        if now != last:
+            yield (at, *now)
+        last = now
+
+
+def innermost(points: DataFrame, spans: DataFrame, width: int | None = None) -> DataFrame:
+    """The smallest span that holds each point. points: (point, at); spans: (span, low, high), whole numbers, ends included.
+
+    The axis is cut into cells of about equally many ends. A span covers the cells between its ends whole: it is
+    kept as at most two nodes a level of a binary tree over the cells, each with the smallest span only. In the cells of its ends a
+    sweep gives elementary intervals with their smallest open span. A point then takes the last interval that starts
+    before it (an as-of join in its cell) or its cell's covering span, whichever is smaller. No span meets a point, and none meets
+    another outside a cell. Of spans with the same ends the first counts, as does the first of spans of one size. Points that no
+    span holds give no row; crowded cells deal their points over several groups. ``width`` is not used any more.
     """
-    spread = spans.groupBy("low", "high").agg(F.min("span").alias("span")).select("*", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))).alias("_cell"))
-    hit = points.withColumn("_cell", F.floor(F.col("at") / width)).join(spread, "_cell").where("at between low and high")
-    return hit.groupBy("point").agg(F.min(F.struct((F.col("high") - F.col("low")).alias("size"), "span")).alias("m")).select("point", F.col("m.span").alias("span"))
+    once = spans.where("low <= high").groupBy(F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high")).agg(F.min("span").alias("span"))
+    kind = once.schema["span"].dataType.simpleString()
+    ends = once.select(F.explode(F.array("low", F.col("high") + 1)).alias("at"))
+    n = ends.count()
+    parts = max(1, min(1 << 14, n // CELL_ENDS))
+    cuts = sorted({int(x) for x in ends.approxQuantile("at", [k / parts for k in range(1, parts)], 1 / (4 * parts))}) if parts > 1 else []
+    cell_of = lambda c: _cell(c, cuts)
+    depth = max(1, len(cuts).bit_length())
+    placed = once.select("low", "high", "span", cell_of(F.col("low")).alias("first"), cell_of(F.col("high")).alias("last"))
+    small = F.struct((F.col("high") - F.col("low")).alias("size"), "span")
+
+    def climb(acc, level):
+        left, right = acc["left"], acc["right"]
+        go = left <= right
+        one, other = go & (left % 2 == 1), go & (right % 2 == 0)
+        node = lambda c, x: F.when(c, F.array(F.struct(level.alias("level"), x.alias("node")))).otherwise(F.array().cast("array<struct<level:int,node:int>>"))
+        up = lambda c, x: F.floor(F.when(c, x).otherwise(0) / 2).cast("int")
+        nodes = F.concat(acc["nodes"], node(one, left), node(other, right))
+        # beyond the point where the ends meet nothing more is covered
+        return F.struct(F.when(go, up(go, left + one.cast("int"))).otherwise(1).alias("left"), F.when(go, F.floor((right - other.cast("int")) / 2).cast("int")).otherwise(0).alias("right"), nodes.alias("nodes"))
+
+    inner = F.aggregate(
+        F.sequence(F.lit(0), F.lit(depth)),
+        F.struct((F.col("first") + 1).alias("left"), (F.col("last") - 1).alias("right"), F.array().cast("array<struct<level:int,node:int>>").alias("nodes")),
+        climb,
+    )
+    nodes = placed.where("last - first > 1").select(small.alias("s"), F.explode(inner["nodes"]).alias("n")).groupBy("n.level", "n.node").agg(F.min("s").alias("s"))
+    cells = points.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("cell"))
+    above = cells.select("cell", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda k: F.floor(F.col("cell") / F.pow(F.lit(2), k)).cast("int"))).alias("level", "node"))
+    cover = above.join(nodes, ["level", "node"]).groupBy("cell").agg(F.min("s").alias("cover"))
+    own = placed.select("low", "high", "span", F.explode(F.array_distinct(F.array("first", "last"))).alias("cell"))
+
+    def elementary(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *x) for x in _sweep(frame)], columns=["cell", "at", "size", "span"])
+
+    intervals = own.groupBy("cell").applyInPandas(elementary, f"cell int, at long, size long, span {kind}")
+    put = points.select("point", F.col("at").cast("long").alias("at")).where("at is not null").withColumn("cell", cell_of(F.col("at")))
+    # as many groups a cell as its points ask for; the counts are one row a cell
+    shares = put.groupBy("cell").count().select("cell", F.ceil(F.col("count") / CELL_POINTS).cast("int").alias("shares"))
+    put = put.join(F.broadcast(shares), "cell").withColumn("share", F.pmod(F.xxhash64("point", "at"), F.col("shares")).cast("int")).drop("shares")
+    given = intervals.join(F.broadcast(shares), "cell").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    none = F.lit(None)
+    both = put.select("cell", "share", "at", F.lit(1).alias("k"), "point", F.lit(None).cast("struct<size:bigint,span:" + kind + ">").alias("s")).unionByName(
+        given.select("cell", "share", "at", F.lit(0).alias("k"), none.cast(points.schema["point"].dataType).alias("point"), F.struct("size", "span").alias("s"))
+    )
+    w = Window.partitionBy("cell", "share").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("s", F.last("s", ignorenulls=True).over(w)).where("k = 1").join(F.broadcast(cover), "cell", "left")
+    best = F.array_min(F.filter(F.array("s", "cover"), lambda x: x["span"].isNotNull()))
+    return found.withColumn("best", best).where("best is not null").groupBy("point").agg(F.min("best").alias("m")).select("point", F.col("m.span").alias("span"))
+
+
+def _cell(at: Column, cuts: list[int]) -> Column:
+    """The cell of a position: how many cuts are at or before it, found by halving."""
+    if not cuts:
+        return F.lit(0)
+    edges = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # a constant
+
+    def halve(acc, _):
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        left = F.get(edges, middle) > at
+        go = acc["low"] < acc["high"]
+        return F.struct(F.when(go & ~left, middle + 1).otherwise(acc["low"]).alias("low"), F.when(go & left, middle).otherwise(acc["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), halve)["low"]
 
 
 def unknown(used: DataFrame, catalog: DataFrame, key: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:

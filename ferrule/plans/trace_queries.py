@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrule.operators.lineage import impact, lineage
+from ferrule.plans.store_queries import stored
 from ferrule.registry import query
-from ferrule.sources.facts import fact_tables
 
 _UNIT = "'P' || p_partkey AS unit, 'src/' || p_partkey || '.prw' AS path"
 
 
 def _sources(t):
-    """(path, text): a unit that calls another, locks a table and reads a parameter, by the part's size."""
-    size = F.col("p_size").cast("string")
-    code = F.concat(F.lit("User Function P"), F.col("p_partkey").cast("string"), F.lit("()\n  U_P"), size, F.lit('()\n  RecLock("SA'), (F.col("p_size") % 10).cast("string"), F.lit('", .T.)\n  x := SuperGetMV("MV_S'), size, F.lit('")\nReturn\n'))
-    return fact_tables(t.part.select(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".prw")).alias("path"), code.alias("text")))
+    """The stored facts of the derived sources: each source is read and stripped once."""
+    return stored(t).tables()
 
 
 @query(f"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.operators.tabular import unknown
+from ferrule.sources.embedded_sql import SYSTEM_COLUMNS
 
 
 def _found(df: DataFrame, rule: str, severity: str, subject: str, detail: str) -> DataFrame:
@@ -49,7 +50,7 @@ def unreferenced(fields: DataFrame, texts: DataFrame) -> DataFrame:
     return _found(fields.where("custom").select(F.upper(F.trim("field")).alias("field")).join(words, "field", "left_anti"), "SX-005", "warning", "field", "field")
 
 
-def unindexed(sql_columns: DataFrame, indexes: DataFrame, excluded: tuple[str, ...] = ("D_E_L_E_T_", "R_E_C_N_O_")) -> DataFrame:
+def unindexed(sql_columns: DataFrame, indexes: DataFrame, excluded: tuple[str, ...] = SYSTEM_COLUMNS) -> DataFrame:
     """PERF-006: columns that queries filter or sort by and no index of their table holds; branch columns excluded.
 
     sql_columns: (path, line, table_code, column); indexes: (table_code, key: columns joined by +).

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lines(docs: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
@@ -22,7 +24,6 @@ LINE_RULES = (
     ("MOD-004", "info", r"(?i)(?<![:.\w])(" + "|".join(LEGACY_SCREENS) + r")\s*\(", None),
     ("PERF-001", "warning", r"(?i)\bSELECT\s+\*", None),
     ("PERF-005", "warning", r"(?i)\b(RecCount|LastRec)\s*\(\s*\)\s*(>|<>|!=)\s*0", None),
-    ("SQL-002", "critical", r"(?i)\b(UPDATE\s+\w+\s+SET|DELETE\s+FROM)\b", r"(?i)\bWHERE\b"),
     ("SEC-004", "warning", r"(?i)\b\w*(password|senha|token|secret|api_?key)\w*\s*:?=\s*[\"'][^\"']{4,}[\"']", None),
     ("BP-002b", "warning", r"(?i)^\s*Private\s+\w", r"(?i)^\s*Private\s+(MV_PAR\w*|lMsErroAuto|lMsHelpAuto|aRotina|cCadastro)\b"),
     ("BP-008", "critical", r"(?i)^\s*(Local|Private|Static|Public)\s+(cFilAnt|cEmpAnt|cUserName|dDataBase|cModulo|nModulo|oMainWnd)\b", None),
@@ -91,17 +92,36 @@ def encoding_findings(files: DataFrame, key: str = "path") -> DataFrame:
     return files.where(old).select(key, F.lit(1).cast("long").alias("line"), F.lit("ENC-001").alias("rule_id"), F.lit("error").alias("severity"), snippet)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _cut(args: pd.Series) -> pd.Series:
+    from ferrule.sources.arguments import cut
+
+    return args.map(cut)
+
+
+#: Parameters that a unit may have before BP-005 fires.
+MOST_PARAMETERS = 6
+
+
 def unit_findings(units: DataFrame, key: str) -> DataFrame:
-    """units (key, line, kind, name, args): naming and parameter count (SEC-002, BP-005)."""
-    n = F.when(F.trim("args") == "", 0).otherwise(F.size(F.split("args", ",")))
+    """units (key, line, kind, name, args) -> naming and parameter count (SEC-002, BP-005); null args count as none.
+
+    ``args`` is an array, or an argument list as text.
+    """
+    if dict(units.dtypes)["args"] == "string":
+        units = units.withColumn("args", _cut(F.col("args")))
+    n = F.coalesce(F.size("args"), F.lit(0))
     entry = F.col("name").rlike(r"^[A-Z]{2,3}[0-9]{2,4}[A-Z]{2,}$|^[A-Z]{1,3}_|^[A-Z][0-9A-Z]{2}[A-Z0-9]+$")
-    fired = F.array_compact(F.array(F.when(n > 6, F.struct(F.lit("BP-005").alias("rule_id"), F.lit("warning").alias("severity"))), F.when((F.col("kind") == "user_function") & ~entry, F.struct(F.lit("SEC-002").alias("rule_id"), F.lit("warning").alias("severity")))))
+    rules = [("BP-005", n > MOST_PARAMETERS), ("SEC-002", (F.col("kind") == "user_function") & ~entry)]
+    fired = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule_id"), F.lit("warning").alias("severity"))) for r, c in rules]))
     return units.select(key, "line", F.col("name").alias("snippet"), F.explode(fired).alias("f")).select(key, "line", "f.rule_id", "f.severity", "snippet")
 
 
 def findings(files: DataFrame, key: str = "path") -> DataFrame:
     """All findings of source files (key, text, and encoding where it is known) that need no catalog, by line and rule."""
-    from ferrule.sources.code import source_lines, with_unit
+    from ferrule.sources.arguments import signatures
+    from ferrule.sources.code import source_lines, units, with_unit
+    from ferrule.sources.embedded_sql import embedded_sql, unfiltered
 
     rows = with_unit(source_lines(files, key), key)
     raw = lines(files.select(key, "text"), [key])  # doc blocks are comments
@@ -110,6 +130,8 @@ def findings(files: DataFrame, key: str = "path") -> DataFrame:
     found = line_findings(rows, key).unionByName(near_findings(rows, key, near)).unionByName(near_findings(raw, key, doc)).unionByName(pair_findings(rows, key))
     found = found.unionByName(context_findings(rows.drop("unit"), key)).unionByName(sql_findings(rows.drop("unit"), key)).unionByName(service_findings(rows, key))
     found = found.unionByName(mixed_access(rows, key))
+    declared = units(rows.drop("unit"), key).join(signatures(files, key), [key, "line", "name"], "left")
+    found = found.unionByName(unit_findings(declared, key)).unionByName(unfiltered(embedded_sql(files, key), key))
     if "encoding" in files.columns:
         found = found.unionByName(encoding_findings(files, key))
     return found.orderBy(key, "line", "rule_id")

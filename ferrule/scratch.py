@@ -39,6 +39,50 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
+def put_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that appears whole or not at all; False, and nothing changed, if the path is taken.
+
+    The text goes to a file of another name first, which then gets the path without overwriting. A writer that dies on the way
+    leaves the path free.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.draft")
+    fs = target.getFileSystem(conf)
+    out = fs.create(draft, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(draft), fs.makeQualified(target), options)
+    except Exception as e:
+        fs.delete(draft, False)
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """A file of the driver's own, as a whole."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(conf).open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(conf)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
 @contextmanager
 def _shuffle_files_go(spark: SparkSession):
     """Shuffle files go when the query that made them has ended, where this Spark knows how."""

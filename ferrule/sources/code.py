@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.functions.text import padded_version
 from ferrule.operators.tabular import ranges
 from ferrule.rules.static import lines
+from ferrule.sources.arguments import argument, call_arguments, in_unit, literal
 
 #: Lines of a block comment after which it counts as left open by mistake.
 LONGEST_COMMENT = 200
@@ -46,15 +48,9 @@ def strip_comments(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else blanked(t, strings=False))
 
 
-#: Declarations of units in the source language, by kind: (pattern, group of the name, group of the class).
-UNITS = (
-    ("user_function", r"(?i)^[ \t]*User[ \t]+Function[ \t]+(\w+)", 1, 0),
-    ("static_function", r"(?i)^[ \t]*Static[ \t]+Function[ \t]+(\w+)", 1, 0),
-    ("main_function", r"(?i)^[ \t]*Main[ \t]+Function[ \t]+(\w+)", 1, 0),
-    ("function", r"(?i)^[ \t]*Function[ \t]+(\w+)", 1, 0),
-    ("ws_method", r"(?i)^[ \t]*WSMETHOD[ \t]+(?:GET|POST|PUT|DELETE|PATCH)?[ \t]*(\w+)[ \t]+WS(?:RECEIVE|SEND|SERVICE)[ \t]*(\w*)", 1, 2),
-    ("method", r"(?i)^[ \t]*METHOD[ \t]+(\w+)[ \t]*\([^)]*\)[ \t]*CLASS[ \t]+(\w+)", 1, 2),
-)
+#: Words that may stand before Function, verbs of service methods, words before the name of a service.
+FUNCTION_KINDS = ("user", "static", "main")
+SERVICE_WORDS = ("wsreceive", "wssend", "wsservice")
 #: Functions that name something by a literal argument: what it is, how it is used, place of the argument, functions.
 NAMED_BY = (
     ("table", "read", 1, "ChkFile DbSelectArea DbSetOrder FwxFilial GetAdvFVal MsSeek Posicione RetSqlDel RetSqlFil RetSqlName RetSqlTab xFilial"),
@@ -82,6 +78,26 @@ def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _declared(text: Column) -> Column:
+    """(kind, name, class) of a line that declares a unit, read word by word; null for others."""
+    word = F.split(F.trim(F.regexp_replace(text, r"[(),\s]+", " ")), " ")
+    low = F.transform(word, F.lower)
+    at = lambda words, k: F.coalesce(F.get(words, k if isinstance(k, Column) else F.lit(k)), F.lit(""))
+    after = lambda names: F.coalesce(*[F.when(F.array_contains(low, n), F.get(word, F.array_position(low, n).cast("int"))) for n in names], F.lit(""))
+    kinds = [(at(low, 0).isin(*FUNCTION_KINDS) & (at(low, 1) == "function"), F.concat(at(low, 0), F.lit("_function")), at(word, 2), F.lit(""))]
+    kinds.append((at(low, 0) == "function", F.lit("function"), at(word, 1), F.lit("")))
+    service = F.size(F.array_intersect(low, F.array(*map(F.lit, SERVICE_WORDS)))) > 0
+    kinds.append(((at(low, 0) == "wsmethod") & service, F.lit("ws_method"), F.when(at(low, 1).isin(*VERBS), at(word, 2)).otherwise(at(word, 1)), after(reversed(SERVICE_WORDS))))
+    kinds.append(((at(low, 0) == "method") & F.array_contains(low, "class"), F.lit("method"), at(word, 1), after(["class"])))
+    found = F.coalesce(*[F.when(c, F.struct(k.alias("kind"), n.alias("name"), o.alias("class"))) for c, k, n, o in kinds])
+    return F.when(text.rlike(r"(?i)^\s*(user|static|main|function|ws|method)") & found["name"].rlike(r"^\w+$"), found)
+
+
+def _by_patterns(text: Column, patterns: Sequence[tuple[str, str, int, int]]) -> Column:
+    found = [F.when(text.rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract(text, p, g).alias("name"), (F.regexp_extract(text, p, c) if c else F.lit("")).alias("class"))) for k, p, g, c in patterns]
+    return F.coalesce(*found)
+
+
 def _item(what: str, kind: str, value: Column) -> Column:
     return F.struct(F.lit(what).alias("what"), F.lit(kind).alias("kind"), value.alias("value"))
 
@@ -151,16 +167,15 @@ def endpoints(files: DataFrame, key: str = "path") -> DataFrame:
     return rows.select(key, "unit", "line", F.coalesce(annotated, classic).alias("e")).where("e is not null").select(key, "unit", "line", "e.*")
 
 
-def units(rows: DataFrame, key: str, patterns: Sequence[tuple[str, str, int, int]] = UNITS) -> DataFrame:
+def units(rows: DataFrame, key: str, patterns: Sequence[tuple[str, str, int, int]] = ()) -> DataFrame:
     """rows (key, line, text) of stripped lines -> (key, line, end_line, kind, name, class): declared units with their ranges.
 
-    A unit ends before the next one begins, the last at the last line. A line declares one unit at most.
+    A unit ends before the next one begins, the last at the last line. A line declares one unit at most. Declarations are
+    those of the source language, or lines that fit given patterns: (kind, pattern, group of the name, group of the class).
     """
-    kind = F.coalesce(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p, _, _ in patterns])
-    name = F.coalesce(*[F.when(F.col("text").rlike(p), F.regexp_extract("text", p, g)) for _, p, g, _ in patterns])
-    own = F.coalesce(*[F.when(F.col("text").rlike(p), F.regexp_extract("text", p, c) if c else F.lit("")) for _, p, _, c in patterns])
+    unit = _by_patterns(F.col("text"), patterns) if patterns else _declared(F.col("text"))
     last = rows.groupBy(key).agg(F.max("line").alias("_last"))
-    found = rows.select(key, "line", kind.alias("kind"), name.alias("name"), own.alias("class")).where("kind is not null").join(last, key)
+    found = rows.select(key, "line", unit.alias("u")).where("u is not null").select(key, "line", "u.*").join(last, key)
     return ranges(found, key, "line", F.col("_last")).select(key, "line", "end_line", "kind", "name", "class")
 
 
@@ -174,17 +189,27 @@ def facts(rows: DataFrame, key: str, patterns: dict[str, str]) -> DataFrame:
     return rows.select(key, "line", F.explode(hits).alias("h")).select(key, "line", "h.kind", "h.value")
 
 
-def with_unit(rows: DataFrame, key: str, patterns: Sequence[tuple[str, str, int, int]] = UNITS) -> DataFrame:
+def with_unit(rows: DataFrame, key: str, patterns: Sequence[tuple[str, str, int, int]] = ()) -> DataFrame:
     """Lines with the unit that they belong to: the last declared one before or at the line, null before the first."""
-    name = F.coalesce(*[F.when(F.col("text").rlike(p), F.regexp_extract("text", p, g)) for _, p, g, _ in patterns])
+    unit = _by_patterns(F.col("text"), patterns) if patterns else _declared(F.col("text"))
     w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("unit", F.last(name, ignorenulls=True).over(w))
+    return rows.withColumn("unit", F.last(unit["name"], ignorenulls=True).over(w))
+
+
+def bare_text(files: DataFrame) -> Column:
+    """The texts without comments: the column ``bare`` where files have it already, else stripped here."""
+    return F.col("bare") if "bare" in files.columns else strip_comments(F.col("text"))
+
+
+def with_bare(files: DataFrame) -> DataFrame:
+    """Files with their texts without comments beside them. What is read from it afterwards strips nothing again, if it is written."""
+    return files.withColumn("bare", bare_text(files))
 
 
 def source_lines(files: DataFrame, key: str = "path", strings: bool = False) -> DataFrame:
     """(key, line, text): lines without comments; with ``strings`` also without what stands in string literals."""
-    strip = strip_all if strings else strip_comments
-    return lines(files.select(key, strip(F.col("text")).alias("text")), [key])
+    text = strip_all(F.col("text")) if strings else bare_text(files)
+    return lines(files.select(key, text.alias("text")), [key])
 
 
 def calls(files: DataFrame, key: str = "path") -> DataFrame:
@@ -226,27 +251,81 @@ def doc_blocks(files: DataFrame, key: str = "path") -> DataFrame:
 OPERATIONS = {3: "insert", 4: "update", 5: "delete"}
 TRIGGERS = {
     "workflow": r"(?i)TWFProcess\s*\(\s*\)\s*:\s*New\s*\(\s*[\"']([^\"']+)[\"']",
-    "callback": r"(?i):\s*bReturn\s*:=\s*[\"'](\w+)",
+    "callback": r"(?i):\s*b(?:Return|TimeOut)\s*:=\s*\{\s*\|[^|]*\|\s*(\w+)\s*\(",
     "job": r"(?i)\bStartJob\s*\(\s*[\"']([^\"']+)[\"']",
     "schedule": r"(?i)\bFunction\s+(SchedDef)\b",
     "mail": r"(?i)\b(TMailManager|TMailMessage|MailSend|SendMail)\b",
 }
 
 
+def declared_units(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, line, name) of the units that files declare."""
+    rows = source_lines(files, key).select(key, "line", _declared(F.col("text"))["name"].alias("name"))
+    return rows.where("name is not null")
+
+
 def routine_calls(files: DataFrame, routines: DataFrame, key: str = "path") -> DataFrame:
-    """Calls of standard routines: (key, unit, line, routine, module, op_code, op_label, dynamic, tables).
+    """Calls of standard routines: (key, unit, line, routine, module, op_code, op_label, dynamic, tables, arg_count).
 
-    routines: (routine, module, tables array), a small catalog. The operation is the number after the code block and its
-    arguments; anything else there makes it dynamic, as does a routine that is not named.
+    routines: (routine, module, tables array), a small catalog. The routine is what the code block calls, the operation the
+    last argument that is a number. ``dynamic``: the routine isn't named, or arguments follow and none is a number.
+    ``arg_count``: parameters of the code block. A first argument that is no code block gives no row.
     """
-    block = r"(?i)MsExecAuto\s*\(\s*\{\s*\|[^|]*\|\s*([\w&]+)\s*\([^)]*\)\s*\}([^)]*)\)"
-    rows = with_unit(source_lines(files, key), key).select(key, "unit", "line", F.explode(F.regexp_extract_all("text", F.lit(block), F.lit(0))).alias("c"))
-    last = F.trim(F.element_at(F.split(F.regexp_extract("c", block, 2), ","), -1))
-    name, code_ = F.upper(F.regexp_extract("c", block, 1)), last.try_cast("int")
-    label = F.create_map(*[F.lit(x) for p in OPERATIONS.items() for x in p])[code_]
-    found = rows.select(key, "unit", "line", name.alias("routine"), code_.alias("op_code"), label.alias("op_label"), (name.startswith("&") | (code_.isNull() & (last != ""))).alias("dynamic"))
+    block = r"(?s)^\{\s*\|([^|]*)\|(.*)\}$"
+    found = in_unit(call_arguments(files, ("MsExecAuto",), key), declared_units(files, key), key)
+    found = found.withColumn("first", argument(F.col("args"), 0)).where(F.col("first").rlike(block))
+    body = F.ltrim(F.regexp_extract("first", block, 2))
+    more = F.slice("args", F.lit(2), F.greatest(F.size("args") - 1, F.lit(0)))
+    number = F.filter(more, lambda a: a.rlike(r"^[0-9]+$"))
+    op = F.get(number, F.size(number) - 1).try_cast("int")
+    routine = F.when(body.startswith("&"), F.lit("&")).otherwise(F.upper(F.regexp_extract(body, r"([A-Za-z_]\w*)\s*\(", 1)))
+    passed = F.regexp_extract("first", block, 1)
+    label = F.create_map(*[F.lit(x) for p in OPERATIONS.items() for x in p])[F.col("op_code")]
+    out = found.select(
+        key, "unit", "line", routine.alias("routine"), op.alias("op_code"), F.exists(more, lambda a: a != "").alias("more"), F.size(F.filter(F.split(passed, ","), lambda a: F.trim(a) != "")).alias("arg_count")
+    )
+    out = out.withColumns({"op_label": label, "dynamic": F.col("routine").isin("", "&") | (F.col("op_code").isNull() & F.col("more"))})
     known = routines.select(F.upper("routine").alias("routine"), "module", "tables")
-    return found.join(F.broadcast(known), "routine", "left").select(key, "unit", "line", "routine", "module", "op_code", "op_label", "dynamic", "tables")
+    return out.join(known, "routine", "left").select(key, "unit", "line", "routine", "module", "op_code", "op_label", "dynamic", "tables", "arg_count")
+
+
+#: An assignment, with the class if it makes a new object; or a call of a variable's method.
+_OBJECT_USE = r"(\w+)\s*:=(?:\s*([A-Za-z_]\w*)\s*\(\s*\)\s*:\s*New\b)?|(\w+):([A-Za-z_]\w*)\s*\("
+
+
+def method_calls(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, unit, line, var, method, class): calls of methods of variables whose class is known where they stand.
+
+    An as-of join: the class is that of the last assignment to the variable before the call, in its unit, if that made a new
+    object; names regardless of case. A variable that was assigned something else since gives no row.
+    """
+    use = F.posexplode(F.regexp_extract_all("text", F.lit(_OBJECT_USE), F.lit(0))).alias("pos", "use")
+    rows = with_unit(source_lines(files, key, strings=True), key).select(key, "unit", "line", use)
+    part = lambda k: F.regexp_extract("use", _OBJECT_USE, k)
+    rows = rows.select(key, F.coalesce("unit", F.lit("")).alias("unit"), "line", "pos", part(1).alias("set"), part(2).alias("new"), part(3).alias("called"), part(4).alias("method"))
+    # only variables that a unit ever makes a new object of go to the window
+    var = F.lower(F.when(F.col("set") != "", F.col("set")).otherwise(F.col("called")))
+    rows = rows.withColumn("_var", var)
+    made = rows.where("new <> ''").select(key, "unit", "_var").distinct()
+    w = Window.partitionBy(key, "unit", "_var").orderBy("line", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.last(F.when(F.col("set") != "", F.struct("new")), ignorenulls=True).over(w)
+    found = rows.join(made, [key, "unit", "_var"], "left_semi").withColumn("held", held["new"]).where("called <> '' and held <> ''")
+    return found.select(key, "unit", "line", F.col("called").alias("var"), "method", F.col("held").alias("class"))
+
+
+def build_findings(files: DataFrame, catalog: DataFrame, build: str, key: str = "path") -> DataFrame:
+    """BUILD-001: method calls outside the builds that have them: (key, unit, line, class, method, var, note).
+
+    catalog: (class, method, build_min, build_max, note); a null or empty bound is none. Builds compare number by number, and
+    missing numbers are 0. Variables of unknown class and methods outside the catalog are not judged.
+    """
+    known = catalog.select(F.col("class").alias("_class"), F.col("method").alias("_method"), "build_min", "build_max", F.coalesce("note", F.lit("")).alias("note"))
+    target = padded_version(F.lit(build))
+    bound = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", padded_version(F.col(c)))
+    outside = F.coalesce(target < bound("build_min"), F.lit(False)) | F.coalesce(target > bound("build_max"), F.lit(False))
+    same = (F.lower("class") == F.lower("_class")) & (F.lower("method") == F.lower("_method"))
+    found = method_calls(files, key).join(known.where(outside), same)
+    return found.select(key, "unit", "line", F.col("_class").alias("class"), F.col("_method").alias("method"), "var", "note")
 
 
 def execution_triggers(files: DataFrame, key: str = "path") -> DataFrame:
@@ -264,14 +343,22 @@ def entry_points(files: DataFrame, key: str = "path") -> DataFrame:
 
 
 def environment_openers(files: DataFrame, key: str = "path") -> DataFrame:
-    """(key, unit, line, company, branch, module): literal arguments of environment openers; a variable counts as empty."""
-    call, words = r"(?i)RpcSetEnv\s*\(([^)]*)\)", r"(?i)PREPARE\s+ENVIRONMENT\s+(.*)$"
-    rows = with_unit(source_lines(files, key), key).where(F.col("text").rlike(f"{call}|{words}"))
-    args = F.split(F.regexp_extract("text", call, 1), ",")
-    literal = lambda c: F.coalesce(F.regexp_extract(c, r"^\s*[\"']([^\"']*)[\"']\s*$", 1), F.lit(""))
+    """(key, unit, line, company, branch, environment, module): arguments of environment openers; what is no literal counts as empty."""
+    words = r"(?i)PREPARE\s+ENVIRONMENT\s+(.*)$"
+    by_call = in_unit(call_arguments(files, ("RpcSetEnv",), key), declared_units(files, key), key)
+    pick = lambda k: literal(argument(F.col("args"), k))
+    by_call = by_call.select(key, "unit", "line", pick(0).alias("company"), pick(1).alias("branch"), pick(4).alias("environment"), pick(5).alias("module"))
     of = lambda w: F.regexp_extract("text", rf"(?i)\b{w}\s+[\"']([^\"']*)[\"']", 1)
-    pick = lambda k, w: F.when(F.col("text").rlike(call), literal(F.get(args, k))).otherwise(of(w))
-    return rows.select(key, "unit", "line", pick(0, "EMPRESA").alias("company"), pick(1, "FILIAL").alias("branch"), pick(4, "MODULO").alias("module"))
+    by_words = with_unit(source_lines(files, key), key).where(F.col("text").rlike(words))
+    return by_call.unionByName(by_words.select(key, "unit", "line", of("EMPRESA").alias("company"), of("FILIAL").alias("branch"), of("ENVIRONMENT\\s+ENVIRONMENT").alias("environment"), of("MODULO").alias("module")))
+
+
+def parameter_reads(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, unit, line, name, default): reads of parameters with the default that the call gives, as text; empty if none."""
+    readers = next(names for what, kind, _, names in NAMED_BY if (what, kind) == ("parameter", "read")).split()
+    found = in_unit(call_arguments(files, readers, key), declared_units(files, key), key)
+    place = F.when(F.lower("name").isin("getmv", "getnewpar", "getmvdef"), argument(F.col("args"), 1)).otherwise(argument(F.col("args"), 2))
+    return found.select(key, "unit", "line", F.upper(literal(argument(F.col("args"), 0))).alias("name"), place.alias("default")).where("name <> ''")
 
 
 def service_structures(files: DataFrame, key: str = "path") -> DataFrame:

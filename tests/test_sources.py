@@ -313,7 +313,7 @@ MORE = """User Function MT410INC()
   x := PARAMIXB[1]
   MsExecAuto({|x,y| MATA410(x,y)}, aA, 3)
   MsExecAuto({|x| FINA050(x)}, nOp)
-  RpcSetEnv("01", cFil,,, "FAT")
+  RpcSetEnv("01", cFil,,, "ENV", "FAT")
   PREPARE ENVIRONMENT EMPRESA "99" FILIAL "02"
   oP := TWFProcess():New("WF01", "x")
   StartJob("U_NIGHT", "env")
