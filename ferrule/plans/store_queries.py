@@ -12,11 +12,16 @@ from ferrule.scratch import scratch_path
 from ferrule.sources.store import FactStore
 
 
+def spread(t) -> DataFrame:
+    """The parts over all cores: their file is small, the texts that are made from them are not."""
+    return t.part.repartition(t.spark.sparkContext.defaultParallelism, "p_partkey")
+
+
 def sources(t, more: str = "") -> DataFrame:
     """(path, text): a unit that calls another, locks a table and reads a parameter, by the part's size."""
     size = F.col("p_size").cast("string")
     text = F.concat(F.lit("User Function P"), F.col("p_partkey").cast("string"), F.lit("()\n  U_P"), size, F.lit('()\n  RecLock("SA'), (F.col("p_size") % 10).cast("string"), F.lit('", .T.)\n  x := SuperGetMV("MV_S'), size, F.lit('")\n' + more + "Return\n"))
-    return t.part.select(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".prw")).alias("path"), text.alias("text"))
+    return spread(t).select(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".prw")).alias("path"), text.alias("text"))
 
 
 def stored(t) -> FactStore:
