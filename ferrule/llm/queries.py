@@ -8,6 +8,7 @@ QUERIES = {
     "op1_html_extraction": html_text.op1,
     "op2_telephony_media": telephony.op2,
     "op3_token_rollup": token_rollup.op3,
+    "token_totals_by_codec": token_rollup.by_codec,
     "op4_simhash_near_dedup": simhash.op4,
     "op5_url_filter": url_filter.op5,
     "op6_nearest_neighbours": nearest.op6,

@@ -2,14 +2,17 @@
 
 A batch of inserts, deletes and revised counts is resolved against the ledger into signed rows: a delete subtracts what the
 ledger holds, a revision subtracts that and adds the new count. Rows and their sums are written in a folder of the attempt's
-own, then a commit file under the batch's name, which can be made only once: a batch that is committed is skipped, one that
-broke off leaves nothing that counts, and of two writers one wins. Totals add up the sums of the committed batches, so they
-never read documents again. The ledger is partitioned by a hash of the document, so a batch reads the parts it touches;
-``compact`` folds the batches so far into one.
+own. Then the log gets its next entry, which names the folders that count: entries are numbered, appear whole, and are made only
+once. A batch resolved against entry n can only become entry n + 1; if another writer was faster, it is resolved anew
+against the newer state. So a batch that is committed is skipped, one that broke off leaves nothing that counts, and none is
+lost or counted twice. Totals add up the sums of the folders, so they never read documents again. The ledger is
+partitioned by a hash of the document, so a batch reads the parts it touches; ``compact`` folds the state of one entry into
+one folder, and the names of its batches into a table.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ferrule.llm import byte_bpe
 from ferrule.llm.common import Tables, scratch_path, table
+from ferrule.scratch import names_in, put_once, read_small
 
 DIMENSIONS = ("source", "lang", "version")
 _KEY = ("doc_id", "version")
@@ -33,6 +37,8 @@ def count_tokens(text: Column, version: str) -> Column:
 
 #: Parts of the ledger, by a hash of the document, unless a rollup is given another number.
 PARTS = 16
+#: Times that a batch is resolved anew because another writer was faster.
+TRIES = 20
 
 
 def count_by_codec(docs: DataFrame, path: str, version: str, pattern: str | None = None) -> DataFrame:
@@ -54,52 +60,37 @@ class Rollup:
     def _part(self) -> Column:
         return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(self.parts)).cast("int").alias("part")
 
-    def _file(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    def _state(self) -> tuple[int, dict]:
+        """(number, content) of the newest entry of the log: folders that count, batches since the last compaction, table of names before."""
+        newest = max((int(n[:-5]) for n in names_in(self.spark, f"{self.path}/log") if n.endswith(".json")), default=0)
+        return newest, json.loads(read_small(self.spark, f"{self.path}/log/{newest:012d}.json")) if newest else {"folders": [], "batches": [], "names": None}
+
+    def _next(self, number: int, content: dict) -> bool:
+        """Make the entry after ``number``; False where another writer has made it."""
+        return put_once(self.spark, f"{self.path}/log/{number + 1:012d}.json", json.dumps(content))
+
+    def _names(self, state: dict) -> DataFrame:
+        own = self.spark.createDataFrame([(n,) for n in state["batches"]], "name string")
+        return own if state["names"] is None else own.unionByName(self.spark.read.schema("name string").parquet(state["names"]))
+
+    def _known(self, state: dict, batch: str) -> bool:
+        return batch in state["batches"] or state["names"] is not None and not self._names(state).where(F.col("name") == batch).isEmpty()
 
     def batches(self) -> list[str]:
         """Names of the committed batches, in order."""
-        return [k for k in self._committed() if not k.startswith("compact-")]
+        return [r[0] for r in self._names(self._state()[1]).orderBy("name").collect()]
 
-    def _committed(self) -> dict[str, str]:
-        """Committed batches, compactions among them, and the folders of their rows; grows with batches, not with data.
-
-        A commit file's content is the folder; one without content is of a writer that broke off in the middle.
-        """
-        fs, folder = self._file("")
-        out = {}
-        for s in fs.listStatus(folder) if fs.exists(folder) else []:
-            f = fs.open(s.getPath())
-            try:
-                out[s.getPath().getName()] = bytes(f.readNBytes(1 << 20)).decode()
-            finally:
-                f.close()
-        return dict(sorted((k, v) for k, v in out.items() if v))
-
-    def _commit_file(self, name: str, folder: str) -> bool:
-        """Make the commit file; False where another writer has made it."""
-        fs, path = self._file(name)
-        try:
-            f = fs.create(path, False)
-        except Exception as e:  # noqa: BLE001  the JVM's, told by its class
-            if "FileAlreadyExists" in str(e) or fs.exists(path) and name in self._committed():
-                return False
-            raise
-        f.write(bytearray(folder.encode()))
-        f.close()
-        return True
+    def _commit_file(self, batch: str, folder: str, at: tuple[int, dict] | None = None) -> bool:
+        """Let a folder count under the batch's name, from the state that it was resolved against; False where that isn't the newest."""
+        number, state = at or self._state()
+        return not self._known(state, batch) and self._next(number, {**state, "folders": [*state["folders"], folder], "batches": [*state["batches"], batch]})
 
     def _folders(self) -> list[str]:
-        """Folders that count: those of the newest compaction and of the batches that it doesn't hold."""
-        found = self._committed()
-        whole = max((k for k in found if k.startswith("compact-")), default=None)
-        held = found[whole].split("\n")[1:] if whole else []
-        own = {k: v.split("\n")[0] for k, v in found.items() if not k.startswith("compact-")}
-        return [*([found[whole].split("\n")[0]] if whole else []), *[v for k, v in own.items() if k not in held]]
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        names = self._folders()
+        """Folders that count."""
+        return self._state()[1]["folders"]
+
+    def _read(self, kind: str, schema: str, state: dict | None = None) -> DataFrame:
+        names = (state or self._state()[1])["folders"]
         if not names:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*[f"{self.path}/{kind}/attempt={n}" for n in names])
@@ -114,13 +105,20 @@ class Rollup:
         return folder
 
     def compact(self) -> bool:
-        """Fold all batches committed so far into one; their names stay committed. False where there is nothing to fold."""
-        before = self._committed()
-        names = [k for k in before if not k.startswith("compact-")]
-        if len(self._folders()) < 2:
-            return False
-        folder = self._write(self.ledger().select(*[c.split()[0] for c in _ROWS.split(", ")]))
-        return self._commit_file(f"compact-{len(before):012d}", "\n".join([folder, *names]))
+        """Fold all batches committed so far into one; their names stay committed. False where there is nothing to fold.
+
+        What is folded is the state of one entry; if a batch commits meanwhile, the newer state is folded instead.
+        """
+        for _ in range(TRIES):
+            number, state = self._state()
+            if len(state["folders"]) < 2:
+                return False
+            folder = self._write(self._standing(self._read("rows", _ROWS, state)).select(*[c.split()[0] for c in _ROWS.split(", ")]))
+            names = f"{self.path}/names/{folder}"
+            self._names(state).write.parquet(names)
+            if self._next(number, {"folders": [folder], "batches": [], "names": names}):
+                return True
+        raise RuntimeError("other writers were faster each time")
 
     def ledger(self) -> DataFrame:
         """What stands: a row for each document and version, with its counts."""
@@ -142,25 +140,33 @@ class Rollup:
         and language. Null ids, versions, sources and languages are values like any other; a null count is 0. Other
         columns are not read; an empty batch commits nothing but its name.
         """
-        if batch in self.batches():
+        if self._known(self._state()[1], batch):
             return False
-        if batch.startswith("compact-") or "/" in batch:
-            raise ValueError(f"no name for a batch: {batch}")
         bad = F.when(F.col("kind").isin("put", "delete"), F.col("kind") == "delete").otherwise(F.raise_error(F.concat(F.lit("kind "), F.coalesce("kind", F.lit("null")))).cast("boolean"))
         last = F.max(F.struct(bad.alias("gone"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "source", "lang")).alias("new")
         t = Tables(self.spark)
         new = t.write("changes", changes.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "version").agg(last))
         parts = [r[0] for r in new.select(self._part()).distinct().collect()]  # at most ``parts`` numbers
-        rows = self._read("rows", _ROWS + ", part int")
-        old = self._standing(rows.where(F.col("part").isin(parts))) if "part" in rows.columns and parts else self.ledger().limit(0)
-        old = old.withColumnsRenamed({"doc_id": "doc_id_", "version": "version_"})
+        try:
+            for _ in range(TRIES):
+                number, state = self._state()
+                if self._known(state, batch):
+                    return False
+                if self._commit_file(batch, self._write(self._resolved(new, parts, state)), (number, state)):
+                    return True
+        finally:
+            t.drop("changes")
+        raise RuntimeError("other writers were faster each time")
+
+    def _resolved(self, new: DataFrame, parts: list[int], state: dict) -> DataFrame:
+        """Signed rows of a batch: what stands of its documents in a state is taken off, what is put is added."""
+        rows = self._read("rows", _ROWS + ", part int", state)
+        old = self._standing(rows.where(F.col("part").isin(parts))).withColumnsRenamed({"doc_id": "doc_id_", "version": "version_"})
         touched = old.join(new, old.doc_id_.eqNullSafe(new.doc_id) & old.version_.eqNullSafe(new.version), "left_semi").select(
             F.col("doc_id_").alias("doc_id"), "source", "lang", F.col("version_").alias("version"), (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens")
         )
         added = new.where("not new.gone").select("doc_id", "new.source", "new.lang", "version", F.lit(1).cast("long").alias("n_docs"), "new.n_tokens")
-        folder = self._write(touched.unionByName(added))
-        t.drop("changes")
-        return self._commit_file(batch, folder)
+        return touched.unionByName(added)
 
 
 def _counts(docs: DataFrame, versions, text: Column = None) -> DataFrame:
@@ -169,6 +175,19 @@ def _counts(docs: DataFrame, versions, text: Column = None) -> DataFrame:
     return docs.select("doc_id", "source", "lang", each).select("doc_id", "source", "lang", "c.version", "c.n_tokens", F.lit("put").alias("kind"))
 
 
+def by_codec(spark, sf_dir: str) -> DataFrame:
+    """Totals by the public byte-level BPE (op10's codec): all documents put, toxic ones deleted, and the ledger folded."""
+    import public_tokenizers
+
+    docs, labels, version = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "byte_bpe_multi_50k"
+    rollup = Rollup(spark, scratch_path(spark, "rollup"))
+    rollup.commit("1-put", count_by_codec(docs, public_tokenizers.path(f"{version}.tiktoken"), version))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("n_tokens", "long"))]
+    rollup.commit("2-delete", labels.where("toxic = 1").select("doc_id", F.lit(version).alias("version"), *nothing, F.lit("delete").alias("kind")))
+    rollup.compact()
+    return rollup.totals()
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents put under both versions; toxic ones deleted; low-quality ones revised to
     the words of their distinct lines; the deletes sent again, which changes nothing."""
