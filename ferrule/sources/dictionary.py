@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.sources.sniff import CHARSETS, mended, sniffed
+
 
 @dataclass(frozen=True)
 class Export:
@@ -55,8 +57,8 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
         if first.startswith("PK\x03\x04"):
             raise ValueError(f"{path} is a spreadsheet, not CSV")
         sep = max((",", ";", "\t"), key=first.count)
-    df = spark.read.option("header", "true").option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", "true").csv(path)
-    return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
+    df = spark.read.option("header", "true").option("sep", sep).option("encoding", CHARSETS.get(encoding, encoding)).option("quote", '"').option("escape", '"').option("multiLine", "true").csv(path)
+    return mended(df, encoding)
 
 
 def normalised(raw: DataFrame, export: Export) -> DataFrame:
@@ -99,14 +101,15 @@ def custom_field(name, owner=None):
 
 
 def load(spark: SparkSession, folder: str, stems: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """The exports of a folder by stem; files that aren't there are left out."""
-    jvm = spark._jvm
+    """The exports of a folder by stem, each in the encoding and with the delimiter that its first bytes tell; absent ones are left out."""
+    names = {f"{e.stem}.csv": e for e in EXPORTS if not stems or e.stem in stems}
+    found = [r for r in sniffed(spark, folder, pattern="*.csv").collect() if r.path.rsplit("/", 1)[-1] in names]  # a row a file
     out = {}
-    for e in EXPORTS:
-        path = f"{folder.rstrip('/')}/{e.stem}.csv"
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if (not stems or e.stem in stems) and p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            out[e.stem] = last_wins(normalised(read_csv(spark, path), e), e.key)[0]
+    for r in sorted(found, key=lambda r: r.path):
+        if r.encoding == "spreadsheet":
+            raise ValueError(f"{r.path} is a spreadsheet, not CSV")
+        e = names[r.path.rsplit("/", 1)[-1]]
+        out[e.stem] = last_wins(normalised(read_csv(spark, r.path, r.sep, r.encoding), e), e.key)[0]
     return out
 
 
