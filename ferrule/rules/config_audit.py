@@ -55,25 +55,58 @@ def applicable(files: DataFrame, rules: DataFrame) -> DataFrame:
     return files.join(F.broadcast(roles), cond & (F.col("_role").isNull() | (F.trim("_role") == F.col("role")))).drop("_role").distinct()
 
 
+#: Keys that make a section an environment; keys that define a database, in a section of its own or in an environment.
+ENVIRONMENT_KEYS = ("rootpath", "sourcepath", "rpodb", "rpoversion", "startpath")
+CONNECTION_KEYS = ("database", "server", "port", "alias")
+ENVIRONMENT_DB_KEYS = ("dbdatabase", "dbserver", "dbalias", "dbport")
+DATABASE_SECTIONS = ("topconnect", "dbaccess")
+
+
+def environments(keys: DataFrame) -> DataFrame:
+    """(path, section) of the sections that a key marks as environments, whatever their name."""
+    return keys.where(F.lower("key").isin(*ENVIRONMENT_KEYS)).select("path", "section").distinct()
+
+
+def database_sources(keys: DataFrame, files: DataFrame, without_db: Sequence[str] = ()) -> DataFrame:
+    """(path, sources, redundant, conflict): where each file defines its database, which database sections that makes redundant.
+
+    keys: (path, section, key) that aren't commented; files: (path, role). A source is a database section with a key of a
+    connection, or such a key of an environment. With any source, the database sections that are none are redundant; two sources are
+    a conflict unless the role connects to no database itself (``without_db``). Files without keys have no source.
+    """
+    section, name = F.lower("section"), F.lower("key")
+    found = F.when(section.isin(*DATABASE_SECTIONS) & name.isin(*CONNECTION_KEYS), section).when(name.isin(*ENVIRONMENT_DB_KEYS), "environment")
+    own = keys.withColumn("source", found).where("source is not null").groupBy("path").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    both = files.join(own, "path", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    some = F.size("sources") > 0
+    redundant = F.when(some, F.array_except(F.array(*map(F.lit, DATABASE_SECTIONS)), "sources")).otherwise(F.array().cast("array<string>"))
+    role = F.coalesce("role", F.lit(""))
+    return both.select("path", "sources", redundant.alias("redundant"), ((F.size("sources") > 1) & ~role.isin(*without_db) if without_db else F.size("sources") > 1).alias("conflict"))
+
+
 def audit(keys: DataFrame, sections: DataFrame, files: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings of all rules on all files, in one join pipeline.
 
     keys: (path, section, key, value, note); sections: (path, section); files: (path, type, role); rules: (rule_id, key,
     section, kind, expected, severity, file_type, roles, conditional), a small catalog that is broadcast. A rule's section
-    is ``*``, a name, or a prefix ending in ``/``. A missing key counts only for a critical or warning rule that is not
+    is ``*``, a name, a prefix ending in ``/``, or ``environment``, which also means all sections with an environment's key. Rules
+    on a database section that another source makes redundant end as ``ok_with_note``. A missing key counts only for a critical or warning rule that is not
     conditional; only a critical one lowers the score, and doubly. A note that says a value is meant turns a finding
     into ``ok_with_note``.
     """
     own = F.lower("section")
-    cond = (F.col("r_section") == "*") | (own == F.lower("r_section")) | (F.col("r_section").endswith("/") & own.startswith(F.lower("r_section")))
+    sections = sections.join(environments(keys).withColumn("_env", F.lit(True)), ["path", "section"], "left")
+    cond = (F.col("r_section") == "*") | (own == F.lower("r_section")) | ((F.lower("r_section") == "environment") & F.coalesce("_env", F.lit(False))) | (F.col("r_section").endswith("/") & own.startswith(F.lower("r_section")))
     todo = applicable(files, rules.withColumnsRenamed({"section": "r_section", "key": "r_key"})).join(sections, "path").where(cond)
     at = keys.select("path", "section", F.lower("key").alias("_key"), "value", "note")
     found = todo.withColumn("_key", F.lower("r_key")).join(at, ["path", "section", "_key"], "left")
+    spare = database_sources(keys, files).select("path", "redundant")
+    found = found.join(spare, "path", "left").withColumn("_spare", F.coalesce(F.array_contains("redundant", F.lower("section")), F.lit(False)))
     missing = F.col("value").isNull()
     meant = F.coalesce(F.col("note"), F.lit("")).rlike(r"(?i)\b(on purpose|intentional|intencional|proposital)\b")
     counts = F.col("severity").isin("critical", "warning") & ~F.coalesce("conditional", F.lit(False)) & F.col("kind").isin("key_present", "value_eq", "value_in", "range_check")
     status = (
-        F.when(missing & (F.col("kind") == "key_missing"), "ok").when(missing & ~counts, "skipped").when(missing, "missing")
+        F.when(F.col("_spare"), "ok_with_note").when(missing & (F.col("kind") == "key_missing"), "ok").when(missing & ~counts, "skipped").when(missing, "missing")
         .when(value_ok(F.col("kind"), F.col("value"), F.col("expected")), "ok").when(meant, "ok_with_note").otherwise("wrong")
     )
     return found.select("path", "section", F.col("r_key").alias("key"), "value", "rule_id", "severity", "expected", status.alias("status"))

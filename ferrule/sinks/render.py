@@ -6,6 +6,9 @@ import html
 import json
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ferrule.functions.text import severity_rank
 
 LIMIT = 20
 
@@ -54,9 +57,33 @@ def score_report(scores: DataFrame, findings: DataFrame, title: str) -> str:
 
 def config_lines(rows: DataFrame) -> DataFrame:
     """Suggested keys (path, section, key, value, change) -> (path, text): a file each, sections and keys in order."""
-    from pyspark.sql import functions as F
-
     line = F.concat("key", F.lit("="), F.coalesce("value", F.lit("")), F.when(F.col("change") != "kept", F.concat(F.lit(" ; "), "change")).otherwise(""))
     part = rows.groupBy("path", "section").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("t"))
     block = F.concat(F.lit("["), "section", F.lit("]\n"), "t")
     return part.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(block)), "\n\n").alias("text"))
+
+
+#: Rows and tips that a log report shows at most; counts are of all findings.
+REPORT_ROWS, REPORT_TIPS = 500, 40
+
+
+def log_report(findings: DataFrame, label: str, events: int, metrics: dict[str, str] | None = None) -> str:
+    """HTML of a log diagnosis: counts by severity and category, the gravest findings in order, a tip for each message.
+
+    findings: (severity, category, at, line, message, tip, snippet, ref); nulls are shown as nothing. Counting is done in
+    Spark; only the rows that the report shows come to the driver.
+    """
+    of = lambda c: {r[0] or "": r[1] for r in findings.groupBy(c).count().orderBy(F.desc("count"), c).collect()}  # noqa: E731  catalogs of severities and categories
+    by_severity, by_category = of("severity"), of("category")
+    shown = findings.orderBy(severity_rank(F.col("severity")), "at", "line").limit(REPORT_ROWS).collect()
+    tips = findings.where("coalesce(tip, '') <> ''").groupBy("message").agg(F.min(F.struct(severity_rank(F.col("severity")).alias("r"), "category", "tip")).alias("t")).orderBy("t.r", "message").limit(REPORT_TIPS).collect()
+    cell = lambda x: f"<td>{html.escape('' if x is None else str(x))}</td>"
+    rows = "".join(f"<tr>{cell(k)}{''.join(cell(r[c]) for c in ('severity', 'category', 'at', 'line', 'message', 'snippet', 'ref'))}</tr>" for k, r in enumerate(shown, 1))
+    cards = "".join(f"<div>{html.escape(k)}: {by_severity.get(k, 0)}</div>" for k in ("critical", "warning", "info"))
+    cards += "".join(f"<div>{html.escape(k)}: {html.escape(v)}</div>" for k, v in (metrics or {}).items())
+    groups = "".join(f"<tr>{cell(k)}{cell(n)}</tr>" for k, n in by_category.items())
+    advice = "".join(f"<p><b>[{html.escape(r.t.category or '')}] {html.escape(r.message or '')}</b><br>{html.escape(r.t.tip)}</p>" for r in tips)
+    return (
+        f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(label)}</title></head><body><h1>{html.escape(label)}</h1>"
+        f"<div>{sum(by_severity.values())} findings, {events} events</div>{cards}<h2>Categories</h2><table>{groups}</table><h2>Findings</h2><table>{rows}</table><h2>Tips</h2>{advice}</body></html>"
+    )
