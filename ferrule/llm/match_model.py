@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ferrule.llm.common import Tables, lexical_id, pieces, portions, table
+from ferrule.llm.grams import codes as _codes
+from ferrule.llm.grams import least_count as _frequent
+from ferrule.llm.grams import pairs as _pairs
 
 #: Bytes of the longest context (at most 6, for a gram is a long).
 ORDER = 5
@@ -34,23 +37,6 @@ ORDER = 5
 LOCAL_GRAMS, LOCAL_WORDS = 1 << 20, 1 << 18
 FOLDS, HELD = 7, 2
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-#: Stands before a text's first byte and after its last; UTF-8 has no such byte.
-_EDGE = 255
-
-
-def _codes(part: pa.Array, lead: bytes, ends: bool, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text of each position, its gram) of lower-cased texts; ``lead`` stands before them, and each ends here or not at all."""
-    n, front = len(part), 7 - order
-    ends_at = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
-    size, place = np.diff(ends_at), np.arange(n)
-    data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[ends_at[0] : ends_at[-1]]
-    out = np.full(front + len(data) + n * (order + ends), _EDGE, np.uint8)
-    out[np.arange(len(data)) + np.repeat(front + order * (place + 1) + place * ends, size)] = data
-    if lead:
-        out[front : front + order] = np.frombuffer(lead[-order:].rjust(order, bytes([_EDGE])), np.uint8)
-    at = np.arange(len(data) + n * ends) + np.repeat(order * (place + 1) - order, size + ends)  # of the 8 bytes that end with the symbol
-    held = np.ndarray((max(0, len(out) - 7),), ">u8", out, 0, (1,)).astype(np.int64)
-    return np.repeat(place, size + ends), held[at] & ((1 << 8 * (order + 1)) - 1)
 
 
 def _words(part: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -129,19 +115,6 @@ def probabilities(grams: DataFrame, order: int, tables: Tables) -> DataFrame:
     return out
 
 
-def _frequent(df: DataFrame, most: int) -> int:
-    """The least count from which on the rows of ``df`` (with n_all) number at most ``most``."""
-    step = F.floor(F.log2("n_all") * 8)
-    sizes = df.where("n_all > 0").groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min("n_all").alias("least")).orderBy(F.col("step").desc()).collect()  # at most 8 rows a doubling
-    rows, least = 0, 1 << 62
-    for r in sizes:
-        rows += r["rows"]
-        if rows > most:
-            break
-        least = r["least"]
-    return least
-
-
 def _looked_up(id_type: pa.DataType, order: int, grams: pa.Array, log_p: np.ndarray, words: pa.Array, word_n: np.ndarray, total: int, kinds: int):
     """(id, text, held) -> a row for each text with what is found here, and rows for the grams and words that are not."""
 
@@ -191,14 +164,6 @@ def _looked_up(id_type: pa.DataType, order: int, grams: pa.Array, log_p: np.ndar
 _NAMES = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "gram", "word", "times"]
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs with how often they stand."""
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    return a[first], b[first], np.diff(np.append(first, len(a)))
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, folds: int = FOLDS, held: int = HELD, local_grams: int = LOCAL_GRAMS, local_words: int = LOCAL_WORDS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each document.
 

@@ -2,7 +2,7 @@
 
 Two smoothed variable-order Markov models, of the URLs that rules allow and of those they block, give each URL a
 log-likelihood difference per character. The threshold is calibrated on the same URLs, each scored by models that never
-saw its fold.
+saw its fold. Counts are exact and stay in Spark, however many contexts the URLs hold.
 """
 
 from __future__ import annotations
@@ -12,21 +12,24 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ferrule.llm.common import table
+from ferrule.llm.common import Tables, portions, table
+from ferrule.llm.grams import codes, least_count, pairs
 
 #: Fixed values: (host, path, verdict) of the default rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Longest context, and weight of the next shorter context.
 ORDER, SHORTER = 4, 2.0
-#: Slots of a count table for each distinct context and sign that the URLs hold, and the binary logarithm of its least size.
-ROOM, LEAST_BITS = 8, 18
+#: Grams (contexts with a sign), at most, whose values are sent to the tasks that read the URLs; the rest is joined.
+LOCAL = 1 << 18
 #: Bins of the calibration, over log-likelihood differences per character from -SPAN to SPAN.
 BINS, SPAN = 2000, 5.0
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _asciilower(c: Column) -> Column:
@@ -49,136 +52,114 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return rule, verdict
 
 
-def _hashes(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of context plus sign, hashes of context) by order and position, and the length of each URL with its end."""
-    lead = b"\x02" * ORDER
-    text = b"".join(lead + u + b"\x03" for u in urls)
-    sizes = np.array([len(u) + 1 for u in urls])
-    signs = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
-    at = np.arange(int(sizes.sum())) + np.repeat(ORDER * (1 + np.arange(len(urls))), sizes)
-    joint, context = [], []
-    for k in range(ORDER + 1):
-        h = np.full(len(at), k + 1, np.uint64)
-        for j in range(k, 0, -1):
-            h = (h + signs[at - j]) * _PRIME
-            h ^= h >> np.uint64(31)
-        context.append(h)
-        h = (h + signs[at] + np.uint64(1 << 20)) * _PRIME
-        joint.append(h ^ (h >> np.uint64(31)))
-    return np.array(joint), np.array(context), sizes
-
-
-def _fold(h: np.ndarray, bits: int) -> np.ndarray:
-    """Slots of hashes in a table of 2**bits."""
-    return (h * _PRIME >> np.uint64(64 - bits)).astype(np.int64)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(url, label, fold) -> gram and how often it stands in the URLs of each label and fold, and in those without a label."""
+    for b in portions(batches, 0):
+        label, fold = (pc.fill_null(c, -1).to_numpy(zero_copy_only=False) for c in b.columns[1:])
+        kind = np.where(label < 0, 4, label * 2 + fold)
+        for k in np.unique(kind).tolist():
+            grams, n = np.unique(codes(b.column(0).filter(pa.array(kind == k)), b"", True, ORDER)[1], return_counts=True)
+            yield pa.record_batch([pa.array(grams), *[pa.array(n.astype(np.int64) if k == j else np.zeros(len(n), np.int64)) for j in range(5)]], names=["gram", *_COUNTS, "other"])
 
 
-def table_bits(urls: DataFrame) -> int:
-    """The binary logarithm of the table size for all rows of ``urls`` (url binary): it grows with their distinct contexts."""
+#: Counts of a gram: by label (0 blocked, 1 allowed) and fold. Models: of all URLs, and of one fold's.
+_COUNTS = ("n00", "n01", "n10", "n11")
+_MODELS = ("both", "fold0", "fold1")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = [u or b"" for u in b.column(0).to_pylist()]
-            for at in range(0, len(data), 5000):
-                yield pa.record_batch([pa.array(np.unique(_hashes(data[at : at + 5000])[0]).view(np.int64))], names=["h"])
 
-    n = urls.select("url").mapInArrow(work, "h long").agg(F.approx_count_distinct("h", 0.02)).first()[0]
-    return max(LEAST_BITS, int(ROOM * n).bit_length())
+def _of_model(model: str, label: int, prefix: str = "n") -> Column:
+    folds = (0, 1) if model == "both" else (int(model[-1]),)
+    return sum((F.col(f"{prefix}{label}{f}") for f in folds), F.lit(0))
 
 
-def _likelihood(counts: np.ndarray, contexts: np.ndarray, joint: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Log chance of each position: each order leans on the next shorter one, the shortest on 256 equal signs."""
-    p = np.full(joint.shape[1], 1 / 256)
-    for k in range(ORDER + 1):
-        p = (np.minimum(counts[joint[k]], contexts[context[k]]) + SHORTER * p) / (contexts[context[k]] + SHORTER)
-    return np.log(p)
-
+def differences(urls: DataFrame, tables: Tables) -> DataFrame:
+    """(url, label, fold) -> gram, n_all and, for each model, what its last sign adds to the log-likelihood difference.
 
-def ratios(model: np.ndarray, urls: list[bytes]) -> np.ndarray:
-    """Log-likelihood difference per character, allowed less blocked. model: [class][signs or contexts][slot]."""
-    if not urls:
-        return np.empty(0)
-    bits = model.shape[-1].bit_length() - 1
-    joint, context, sizes = _hashes(urls)
-    joint, context = _fold(joint, bits), _fold(context, bits)
-    each = _likelihood(*model[1], joint, context) - _likelihood(*model[0], joint, context)
-    return np.add.reduceat(each, np.cumsum(sizes) - sizes) / sizes
-
-
-def train(urls: DataFrame) -> np.ndarray:
-    """(url binary, label 0 or 1, fold 0 or 1) -> counts [fold][class][signs or contexts][slot] over all rows.
-
-    Every task sums its rows into tables whose size grows with the distinct contexts of all rows (``table_bits``), so that slots that
-    two contexts share stay rare; the sums of the tasks are added up before anything is sent.
+    Counts are exact, of every distinct context and sign. Those of a shorter context are sums over the longer ones. Level by level
+    each order leans on the next shorter one, the shortest on 256 equal signs; a level joins a gram to its shorter one and adds up
+    the signs of its context, groups of at most 256 rows.
     """
-    bits = table_bits(urls)
-    slots = 1 << bits
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2, 2, slots), np.int64)
-        for b in batches:
-            label, fold = b.column(1).to_numpy(), b.column(2).to_numpy()
-            data = b.column(0).to_pylist()
-            for y in (0, 1):
-                for f in (0, 1):
-                    own = [data[k] for k in np.flatnonzero((label == y) & (fold == f))]
-                    for at in range(0, len(own), 5000):
-                        for kind, h in enumerate(_hashes(own[at : at + 5000])[:2]):
-                            slot, n = np.unique(_fold(h, bits), return_counts=True)
-                            total[f, y, kind, slot] += n
-        flat = total.ravel()
-        slot = np.flatnonzero(flat)
-        yield pa.record_batch([pa.array(slot), pa.array(flat[slot])], names=["slot", "n"])
-
-    out = np.zeros(8 * slots, np.int64)
-    sums = urls.select("url", "label", "fold").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = sums.toPandas()  # a row for each distinct context, at most: characters in fours, not URLs
-    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return out.reshape(2, 2, 2, slots)
-
-
-def _scored(rows: DataFrame, columns: list[str], model_of, sent) -> DataFrame:
-    """rows with ``url`` binary -> their columns and ``ratio``; model_of(model, fold) picks the counts."""
-    schema = T.StructType([*[rows.schema[c] for c in columns], T.StructField("ratio", T.DoubleType())])
-    folded = "fold" in columns
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for b in batches:
-            for at in range(0, b.num_rows, 4000):
-                part = b.slice(at, 4000)
-                urls = [u or b"" for u in part.column(part.num_columns - 1).to_pylist()]
-                fold = part.column(columns.index("fold")).to_numpy() if folded else np.zeros(len(urls), int)
-                out = np.empty(len(urls))
-                for f in set(fold.tolist()):
-                    own = np.flatnonzero(fold == f)
-                    out[own] = ratios(model_of(model, f), [urls[k] for k in own])
-                yield pa.record_batch([*part.columns[:-1], pa.array(out)], names=[*columns, "ratio"])
-
-    return rows.select(*columns, "url").mapInArrow(work, schema)
-
-
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in _COUNTS]
+    counts = urls.select("url", "label", "fold").mapInArrow(_counted, "gram long, n00 long, n01 long, n10 long, n11 long, other long")
+    levels = {ORDER: tables.write("grams", counts.groupBy("gram").agg(*sums, F.sum("other").alias("other")))}
+    for k in range(ORDER - 1, -1, -1):
+        levels[k] = tables.write(f"grams{k}", levels[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")).agg(*sums))
+    done, chances = None, [f"p_{m}{y}" for m in _MODELS for y in (0, 1)]
+    for k in range(ORDER + 1):
+        level, after = levels[k], Window.partitionBy(F.shiftright("gram", 8))
+        if done is None:
+            level = level.withColumns({f"up_{c}": F.lit(1 / 256) for c in chances})
+        else:
+            up = done.select(F.col("gram").alias("up"), *[F.col(c).alias(f"up_{c}") for c in chances])
+            level = level.withColumn("up", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(up, "up").drop("up")
+        level = level.withColumns({f"of_{c}": F.sum(c).over(after) for c in _COUNTS})
+        smoothed = {f"p_{m}{y}": (_of_model(m, y) + SHORTER * F.col(f"up_p_{m}{y}")) / (_of_model(m, y, "of_n") + SHORTER) for m in _MODELS for y in (0, 1)}
+        done = level.withColumns(smoothed).drop(*[f"up_{c}" for c in chances], *[f"of_{c}" for c in _COUNTS])
+    n_all = sum((F.col(c) for c in _COUNTS), F.col("other"))
+    out = tables.write("differences", done.select("gram", n_all.alias("n_all"), *[F.log(F.col(f"p_{m}1") / F.col(f"p_{m}0")).alias(m) for m in _MODELS]))
+    tables.drop("grams", *[f"grams{k}" for k in range(ORDER)])
+    return out
+
+
+_FOUND = ("row", "own", "size", "ratio", "held", "gram", "times")
+
+
+def _looked_up(own_type: pa.DataType, grams: pa.Array, values: dict[str, np.ndarray]):
+    """(own, fold, url) -> a row for each URL with the sums of what is found here, and rows for the grams that are not."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done = TaskContext.get().partitionId() << 36, 0
+        for b in portions(batches, 2):
+            n = b.num_rows
+            rows, fold = task + done + np.arange(n), b.column(1).to_numpy()
+            done += n
+            at, gram = codes(b.column(2), b"", True, ORDER)
+            found = pc.fill_null(pc.index_in(pa.array(gram), value_set=grams), -1).to_numpy()
+            hit = found >= 0
+            owner, place = at[hit], found[hit]
+            ratio, held = np.zeros(n), np.zeros(n)
+            ratio += np.bincount(owner, values["both"][place], n)
+            held += np.bincount(owner, np.where(fold[owner] == 0, values["fold1"][place], values["fold0"][place]), n)  # by the other fold's model
+            size, none = np.bincount(at, minlength=n), pa.nulls(n, pa.int64())
+            yield pa.record_batch([pa.array(rows), b.column(0), *map(pa.array, (size, ratio, held)), none, none], names=_FOUND)
+            owner, rest, times = pairs(at[~hit], gram[~hit])
+            m, zero = len(rest), pa.array(np.zeros(len(rest)))
+            yield pa.record_batch([pa.array(rows[owner]), pa.nulls(m, own_type), pa.array(np.zeros(m, np.int64)), zero, zero, pa.array(rest), pa.array(times)], names=_FOUND)
+
+    return look
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, local: int = LOCAL) -> DataFrame:
     """``pages`` -> (id, host, path, rule, verdict, ratio): allow or block for every row.
 
     The rule's verdict where one fits, else by the models; ratio is the log-likelihood difference per character of every
     row. A null URL counts as empty. Where no URL is allowed by rule, or none is blocked, the models can't tell and allow.
-    Other columns are not read; repeated rows count as often as they stand; an empty table gives an empty result.
+    Other columns are not read; repeated rows count as often as they stand; an empty table gives an empty result. At most
+    ``local`` grams, the most frequent, are sent to the tasks that read the URLs; the others are joined.
     """
-    spark = pages.sparkSession
-    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("u"))
+    tables = Tables(pages.sparkSession)
+    plain = pages.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("u"))
     host, path = host_path("u")
-    split = own.select("id", "u", host.alias("host"), path.alias("path"))
+    split = plain.select("id", "u", host.alias("host"), path.alias("path"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    rows = split.select("id", "host", "path", rule.alias("rule"), ruled.alias("ruled"), F.coalesce("u", F.lit("")).cast("binary").alias("url"))
-    known = rows.where("ruled is not null").select("url", (F.col("ruled") == "allow").cast("int").alias("label"), F.pmod(F.xxhash64("url"), F.lit(2)).cast("int").alias("fold"))
-    counts = train(known)
-    # each fold is scored by the counts of the other
-    held = _scored(known, ["label", "fold"], lambda m, f: m[1 - f], spark.sparkContext.broadcast(counts))
-    bins = held.select("label", F.floor((F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN - 1e-9), F.col("ratio"))) + SPAN) * (BINS / (2 * SPAN))).cast("int").alias("bin")).groupBy("label", "bin").count()
+    rows = split.select("id", "host", "path", rule.alias("rule"), ruled.alias("ruled"), F.col("u").alias("url"), F.pmod(F.xxhash64("u"), F.lit(2)).cast("int").alias("fold"))
+    each = differences(rows.select("url", (F.col("ruled") == "allow").cast("int").alias("label"), "fold"), tables)
+    sent = each.where(F.col("n_all") >= least_count(each, local)).select("gram", *_MODELS).toArrow()
+    own = rows.select(F.struct("id", "host", "path", "rule", "ruled", "fold").alias("own"), "fold", "url")
+    own_type = own.schema["own"].dataType
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("own", own_type), T.StructField("size", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("ratio", "held")], *[T.StructField(c, T.LongType()) for c in ("gram", "times")]])
+    look = _looked_up(to_arrow_type(own_type), sent["gram"].combine_chunks(), {m: sent[m].to_numpy() for m in _MODELS})
+    found = tables.write("urls", own.mapInArrow(look, schema))
+    rest = found.where("gram is not null").select("row", "gram", "times").join(each.drop("n_all"), "gram")
+    more = rest.groupBy("row").agg(*[F.sum(F.col("times") * F.col(m)).alias(m) for m in _MODELS])
+    added = lambda m: F.coalesce(F.col(f"m.{m}"), F.lit(0.0))
+    texts = found.where("gram is null").alias("u").join(more.alias("m"), F.col("u.row") == F.col("m.row"), "left")
+    held = F.col("u.held") + F.when(F.col("own.fold") == 0, added("fold1")).otherwise(added("fold0"))
+    scored = tables.write("scored", texts.select("own.*", ((F.col("u.ratio") + added("both")) / F.col("size")).alias("ratio"), (held / F.col("size")).alias("held")))
+    label = (F.col("ruled") == "allow").cast("int").alias("label")
+    place = F.floor((F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN - 1e-9), F.col("held"))) + SPAN) * (BINS / (2 * SPAN))).cast("int").alias("bin")
+    bins = scored.where("ruled is not null").select(label, place).groupBy("label", "bin").count()
     threshold = calibrate([(r["label"], r["bin"], r["count"]) for r in bins.collect()])  # at most 2 * BINS rows
-    model = counts.sum(axis=0)
-    scored = _scored(rows, ["id", "host", "path", "rule", "ruled"], lambda m, f: m, spark.sparkContext.broadcast(model))
     by_model = F.when(F.col("ratio") >= threshold, "allow").otherwise("block")
     return scored.select("id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "ratio")
 
