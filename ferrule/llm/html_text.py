@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,8 @@ from pyspark.sql import types as T
 from ferrule.llm.boosting import Boosted, fit
 from ferrule.llm.common import drawn, table
 
-#: Pages that the model is fitted on, drawn by hash (never over twice as many), among those of so many characters at most.
-TRAIN_PAGES, TRAIN_CHARS = 500, 200_000
-#: Open elements that a start tag looks through for one that it closes; deeper nesting closes by end tags alone.
-LOOK = 256
+#: Pages that the model is fitted on, drawn by hash whatever their length (never over twice as many), and nodes of a page and its layouts, drawn too.
+TRAIN_PAGES, TRAIN_NODES = 500, 1500
 #: Other layouts of each sampled page.
 LAYOUTS = 4
 #: Pages whose nodes are scored together.
@@ -49,7 +48,10 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 _ATTR = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLOSE = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in UNSEEN}
-_HASHED = 8
+#: Elements that hold running text; shares of their own odds and of their like siblings' (the rest is their parent's); log odds that count as out of the question.
+PROSE = frozenset("blockquote dd dl dt h1 h2 h3 h4 h5 h6 li ol p pre table ul".split())
+OWN, LIKE, FAR = 0.25, 0.4, 2.5
+_HASHED = 16
 N_FEATURES = 26 + _HASHED
 #: Columns that tell names, hidden in half of the training rows.
 _NAMED = [*range(17, 23), *range(26, 26 + _HASHED)]
@@ -65,6 +67,7 @@ class Page:
         self.length = max(1, len(text))
         stack, link, pos, n = [0], False, 0, len(text)
         self.open: Counter[str] = Counter()  # open nodes by element
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack they are
         plain: Counter[str] = Counter()  # open inline elements that are no nodes, since the last node of that element
         held: list[int] = []  # what ``plain`` was before each open inline node
         once: set[str] = set()
@@ -132,34 +135,35 @@ class Page:
             x.append(0)
         self.at.append(pos)
         if name != "hr":
+            self.places[name].append(len(stack))
             stack.append(len(self.tag) - 1)
             self.open[name] += 1
 
     def _close(self, stack: list[int], name: str) -> None:
         """Close the innermost open node of that name, which there is, and all in it."""
         while True:
-            tag = self.tag[stack.pop()]
-            self.open[tag] -= 1
+            tag = self._pop(stack)
             if tag == name:
                 break
 
+    def _pop(self, stack: list[int]) -> str:
+        tag = self.tag[stack.pop()]
+        self.open[tag] -= 1
+        self.places[tag].pop()
+        return tag
+
     def _imply(self, stack: list[int], name: str) -> None:
-        """Close what a start tag closes. The stack is searched only where there is something to close."""
+        """Close what a start tag closes: the innermost such element, unless one that holds it off is open in it."""
         shut = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(name, ())
         if name in ENDS_P:
             shut = (*shut, "p")
         if not any(self.open[t] for t in shut):
             return
         stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}.get(name, ("td", "th", "table"))
-        for k in range(len(stack) - 1, max(0, len(stack) - 1 - LOOK), -1):
-            tag = self.tag[stack[k]]
-            if tag in shut:
-                for x in stack[k:]:
-                    self.open[self.tag[x]] -= 1
-                del stack[k:]
-                break
-            if tag in stop:
-                break
+        top = lambda tags: max((self.places[t][-1] for t in tags if self.open[t]), default=-1)
+        if (k := top(shut)) > top(stop):
+            while len(stack) > k:
+                self._pop(stack)
 
     def _text(self, node: int, text: str, link: bool) -> None:
         self.pieces.append((node, text))
@@ -204,7 +208,7 @@ class Page:
             x[:, k] = c
         for k, ws in enumerate(self.names):
             for w in ws:
-                x[k, 26 + sum(w.encode()) % _HASHED] = 1
+                x[k, 26 + zlib.crc32(w.encode()) % _HASHED] = 1
         return x
 
     def seeds(self) -> np.ndarray | None:
@@ -222,6 +226,27 @@ class Page:
             own[self.parent[k]] |= own[k]
         return own.astype(float)
 
+    def together(self, p: np.ndarray) -> np.ndarray:
+        """Chances in which the nameless text blocks of one parent lean on each other: prose is kept or dropped as a whole.
+
+        A block's log odds are mixed with the mean of its like among its siblings, by characters, and with its parent's. Names speak for themselves. Where
+        no node of a page is likely, the odds are raised so that the likeliest is, unless it is far from it.
+        """
+        odds = np.log(np.clip(p, 1e-4, 1 - 1e-4) / np.clip(1 - p, 1e-4, 1))
+        plain = np.array([t in PROSE and not ws for t, ws in zip(self.tag, self.names)])
+        own = np.flatnonzero(plain)
+        if len(own):
+            parent, weight = np.array(self.parent)[own], 1.0 + np.array(self.chars, float)[own]
+            n = len(self.tag)
+            mean = np.bincount(parent, weight * odds[own], n) / np.maximum(np.bincount(parent, weight, n), 1)
+            page = np.array([t in ("#", "html", "body") for t in self.tag])
+            above = np.where(page[parent], mean[parent], odds[parent])  # what a page as a whole is tells nothing
+            odds[own] = OWN * odds[own] + LIKE * mean[parent] + (1 - OWN - LIKE) * above
+        text = np.array(self.chars) > 0
+        if text.any() and -FAR < (best := odds[text].max()) < 0:
+            odds += 1 - best
+        return 1 / (1 + np.exp(-odds))
+
     def decode(self, p: np.ndarray) -> str:
         """Best consistent labels, then the kept blocks' text.
 
@@ -250,8 +275,8 @@ class Page:
 
 
 _KEEP, _DROP = "trainkeep", "traindrop"
-_WRAPS = ("article", "main", 'div class="post-content"', 'div id="content"', 'section class="entry"', 'div class="story-body"', "div", "td", "body")
-_EDGES = ("nav", "header", "footer", "aside", 'div class="menu"', 'div id="sidebar"', 'div class="top-nav"', 'ul class="navbar"', 'div class="related"', 'div class="breadcrumbs"', 'div id="footer"', 'div class="social-share"', "div")
+_WRAPS = ("article", "main", 'div class="post-content"', 'div id="content"', 'section class="entry"', 'div class="story-body"', "div", "div", "div", "section", "section", "td", "body")
+_EDGES = ("nav", "header", "footer", "aside", 'div class="menu"', 'div id="sidebar"', 'div class="top-nav"', 'ul class="navbar"', 'ul class="menu"', 'div class="related"', 'div class="breadcrumbs"', 'div id="footer"', 'div class="social-share"', "div")
 _WITHIN = ('div class="ad"', 'div class="cookie-notice"', "form", "aside", 'div class="newsletter-signup"', 'p class="notice"', 'div class="promo"')
 _INLINE_KEPT = ('span class="highlight"', 'a class="link"', 'em class="term"', 'strong id="key"', 'span class="dropcap"', 'code class="literal"', 'time class="date"', 'span class="caps"')
 _INLINE_DROPPED = ('span class="ad"', 'span class="promo"', 'a class="share-link"', 'a class="sponsored"', 'span class="comment-count"', 'small class="notice"', 'label class="newsletter"')
@@ -261,6 +286,7 @@ _AFTER = ('div class="comments"', 'section id="comments"', 'ol class="comment-li
 def laid_out(kept: list[str], other: list[str], rng: np.random.Generator) -> str:
     """A page of the same texts in another layout; its parts carry marks that tell what is content."""
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    rich = pick((0.3, 1.0, 3.0))  # how often the text holds more than paragraphs
     clean = lambda t: html.escape(t[: int(rng.integers(20, 2000))])
 
     def part(kind: str, inner: str, mark: str) -> str:
@@ -271,6 +297,21 @@ def laid_out(kept: list[str], other: list[str], rng: np.random.Generator) -> str
     links = lambda: "".join(f"<li><a href=x>{clean(w)[:30]}</a></li>" for w in pick(other).split()[: int(rng.integers(2, 9))])
     lines = lambda: "".join(f"<p>{clean(pick(other))}</p>" for _ in range(int(rng.integers(1, 4))))
     tag = pick(("p", "p", "p", "div", "li", "blockquote"))
+    short = lambda: clean(pick(kept))[: int(rng.integers(8, 90))]
+
+    def content() -> list[str]:
+        """Now and then: a heading, a list, a table, a short block, all of the text and none with a name."""
+        kind, many = rng.random() / rich, range(int(rng.integers(1, 5)))
+        if kind < 0.05:
+            level = pick(("h2", "h3", "h4"))
+            return [f"<{level}>{short()[:50]}</{level}>"]
+        if kind < 0.09:
+            return [f"<ul>{''.join(f'<li>{short()}</li>' for _ in many)}</ul>"]
+        if kind < 0.13:
+            return [f"<table>{''.join(f'<tr><td>{short()}</td><td>{short()[:20]}</td></tr>' for _ in many)}</table>"]
+        block = pick(("p", "p", "div"))
+        return [f"<{block}>{short()}</{block}>"] if kind < 0.18 else []
+
     body = [f"<{pick(('h1', 'h2'))}>{clean(kept[0])[:60]}</h1>"] * int(rng.integers(0, 2))
     for text in kept:
         words = clean(text)
@@ -281,10 +322,15 @@ def laid_out(kept: list[str], other: list[str], rng: np.random.Generator) -> str
             inner = words[at:end] if mine else clean(pick(other))[:80]
             words = words[:at] + part(pick(_INLINE_KEPT if mine else _INLINE_DROPPED), inner, _KEEP if mine else _DROP) + words[end:]
         body.append(f"<{tag}>{words}</{tag}>")
+        body += content()
         if rng.random() < 0.08:
             body.append(part(pick(_WITHIN), pick((lines, links))(), _DROP))
     middle = part(pick(_WRAPS), "".join(body), _KEEP)
-    edge = lambda: part(pick(_EDGES), pick((links, links, lines))(), _DROP)
+
+    def edge() -> str:  # prose without any name around it is taken for content, so it is no edge
+        kind = pick(_EDGES)
+        return part(kind, (links if kind == "div" else pick((links, links, lines)))(), _DROP)
+
     out = [edge() for _ in range(int(rng.integers(0, 4)))] + [middle]
     if rng.random() < 0.3:
         out.append(part(pick(_AFTER), "".join(f"<p>{clean(pick(kept))[:150]}</p>" for _ in range(int(rng.integers(1, 6)))), _DROP))
@@ -323,17 +369,21 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     x[:, _NAMED] = 0
                 xs.append(x)
                 ys.append(label)
-            yield pa.record_batch([pa.array([order]), pa.array([np.concatenate(xs).tobytes()], pa.binary()), pa.array([np.concatenate(ys).tobytes()], pa.binary())], names=["page", "x", "y"])
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            if len(x) > TRAIN_NODES:
+                some = np.sort(rng.choice(len(x), TRAIN_NODES, replace=False))
+                x, y = x[some], y[some]
+            yield pa.record_batch([pa.array([order]), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names=["page", "x", "y"])
 
 
 def train(pages: DataFrame, html_col: str = "html", rows: int = TRAIN_PAGES) -> Boosted:
-    """Fit on about ``rows`` pages, drawn by hash among those of TRAIN_CHARS characters or fewer, that name their content.
+    """Fit on about ``rows`` pages, drawn by hash, that name their content; of each at most TRAIN_NODES nodes, drawn too.
 
     None: every node is as likely content as not. Pages are read and laid out in tasks; numbers alone reach the driver.
     """
-    own = pages.where(F.char_length(F.col(f"`{html_col}`")) <= TRAIN_CHARS).select(F.col(f"`{html_col}`").alias("whole"))
+    own = pages.select(F.col(f"`{html_col}`").alias("whole")).where("whole is not null")
     sample = drawn(own, F.col("whole"), own.count(), rows).select(F.xxhash64("whole").alias("page"), "whole").repartition(12, "page")
-    found = sample.mapInArrow(_examples, "page long, x binary, y binary").collect()  # about ``rows`` pages of TRAIN_CHARS characters at most
+    found = sample.mapInArrow(_examples, "page long, x binary, y binary").collect()  # TRAIN_NODES rows of numbers a page at most
     found.sort(key=lambda r: r["page"])
     x = np.frombuffer(b"".join(r["x"] for r in found), np.float32).reshape(-1, N_FEATURES)
     return fit(x, np.frombuffer(b"".join(r["y"] for r in found)))
@@ -357,7 +407,7 @@ def extract(pages: DataFrame, model: Boosted, id_col: str = "page_id", url_col:
                 group = [Page(x.as_py() or "") for x in part.column(2)]
                 xs = [g.features() for g in group]
                 p = np.split(m.predict(np.concatenate(xs)), np.cumsum([len(x) for x in xs])[:-1])
-                texts = [g.decode(q) for g, q in zip(group, p)]
+                texts = [g.decode(g.together(q)) for g, q in zip(group, p)]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([t.count("\n\n") + bool(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_blocks"])
 
     return pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(work, schema)
