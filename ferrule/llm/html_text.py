@@ -242,6 +242,14 @@ class Page:
             page = np.array([t in ("#", "html", "body") for t in self.tag])
             above = np.where(page[parent], mean[parent], odds[parent])  # what a page as a whole is tells nothing
             odds[own] = OWN * odds[own] + LIKE * mean[parent] + (1 - OWN - LIKE) * above
+        # a nameless wrapper around one thing is what that thing is
+        inner, holds = [0] * len(self.tag), [c > 0 for c in self.chars]
+        for k in range(len(self.tag) - 1, 0, -1):
+            if inner[k] > 0 and not self.chars[k] and not self.names[k] and self.tag[k] not in BAD_TAGS:
+                odds[k] = odds[inner[k]]
+            if holds[k]:
+                up = self.parent[k]
+                holds[up], inner[up] = True, -1 if inner[up] else k
         text = np.array(self.chars) > 0
         if text.any() and -FAR < (best := odds[text].max()) < 0:
             odds += 1 - best
