@@ -123,9 +123,18 @@ def first_match(rows: DataFrame, rules: Sequence[tuple], key: Sequence[str]) ->
     return rows.select(*key, rule.alias("rule_id"), severity.alias("severity")).where("rule_id is not null")
 
 
+#: Rows that a table of rules may have to be sent to every task.
+SMALL = 20_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A caller's table with a broadcast hint if it has at most SMALL rows, which is counted; beyond that as it is, so that Spark deals it out."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
+
+
 def first_match_table(rows: DataFrame, rules: DataFrame, text: str, key: Sequence[str]) -> DataFrame:
-    """As ``first_match``, for a small table of rules (rule_id, priority, pattern): broadcast, then the best by a partial minimum."""
-    hit = rows.join(F.broadcast(rules), F.expr(f"{text} rlike pattern"))
+    """As ``first_match``, for a table of rules (rule_id, priority, pattern): broadcast if small, then the best by a partial minimum."""
+    hit = rows.join(small(rules), F.expr(f"{text} rlike pattern"))
     return hit.groupBy(*key).agg(F.min(F.struct("priority", "rule_id")).alias("m")).select(*key, F.col("m.rule_id").alias("rule_id"))
 
 

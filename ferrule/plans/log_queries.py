@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ferrule.operators import tabular as O
@@ -56,8 +57,9 @@ def log_sessions(t):
 SELECT event_id, user_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'error') WHERE k <= 3""")
 def newest_findings(t):
     """The newest findings of each file, a given number (LOG-09)."""
-    rows = t.events.where("event_type = 'error'").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("ts", "event_id")), lambda a, b: F.when((a["ts"] > b["ts"]) | ((a["ts"] == b["ts"]) & (a["event_id"] > b["event_id"])), -1).otherwise(1)), 1, 3).alias("top"))
-    return rows.select("user_id", F.explode("top").alias("e")).select(F.col("e.event_id").alias("event_id"), "user_id", F.col("e.ts").alias("ts"))
+    newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    rows = t.events.where("event_type = 'error'").withColumn("k", F.row_number().over(newest))
+    return rows.where("k <= 3").select("event_id", "user_id", "ts")
 
 
 @query("""

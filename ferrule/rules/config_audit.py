@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.operators.tabular import small
+
 #: Weight of a rule by severity, and the least score of each label.
 WEIGHTS = {"critical": 3.0, "warning": 1.5, "info": 0.5}
 LABELS = ((85.0, "compliant"), (60.0, "partial"))
@@ -52,7 +54,7 @@ def applicable(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules that apply to each file: type equal or empty, role listed or empty. files: (path, type, role)."""
     roles = rules.withColumn("_role", F.explode(F.when(F.coalesce("roles", F.lit("")) == "", F.array(F.lit(None).cast("string"))).otherwise(F.split("roles", r"\|"))))
     cond = (F.coalesce("file_type", F.lit("")) == "") | (F.col("file_type") == F.col("type"))
-    return files.join(F.broadcast(roles), cond & (F.col("_role").isNull() | (F.trim("_role") == F.col("role")))).drop("_role").distinct()
+    return files.join(small(roles), cond & (F.col("_role").isNull() | (F.trim("_role") == F.col("role")))).drop("_role").distinct()
 
 
 #: Keys that make a section an environment; keys that define a database, in a section of its own or in an environment.
@@ -88,7 +90,7 @@ def audit(keys: DataFrame, sections: DataFrame, files: DataFrame, rules: DataFra
     """Findings of all rules on all files, in one join pipeline.
 
     keys: (path, section, key, value, note); sections: (path, section); files: (path, type, role); rules: (rule_id, key,
-    section, kind, expected, severity, file_type, roles, conditional), a small catalog that is broadcast. A rule's section
+    section, kind, expected, severity, file_type, roles, conditional), a catalog that is broadcast if small. A rule's section
     is ``*``, a name, a prefix ending in ``/``, or ``environment``, which also means all sections with an environment's key. Rules
     on a database section that another source makes redundant end as ``ok_with_note``. A missing key counts only for a critical or warning rule that is not
     conditional; only a critical one lowers the score, and doubly. A note that says a value is meant turns a finding

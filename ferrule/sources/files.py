@@ -12,7 +12,7 @@ from ferrule.functions.text import glob_regex
 #: Folders that are never read, and endings of back-up copies.
 SKIPPED_FOLDERS = (".git", "node_modules", ".venv")
 BACKUPS = (".bak", ".old", ".orig", ".tmp", "~")
-MOST_BYTES = 5 << 20
+MOST_BYTES = 5_000_000
 #: Windows-1252 characters of the bytes 80 to 9F; the five unused bytes keep their code.
 CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 
@@ -33,19 +33,27 @@ def basename(path: Column) -> Column:
     return F.regexp_replace(path, r"^.*[/\\]", "")
 
 
-def kept_files(files: DataFrame, endings: Sequence[str], ignore: Sequence[str] = ()) -> DataFrame:
-    """Files with one of the endings, in no skipped folder, no back-up, neither empty nor too large, and not ignored."""
+def kept_files(files: DataFrame, endings: Sequence[str], ignore: Sequence[str] = (), most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Files with one of the endings, in no skipped folder, no back-up, not ignored, and neither empty nor of more than ``most_bytes``.
+
+    What the last bound leaves out is listed by ``too_large``.
+    """
     low = F.lower("path")
     cond = low.rlike("(" + "|".join(e.lower().replace(".", r"\.") for e in endings) + ")$")
     cond &= ~low.rlike("(^|/)(" + "|".join(d.replace(".", r"\.") for d in SKIPPED_FOLDERS) + ")/")
     for b in BACKUPS:
         cond &= ~low.endswith(b)
-    cond &= (F.col("length") > 0) & (F.col("length") <= MOST_BYTES)
+    cond &= (F.col("length") > 0) & (F.col("length") <= most_bytes)
     for pattern in ignore:
         cond &= ~F.col("path").rlike(glob_regex(pattern))
     return files.where(cond)
 
 
+def too_large(files: DataFrame, endings: Sequence[str], ignore: Sequence[str] = (), most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(path, length) of the files that ``kept_files`` would keep but for their size."""
+    return kept_files(files, endings, ignore, (1 << 63) - 1).where(F.col("length") > most_bytes).select("path", "length")
+
+
 def collisions(files: DataFrame) -> DataFrame:
     """Base names that several files share, regardless of case."""
     return files.groupBy(F.lower(basename(F.col("path"))).alias("file")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths")).where("n > 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.operators.tabular import sessions, since
+from ferrule.operators.tabular import sessions, since, small
 from ferrule.rules.static import lines
 
 #: Levels that may open a line in square brackets, and the opening words of an error report of a thread.
@@ -75,7 +75,7 @@ def diagnose(rows: DataFrame, rules: DataFrame, key: str = "path", severities: t
     if severities:
         rules = rules.where(F.col("severity").isin(*severities))
     text = F.concat_ws("\n", "header", "body")
-    hit = rows.withColumn("_text", text).join(F.broadcast(rules), F.expr("_text rlike pattern"))
+    hit = rows.withColumn("_text", text).join(small(rules), F.expr("_text rlike pattern"))
     best = hit.groupBy(key, "line").agg(F.min(F.struct("priority", "rule_id", "severity", "category", "pattern", "message", "ts", "thread", "header", "_text")).alias("m")).select(key, "line", "m.*")
     message = F.col("message")
     for k in range(1, 5):

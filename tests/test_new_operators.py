@@ -129,3 +129,22 @@ def test_innermost_as_brute_force(spark, monkeypatch, ends):
 def test_innermost_of_nothing(spark):
     points, spans = spark.createDataFrame([(1, 2)], "point int, at int"), spark.createDataFrame([], "span string, low int, high int")
     assert tabular.innermost(points, spans).collect() == [] == tabular.innermost(points.limit(0), spark.createDataFrame([("a", 1, 3)], spans.schema)).collect()
+
+
+def test_large_tables_of_rules_are_not_broadcast(spark, monkeypatch):
+    rules = spark.createDataFrame([("r1", 2, "a+"), ("r2", 1, "b"), ("r3", 1, "zz")], "rule_id string, priority int, pattern string")
+    rows = spark.createDataFrame([(1, "aa"), (2, "ab"), (3, "c"), (4, None)], "id int, text string")
+    want = {1: "r1", 2: "r2"}
+    for most, hinted in ((20_000, True), (2, False)):
+        monkeypatch.setattr(tabular, "SMALL", most)
+        assert ("ResolvedHint" in tabular.small(rules)._jdf.queryExecution().analyzed().toString()) is hinted
+        assert {r.id: r.rule_id for r in tabular.first_match_table(rows, rules, "text", ["id"]).collect()} == want
+
+
+def test_files_that_are_too_large_are_listed(spark):
+    from ferrule.sources import files
+
+    df = spark.createDataFrame([("a.prw", 10), ("b.prw", 5_000_001), ("c.txt", 9_000_000), ("d.prw", 5_000_000), ("e.prw", 0)], "path string, length long")
+    assert sorted(r.path for r in files.kept_files(df, [".prw"]).collect()) == ["a.prw", "d.prw"]
+    assert [tuple(r) for r in files.too_large(df, [".prw"]).collect()] == [("b.prw", 5_000_001)]
+    assert files.kept_files(df, [".prw"], most_bytes=9).count() == 0
