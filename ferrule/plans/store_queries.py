@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.registry import query
-from ferrule.scratch import scratch_path
+from ferrule.scratch import scratch_path, scratch_root
 from ferrule.sources.store import FactStore
 
 
@@ -25,8 +26,9 @@ def sources(t, more: str = "") -> DataFrame:
 
 
 def stored(t) -> FactStore:
-    """A store of its own in the scratch folder, with the sources read in once."""
-    store = FactStore(t.spark, scratch_path(t.spark, "facts"), parts=8)
+    """The store of this application and folder in the scratch folder, brought up to date: the first query derives the facts, later ones find them."""
+    own = hashlib.sha256(t.folder.encode()).hexdigest()[:16]
+    store = FactStore(t.spark, f"{scratch_root(t.spark)}/tables/facts-{t.spark.sparkContext.applicationId}-{own}", parts=8)
     store.ingest(sources(t))
     return store
 
@@ -37,7 +39,8 @@ SELECT 'files' AS table_name, n - gone AS n_rows FROM n UNION ALL SELECT 'units'
 UNION ALL SELECT 'calls', n - gone + late FROM n UNION ALL SELECT 'state_changed', late FROM n UNION ALL SELECT 'state_deleted', gone FROM n UNION ALL SELECT 'state_kept', n - gone - late FROM n UNION ALL SELECT 'state_new', 0 FROM n""")
 def facts_after_change(t):
     """A second ingest after some files have changed and some have gone (SRC-03, 07, 15, 16): rows of the tables, and what was done."""
-    store = stored(t)
+    store = FactStore(t.spark, scratch_path(t.spark, "facts"), parts=8)
+    store.ingest(sources(t))
     number = F.regexp_extract("path", r"(\d+)", 1).cast("int") % 1000
     files = sources(t).where(number != 1).withColumn("text", F.when(number == 2, F.concat("text", F.lit("U_LATE()\n"))).otherwise(F.col("text")))
     done = store.ingest(files)
