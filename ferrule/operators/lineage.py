@@ -86,6 +86,8 @@ def _table(t: Tables, name: str) -> Iterator[DataFrame]:
         yield _edge(2, "trigger_on_table", t["sx7"].where(F.upper("alias") == name), F.concat_ws("#", "source", "seq"), F.col("target"))
     if "routine_calls" in t:
         yield _edge(3, "touched_via_execauto", t["routine_calls"].where(F.array_contains("tables", name)), F.col("routine"), F.col("op_label"))
+    if "docs" in t and "tables" in t["docs"].columns:
+        yield _edge(3, "documented_in", t["docs"].where(F.array_contains("tables", name)), name, F.lit("@table"))
 
 
 def _field(t: Tables, name: str) -> Iterator[DataFrame]:
@@ -142,6 +144,8 @@ def _prompt(t: Tables, name: str) -> Iterator[DataFrame]:
         yield _edge(1, "uses_pergunte", _uses(t["refs"], "prompt", name), name, F.col("n"))
     if "sx1" in t:
         yield _edge(2, "pergunta_definition", t["sx1"].where(F.upper("grp") == name), F.concat_ws(".", "grp", "ord"), F.col("prompt"))
+    if "schedules" in t:
+        yield _edge(3, "scheduled_with_pergunte", t["schedules"].where(F.upper("prompt") == name), name, F.concat(F.lit("sched_type="), F.col("sched_type")))
 
 
 COLLECTORS = {"function": _function, "table": _table, "field": _field, "file": _file, "parameter": _parameter, "prompt": _prompt}

@@ -239,12 +239,13 @@ def header_labels(text: Column, labels: Sequence[str]) -> Column:
 
 
 def doc_blocks(files: DataFrame, key: str = "path") -> DataFrame:
-    """(key, unit, summary, author, since, params, returns, deprecated): doc blocks with the unit name they open with."""
+    """(key, unit, summary, author, since, params, returns, deprecated, tables): doc blocks with the unit name they open with; tables that they name."""
     block = r"(?is)/\*/?\{[^}]*Doc\}[ \t]*(\w+)(.*?)\*/"
     rows = files.select(key, F.explode(F.regexp_extract_all("text", F.lit(block), F.lit(0))).alias("b")).select(key, F.regexp_extract("b", block, 1).alias("unit"), F.regexp_extract("b", block, 2).alias("b"))
     tag = lambda n: F.trim(F.regexp_extract("b", rf"(?im)^[ \t*]*@{n}[ \t]+([^\r\n]*)", 1))
     params = F.regexp_extract_all("b", F.lit(r"(?im)^[ \t*]*@param[ \t]+([^\r\n]*)"), F.lit(1))
-    return rows.select(key, "unit", F.trim(F.regexp_extract("b", r"^\s*([^\r\n@]*)", 1)).alias("summary"), tag("author").alias("author"), tag("since").alias("since"), params.alias("params"), tag("return").alias("returns"), F.col("b").rlike(r"(?i)@deprecated").alias("deprecated"))
+    named_tables = F.transform(F.regexp_extract_all("b", F.lit(r"(?im)^[ \t*]*@table[ \t]+([^\r\n]*)"), F.lit(1)), lambda x: F.upper(F.trim(x)))
+    return rows.select(key, "unit", F.trim(F.regexp_extract("b", r"^\s*([^\r\n@]*)", 1)).alias("summary"), tag("author").alias("author"), tag("since").alias("since"), params.alias("params"), tag("return").alias("returns"), F.col("b").rlike(r"(?i)@deprecated").alias("deprecated"), named_tables.alias("tables"))
 
 
 #: Labels of the operation codes of routine calls, and what starts code outside a direct call.
