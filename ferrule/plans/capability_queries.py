@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ferrule.plans.store_queries import spread
 from ferrule.registry import query
 from ferrule.rules import capabilities as C
-from ferrule.rules import config_audit
-from ferrule.sources import code
+from ferrule.rules import config_audit, config_kinds
+from ferrule.sources import code, config
 
 _BODIES = (
     '  oDlg := MsDialog():New()\n  MemoRead("x")\n',
@@ -65,3 +65,18 @@ def database_sections(t):
     files = t.nation.select(F.col("n_name").alias("path"), F.when(F.col("n_regionkey") == 0, "broker_http").otherwise("standalone").alias("role"))
     found = config_audit.database_sources(keys, files, ("broker_http",))
     return found.select("path", F.array_join("sources", " ").alias("sources"), F.array_join("redundant", " ").alias("redundant"), "conflict")
+
+
+@query("""
+SELECT 'c' || p_partkey || '/' || CASE p_size % 4 WHEN 0 THEN 'dbaccess' WHEN 1 THEN 'broker_rest' ELSE 'server' END || '.ini' AS path,
+  CASE p_size % 4 WHEN 0 THEN 'dbaccess' WHEN 1 THEN 'broker' WHEN 2 THEN 'appserver' ELSE 'custom' END AS type,
+  CASE p_size % 4 WHEN 0 THEN ['dbaccess_master', 'dbaccess_slave', 'dbaccess_standalone'][p_partkey % 3 + 1] WHEN 1 THEN 'broker_rest' WHEN 2 THEN CASE WHEN p_partkey % 5 >= 3 THEN 'standalone_multi_env' ELSE 'standalone' END ELSE 'rest_server' END AS role FROM part""")
+def config_roles(t):
+    """Type and role of configuration files, read from their text (INI-01, INI-02)."""
+    k, s = F.col("p_partkey"), F.col("p_size") % 4
+    mode = F.element_at(F.array(*map(F.lit, ("Master", "slave", "other"))), (k % 3 + 1).cast("int"))
+    many = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < k % 5), lambda i: F.concat(F.lit("[env"), i.cast("string"), F.lit("]\nSourcePath=/x\n"))), "")
+    text = F.when(s == 0, F.concat(F.lit("[General]\nMode="), mode, F.lit("\n"))).when(s == 1, "[Balance_Web_Services]\nport=1\n").when(s == 2, F.concat(F.lit("[General]\na=1\n[Drivers]\nb=1\n"), many)).otherwise("[HttpRest]\na=1\n[HttpJob]\nb=1\n;[oracle]\nc=1\n")
+    name = F.when(s == 0, "dbaccess").when(s == 1, "broker_rest").otherwise("server")
+    files = spread(t).select(F.concat(F.lit("c"), k.cast("string"), F.lit("/"), name, F.lit(".ini")).alias("path"), text.alias("text"))
+    return config_kinds.config_kinds(files, *config_kinds.of_parsed(config.parse(files)))
