@@ -81,6 +81,18 @@ SECRETS = (
 )
 
 
+#: Secrets of compiler output and of masked results, in the order in which they are replaced. Names keep standing; a number alone is no key.
+CONFIG_SECRETS = (
+    (r"(?i)(password)\s*[:=]+\s*\S+", "$1=***REDACTED***"),
+    (r"(?i)(psw)\s*[:=]+\s*\S+", "$1=***REDACTED***"),
+    (r"(?i)(senha)\s*[:=]+\s*\S+", "$1=***REDACTED***"),
+    (r"(?i)(pwd)\s*[:=]+\s*\S+", "$1=***REDACTED***"),
+    (r"\b(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{16,}\b", "***HEX_REDACTED***"),
+    (r"(?i)(aut_file|authorization)\s*[:=]+\s*\S+", "$1=***REDACTED***"),
+    (r"(?i)([a-z][a-z0-9+.-]*://)[^:\s/@]+:[^@\s]+@", "$1[REDACTED]@"),
+)
+
+
 def redact(col: Column, patterns=SECRETS) -> Column:
     """Secrets replaced one pattern after the other."""
     for p, to in patterns:
