@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.operators.tabular import longest_prefix
+
 
 def normal_path(url: Column) -> Column:
     """Path of an end point: no scheme, host, query or fragment; lower case; numeric segments and ${..} as {id}."""
@@ -119,3 +121,22 @@ def interface_findings(use: DataFrame, catalog: DataFrame) -> DataFrame:
     outside = own.join(known, ["component", "binding"]).where("value <> '' and size(allowed) > 0 and not array_contains(allowed, value)")
     columns = ["path", "line", "component", "binding"]
     return lacking.select(*columns, F.lit("interface").alias("kind"), F.lit("").alias("value")).unionByName(outside.select(*columns, F.lit("value").alias("kind"), "value")).distinct()
+
+
+def import_findings(use: DataFrame, imported: DataFrame, catalog: DataFrame, projects: DataFrame) -> DataFrame:
+    """POUI-IMPORT: (path, line, component, package, project): components whose package their project imports nowhere.
+
+    use: (path, line, component); imported: (path, package); catalog: (component, package); projects: (path) of the projects' package.json
+    files. A file belongs to the longest project folder that holds it. Components that the catalog doesn't know, or gives no package, and files
+    outside all projects are not judged. A component comes once a project, at its first file and line.
+    """
+    folders = projects.where(F.col("path").endswith("package.json")).select(F.regexp_replace("path", r"package\.json$", "").alias("root"))
+    top = folders.agg(F.max(F.when(F.col("root") == "", "")).alias("_top"))  # one row
+
+    def placed(rows: DataFrame) -> DataFrame:
+        held = longest_prefix(rows.select("path").distinct(), folders.where("root <> ''")).crossJoin(F.broadcast(top))
+        return rows.join(held.select("path", F.coalesce("root", "_top").alias("project")), "path").where("project is not null")
+
+    known = catalog.where("package <> ''").select("component", "package").distinct()
+    first = placed(use.join(known, "component")).groupBy("project", "component", "package").agg(F.min(F.struct("path", "line")).alias("at"))
+    return first.join(placed(imported).select("project", "package").distinct(), ["project", "package"], "left_anti").select("at.path", "at.line", "component", "package", "project")

@@ -42,7 +42,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from ferrule.plans import capability_queries, catalog_queries, doc_queries, document_queries, graph_queries, index_queries, log_queries, privacy_queries, source_queries, store_queries, structure_queries, table_queries, trace_queries  # noqa: F401
+    from ferrule.plans import capability_queries, catalog_queries, doc_queries, document_queries, graph_queries, index_queries, log_queries, lookup_queries, privacy_queries, source_queries, store_queries, structure_queries, table_queries, trace_queries  # noqa: F401
 
 
 load()

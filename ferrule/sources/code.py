@@ -212,15 +212,32 @@ def source_lines(files: DataFrame, key: str = "path", strings: bool = False) ->
     return lines(files.select(key, text.alias("text")), [key])
 
 
+#: Code blocks that a model runs by itself.
+HOOKS = ("bCommit", "bCancel", "bTudoOk", "bLineOk", "bPosVld", "bPreVld", "bWhen", "bValid", "bLoad")
+
+
+def model_hooks(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, unit, line, kind, callee, callee_norm): hooks of a model that a file assigns, as call edges; names in strings don't count."""
+    pattern = r"(?i)\b(" + "|".join(HOOKS) + r")\s*:?=\s*"
+    some = files.where(F.col("text").rlike(pattern))
+    rows = with_unit(source_lines(some, key, strings=True), key)
+    hit = F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
+    canonical = F.create_map(*[F.lit(x) for h in HOOKS for x in (h.lower(), h)])
+    found = rows.select(key, "unit", "line", F.lit("mvc_hook").alias("kind"), hit.alias("callee")).withColumn("callee", canonical[F.lower("callee")])
+    return found.withColumn("callee_norm", F.upper("callee"))
+
+
 def calls(files: DataFrame, key: str = "path") -> DataFrame:
-    """(key, unit, line, kind, callee, callee_norm): call edges."""
+    """(key, unit, line, kind, callee, callee_norm): call edges; those to a model's hooks are of ``model_hooks``."""
     found = named(with_unit(source_lines(files, key), key), key, ("call",))
     return found.select(key, "unit", "line", "kind", F.col("value").alias("callee"), F.regexp_replace(F.upper("value"), "^U_", "").alias("callee_norm"))
 
 
 def table_modes(files: DataFrame, key: str = "path") -> DataFrame:
-    """(key, name, modes): tables of each file and how they are used; valid codes only."""
-    found = named(source_lines(files, key), key, ("table",)).where(F.upper("value").rlike("^[SZQND][A-Z][0-9A-Z]$"))
+    """(key, name, modes): tables of each file and how they are used; valid codes only. A model that only shows writes nothing."""
+    text = bare_text(files)
+    rows = lines(files.select(key, text.alias("text"), text.rlike(r"(?i)SetOnlyView\s*\(\s*\.T\.").alias("_shows")), [key, "_shows"])
+    found = named(rows, key, ("table",)).where(F.upper("value").rlike("^[SZQND][A-Z][0-9A-Z]$") & ~(F.col("_shows") & (F.col("kind") == "model")))
     return found.groupBy(key, F.upper("value").alias("name")).agg(F.array_sort(F.collect_set("kind")).alias("modes"))
 
 
