@@ -35,22 +35,30 @@ def _unquoted(c: Column) -> Column:
     return F.regexp_replace(c, "^([\"'])(.*)\\1$", "$2")
 
 
-def _blocks(rows: DataFrame, key: str) -> DataFrame:
-    """(key, line, end_line, id, unit, unit_line): blocks, and the declaration within ``NEAR`` lines after each."""
+def _bodies(rows: DataFrame, key: str) -> DataFrame:
+    """(key, line, text, at): the lines of closed blocks, the first without what opens it, and their block.
+
+    ``at`` has line, end_line, id, unit and unit_line (the declaration within ``NEAR`` lines after the block). Windows over the lines of
+    a file, down and up; nothing is joined, since Spark takes lines for as few as their files and would send a side of a join to the driver.
+    """
     text = F.col("text")
-    mark = F.when(text.rlike(_OPEN), "open").when(text.rlike(_CLOSE), "close").when(_declaration(text) != "", "declared")
-    w = Window.partitionBy(key).orderBy("line")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    marks = rows.withColumn("mark", mark).where("mark is not null")
-    marks = marks.withColumn("_next", F.first(F.when(F.col("mark") == "declared", F.struct(F.col("line"), _declaration(text).alias("name"))), ignorenulls=True).over(after))
-    marks = marks.withColumn("_end", F.first(F.when(F.col("mark") == "close", F.struct("line", F.col("_next").alias("next"))), ignorenulls=True).over(after))
+    mark = F.when(text.rlike(_OPEN), "open").when(text.rlike(_CLOSE), "close").when(text.rlike(_DECLARED), "declared")
+    down, up = Window.partitionBy(key).orderBy(F.desc("line")), Window.partitionBy(key).orderBy("line")
+    after, before = down.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(Window.unboundedPreceding, -1)
+    name = F.when(F.col("mark") == "declared", F.struct(F.col("line"), _declaration(text).alias("name")))
+    marks = rows.where(F.col(key).isNotNull()).withColumn("mark", mark).withColumn("_name", name)
+    marks = marks.withColumn("_next", F.last("_name", ignorenulls=True).over(after))
+    marks = marks.withColumn("_end", F.last(F.when(F.col("mark") == "close", F.struct("line", F.col("_next").alias("next"))), ignorenulls=True).over(after))
     # an opening inside an open block is a part of it
     last = F.last(F.when(F.col("mark") != "declared", F.col("mark")), ignorenulls=True).over(before)
-    starts = marks.withColumn("_last", last).where("mark = 'open' and _end is not null and (_last is null or _last = 'close')")
     near = F.col("_end.next.line") - F.col("_end.line") <= NEAR
-    return starts.select(
-        key, "line", F.col("_end.line").alias("end_line"), F.nullif(F.regexp_extract("text", _OPEN, 1), F.lit("")).alias("id"), F.when(near, F.col("_end.next.name")).alias("unit"), F.when(near, F.col("_end.next.line")).alias("unit_line")
+    block = F.struct(
+        "line", F.col("_end.line").alias("end_line"), F.nullif(F.regexp_extract("text", _OPEN, 1), F.lit("")).alias("id"), F.when(near, F.col("_end.next.name")).alias("unit"), F.when(near, F.col("_end.next.line")).alias("unit_line")
     )
+    starts = F.when((F.col("mark") == "open") & F.col("_end").isNotNull() & (F.col("_last").isNull() | (F.col("_last") == "close")), block)
+    marks = marks.withColumn("_last", last).withColumn("at", F.last(starts, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.when(F.col("line") == F.col("at.line"), F.regexp_replace("text", "(?i)^.*?" + _OPEN.removeprefix("(?i)"), ""))
+    return marks.where(F.col("line") < F.col("at.end_line")).select(key, "line", F.coalesce(first, text).alias("text"), "at")
 
 
 def doc_details(files: DataFrame, key: str = "path", prefixes: Mapping[str, str] | None = None) -> DataFrame:
@@ -65,13 +73,11 @@ def doc_details(files: DataFrame, key: str = "path", prefixes: Mapping[str, str]
     The module is named in the path, else by the first prefix that begins the base name: ``prefixes`` in the order of trial.
     """
     rows = lines(files.select(key, "text"), [key]).withColumn("text", F.regexp_replace("text", "\r$", ""))
-    blocks = _blocks(rows, key)
-    inside = blocks.select(key, F.col("line").alias("_start"), F.explode(F.sequence(F.col("line"), F.col("end_line") - 1)).alias("line"))
-    body = rows.join(inside, [key, "line"]).withColumn("text", F.when(F.col("line") == F.col("_start"), F.regexp_replace("text", "(?i)^.*?" + _OPEN.removeprefix("(?i)"), "")).otherwise(F.col("text")))
-    number = F.sum(F.when(F.col("text").rlike(_TAG), 1).otherwise(0)).over(Window.partitionBy(key, "_start").orderBy("line"))
+    body = _bodies(rows, key).withColumn("_tagged", F.col("text").rlike(_TAG).cast("int"))
+    body = body.withColumn("_k", F.sum("_tagged").over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
     value = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.regexp_replace("text", _TAG, "").alias("t")))), lambda x: x["t"]), "\n")
-    tags = body.withColumn("_n", number).groupBy(key, "_start", "_n").agg(F.max(F.regexp_extract("text", _TAG, 1)).alias("tag"), F.regexp_replace(value, r"^\s+|\s+$", "").alias("value"))
-    held = tags.groupBy(key, F.col("_start").alias("line")).agg(F.array_sort(F.collect_list(F.struct("_n", "tag", "value"))).alias("_tags"))
+    tags = body.groupBy(key, "at", "_k").agg((F.max("_tagged") * F.col("_k")).alias("_n"), F.max(F.regexp_extract("text", _TAG, 1)).alias("tag"), F.regexp_replace(value, r"^\s+|\s+$", "").alias("value"))
+    held = tags.groupBy(key, "at").agg(F.array_sort(F.collect_list(F.struct("_n", "tag", "value"))).alias("_tags"))
 
     low = lambda t: F.lower(t["tag"])
     of = lambda *names: F.transform(F.filter("_tags", lambda t: (t["_n"] > 0) & low(t).isin(*names)), lambda t: t["value"])
@@ -96,7 +102,7 @@ def doc_details(files: DataFrame, key: str = "path", prefixes: Mapping[str, str]
     for prefix, name in (prefixes or {}).items():
         module = F.coalesce(module, F.when(base.startswith(prefix.upper()), F.lit(name)))
     other = F.transform(F.filter("_tags", lambda t: (t["_n"] > 0) & ~low(t).isin(*known)), lambda t: F.struct(t["tag"].alias("tag"), t["value"].alias("value")))
-    return blocks.join(held, [key, "line"]).select(
+    return held.select(key, "at.*", "_tags").select(
         key, "line", "end_line", "id", "unit", "unit_line", module.alias("module"),
         F.nullif(F.get(F.filter("_tags", lambda t: t["_n"] == 0), F.lit(0))["value"], F.lit("")).alias("summary"), F.lower(one("type")).alias("kind"),
         *[one(n).alias(n) for n in ("author", "since", "version", "description", "language")],
