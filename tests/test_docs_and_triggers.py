@@ -31,6 +31,11 @@ def test_doc_at_the_limit_and_prefixes(rows_of):
     assert (r.unit, r.unit_line, r.module) == ("F", 82, "YES")
 
 
+def test_doc_details_send_no_side_of_a_join_to_the_driver(rows_of):
+    plan = docs.doc_details(rows_of("/*/{X.doc} A\n/*/\n"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_look_ups_of_docs(rows_of):
     one = "/*/{X.doc} A\n@author Ann Lee\n/*/\nFunction F()\n"
     found = docs.doc_details(rows_of(one, one, "/*/{X.doc} f\n@deprecated\n/*/\n"))
