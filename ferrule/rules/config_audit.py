@@ -38,7 +38,7 @@ def value_ok(kind: Column, value: Column, expected: Column) -> Column:
 
 
 def score(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """rows (scope.., ok, severity) -> score 0 to 100 with a label; a partial aggregate."""
+    """rows (scope.., ok, severity) -> score 0 to 100 with a label; a partial aggregate. Scores are rounded to one place, halves up."""
     w = F.lit(WEIGHTS["info"])
     for s, x in WEIGHTS.items():
         w = F.when(F.col("severity") == s, x).otherwise(w)
@@ -47,7 +47,7 @@ def score(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
     label = F.lit("poor")
     for least, name in reversed(LABELS):
         label = F.when(raw >= least, name).otherwise(label)
-    return part.select(*scope, F.bround(raw, 1).alias("score"), label.alias("label"))
+    return part.select(*scope, (F.round(raw * 10.0) / 10.0).alias("score"), label.alias("label"))
 
 
 def applicable(files: DataFrame, rules: DataFrame) -> DataFrame:

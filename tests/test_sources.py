@@ -284,6 +284,11 @@ def test_graph_on_a_cycle(spark):
     assert G.callees(calls, "x/b.prw").count() == 2 and G.callees(calls, "u_c").count() == 2
 
 
+def test_scores_at_halves(spark):
+    rows = spark.range(16).select(F.lit("a").alias("path"), (F.col("id") == 0).alias("ok"), F.lit("info").alias("severity"))
+    assert config_audit.score(rows, ["path"]).first().score == 6.3  # of 6.25
+
+
 def test_joins_at_the_edges(spark):
     used = spark.createDataFrame([("c1", "p"), ("c2", "p"), ("c1", "q")], "c string, b string")
     cat = spark.createDataFrame([("c1", "p")], "c string, b string")
