@@ -297,6 +297,11 @@ def test_joins_at_the_edges(spark):
     left = spark.createDataFrame([(1, "api/v1/orders"), (2, "x")], "left_id int, left_path string")
     right = spark.createDataFrame([(9, "v1/orders"), (8, "full/api/v1/orders"), (7, "rders")], "right_id int, right_path string")
     assert {(r.left_id, r.right_id) for r in O.suffix_bridge(left, right).collect()} == {(1, 9), (1, 8)}
+    same = spark.range(0, 1200, 1, 1).select(F.lit("b/c").alias("p"), "id")
+    many = O.suffix_bridge(same.toDF("left_path", "left_id"), same.toDF("right_path", "right_id"))
+    parts = [r["count"] for r in many.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 1200**2 and many.distinct().count() == 1200**2 and max(parts) < sum(parts)
+    assert "keys=[left_id" not in many._jdf.queryExecution().executedPlan().toString()  # pairs are dealt out once, in groups
     assert O.find_units(spark.createDataFrame([("f", 1, "Abc")], "file string, line int, name string"), "ABC").count() == 1
     for glob, path, want in (("src/", "src/a/b.x", True), ("*.bak", "x/y.bak", True), ("a/*.p", "a/b/c.p", False), ("a/**.p", "a/b/c.p", True)):
         assert spark.createDataFrame([(path,)], "p string").where(F.col("p").rlike(X.glob_regex(glob))).count() == want
