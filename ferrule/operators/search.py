@@ -22,12 +22,13 @@ def parse_query(text: str) -> list[list[list[str]]]:
 
 def words_match(col: Column, query: str) -> Column:
     """Whether a text has all words and phrases of one alternative of the query."""
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(col), r"[^a-z0-9_]+", " "), F.lit(" "))
+    low = F.lower(col)
     any_ = F.lit(False)
     for phrases in parse_query(query):
         all_ = F.lit(True)
         for p in phrases:
-            all_ = all_ & spaced.contains(" " + " ".join(p) + " ")
+            # most texts without a phrase lack its longest word, which is told before the pattern is tried
+            all_ = all_ & low.contains(max(p, key=len)) & low.rlike(X.whole_words(p))
         any_ = any_ | all_
     return any_
 
