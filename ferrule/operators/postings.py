@@ -18,20 +18,30 @@ from ferrule.operators.search import grep_identifier, grep_literal, grep_words,
 
 #: Parts of each postings table, and tasks that write one part.
 PARTS, SLICES = 64, 8
+#: Postings and places of words that a worker holds before it hands them on, about.
+ROWS = 100_000
 _WORD = re.compile(r"[a-z0-9_]+")
 
 
 def _terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, text in lower case) -> (id, kind, term, positions): words with their places, trigrams without."""
+    """(id, text in lower case) -> (id, kind, term, positions): words with their places, trigrams without.
+
+    Postings leave as soon as there are ROWS of them or of words' places, so a worker holds those of a few texts, however many come at once.
+    """
+    columns = ["id", "kind", "term", "positions"]
     for frame in frames:
-        rows = []
+        rows, places = [], 0
         for key, text in zip(frame["id"], frame["text"]):
             at: dict[str, list[int]] = {}
             for k, m in enumerate(_WORD.finditer(text)):
                 at.setdefault(m[0], []).append(k)
+                places += 1
             rows += [(key, "word", w, p) for w, p in at.items()]
             rows += [(key, "gram", g, None) for g in {text[k : k + 3] for k in range(len(text) - 2)}]
-        yield pd.DataFrame(rows, columns=["id", "kind", "term", "positions"])
+            if len(rows) + places >= ROWS:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, places = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def _part(term: Column) -> Column:
