@@ -1,7 +1,11 @@
 """The optional index gives the rows of the scan; encodings and delimiters are told from bytes."""
 
+from functools import reduce
+
 import pytest
+from pyspark.sql import functions as F
 
+from ferrule.functions.text import word_position
 from ferrule.operators import search
 from ferrule.operators.postings import Postings
 from ferrule.sources import dictionary, sniff
@@ -22,6 +26,30 @@ def test_words(index, query):
     assert sorted(map(tuple, postings.words(docs, query, "id").collect())) == sorted(map(tuple, search.grep_words(docs, query).collect()))
 
 
+def test_postings_leave_in_parts(monkeypatch):
+    import pandas as pd
+
+    from ferrule.operators import postings
+
+    monkeypatch.setattr(postings, "ROWS", 20)
+    texts = pd.DataFrame({"id": range(50), "text": ["the cat the hat"] * 50})
+    made = list(postings._terms(iter([texts])))
+    assert max(map(len, made)) <= 40 and sum(map(len, made)) == 50 * (3 + len({"the cat the hat"[k : k + 3] for k in range(13)}))
+
+
+@pytest.mark.parametrize("query", ['the "of the" OR moron', '"the the"', "a_b"])
+def test_words_are_met_without_rewriting_texts(spark, query):
+    texts = ["the of the", "  of\tthe-", "of_the", "OF, the!", "bathe of", "moron", "the the", "thethe the", "\U0001f600 the the", "é the. the", "a_b the", "xa_b", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = search.grep_words(docs, query)
+    spaced, flat = (F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), p, " "), F.lit(" ")) for p in ("[^a-z0-9_]+", "[^a-z0-9_]"))
+    hit = lambda ps: reduce(lambda a, b: a & b, [spaced.contains(" " + " ".join(p) + " ") for p in ps])
+    asked = search.parse_query(query)
+    want = docs.where(reduce(lambda a, b: a | b, map(hit, asked))).select("id", F.instr(flat, f" {asked[0][0][0]} ").alias("at"))
+    got = docs.where(search.words_match(F.col("text"), query)).select("id", word_position(F.col("text"), asked[0][0][0]).alias("at"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != [] and "regexp_replace" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("needle", ["the", "THE end", "ÉLAN", "zz", "b a c", "Thing", "; t"])
 def test_literals(index, needle):
     docs, postings = index
