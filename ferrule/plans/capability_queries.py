@@ -25,7 +25,7 @@ def _sources(t):
     doc = F.when(k % 2 == 0, F.concat(F.lit("/*/{Protheus.doc} x_p"), k.cast("string"), F.lit("\nsays\n@author me\n/*/\n"))).otherwise("")
     old = F.when(k % 5 == 0, "/*\nStatic Function Old()\n*/\n").otherwise("")
     text = F.concat(doc, F.lit("User Function X_P"), k.cast("string"), F.lit("()\n"), body, F.lit("Return\n"), old)
-    return spread(t).select(F.concat(F.lit("src/"), k.cast("string"), F.lit(".prw")).alias("path"), text.alias("text"))
+    return spread(t, F.concat(F.lit("src/"), k.cast("string"), F.lit(".prw"))).select("path", text.alias("text"))
 
 
 @query("""
@@ -78,5 +78,5 @@ def config_roles(t):
     many = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < k % 5), lambda i: F.concat(F.lit("[env"), i.cast("string"), F.lit("]\nSourcePath=/x\n"))), "")
     text = F.when(s == 0, F.concat(F.lit("[General]\nMode="), mode, F.lit("\n"))).when(s == 1, "[Balance_Web_Services]\nport=1\n").when(s == 2, F.concat(F.lit("[General]\na=1\n[Drivers]\nb=1\n"), many)).otherwise("[HttpRest]\na=1\n[HttpJob]\nb=1\n;[oracle]\nc=1\n")
     name = F.when(s == 0, "dbaccess").when(s == 1, "broker_rest").otherwise("server")
-    files = spread(t).select(F.concat(F.lit("c"), k.cast("string"), F.lit("/"), name, F.lit(".ini")).alias("path"), text.alias("text"))
+    files = spread(t, F.concat(F.lit("c"), k.cast("string"), F.lit("/"), name, F.lit(".ini"))).select("path", text.alias("text"))
     return config_kinds.config_kinds(files, *config_kinds.of_parsed(config.parse(files)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrule.operators.lineage import lineage
-from ferrule.plans.store_queries import spread
+from ferrule.plans.store_queries import kept, spread
 from ferrule.registry import query
 from ferrule.sources import code, docs, triggers
 
@@ -22,7 +22,7 @@ def _documented(t):
         "#include 'x.ch'\n/*/{Any.doc} ID_P", k, "\nSays ", s, "\nand more\n@type Function\n@author Ann A", s % 5, "\n@since 1.", s, '\n@param cA, array(x,', s, '), "the, text"\n@param [nB], number\n@return logical, ok\n',
         "@history 2024-01-02, bob, 'made, it'\n@table SA", s % 10, "\n@team red\n", old, "/*/\n", F.repeat(F.lit("\n"), (k % 3 * 44).cast("int")), "User Function P", k, "()\nReturn\n",
     )
-    return spread(t).select(_text("src/sigafat/", k, ".prw").alias("path"), text.alias("text"))
+    return spread(t, _text("src/sigafat/", k, ".prw")).select("path", text.alias("text"))
 
 
 _LATE = "(p_partkey % 4 = 0)::INT"
@@ -65,7 +65,7 @@ def _started(t):
         "  // oX := TWFProcess():New(\"NO\")\n  MailAuto(\"x\")\n  oM:AttachFile(\"f\")\nReturn\nStatic Function SchedDef()\n  aRet := { \"P\", \"GRP", k % 7, '", "SF2",\n    {1, 2}, "Title" }\nReturn aRet\n',
         "Main Function JOB", k, '()\n  RpcSetEnv("', s, '", "01",,, "FAT")\n  Sleep(', k % 3, ' * 1000)\n  While !File("stop.flg")\n  End\nReturn\n',
     )
-    return spread(t).select(_text("src/", k, ".prw").alias("path"), text.alias("text"))
+    return spread(t, _text("src/", k, ".prw")).select("path", text.alias("text"))
 
 
 @query("""
@@ -76,7 +76,7 @@ SELECT 'src/' || p_partkey || '.prw' AS path, u.unit, u.line, u.kind, u.target,
   UNION ALL SELECT 'JOB' || p_partkey, 14, 'job_standalone', 'JOB' || p_partkey, 'branch=01 company=' || p_size || ' module=FAT no_license=false sleep_seconds=' || (p_partkey % 3) || ' stop_flag=stop.flg') u""")
 def trigger_metadata(t):
     """Workflows, schedules, jobs and mail with their details (EXT-19)."""
-    files = _started(t)
+    files = kept(t, _started(t))
     found = triggers.trigger_details(files, code.environment_openers(files))
     shown = F.array_join(F.transform(F.array_sort(F.map_entries("details")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")
     return found.select("path", "unit", "line", "kind", "target", shown.alias("details"))

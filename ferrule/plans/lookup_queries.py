@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import frontend
 from ferrule.operators import lookups
-from ferrule.plans.store_queries import spread
+from ferrule.plans.store_queries import kept, spread
 from ferrule.registry import query
 from ferrule.rules.capabilities import capabilities
 from ferrule.sources import code, diagnostics
@@ -56,7 +56,7 @@ def _programs(t):
         '#include "p.ch"\nUser Function X', k, '()\n  DbSelectArea("SA', s % 10, '")\n  RecLock("SB1", .T.)\n  FWFormStruct(1, "SC5")\n  oM:bCommit := {|| F()}\n  c := "bLoad := 1"\n', shows,
         "  MsExecAuto({|x, y| MATA", 400 + s % 3, "(x, y)}, aCab", op, ")\nReturn\nStatic Function Y()\nReturn",
     )
-    return spread(t).select(_text("src/", k, ".prw").alias("path"), text.alias("text"))
+    return kept(t, spread(t, _text("src/", k, ".prw")).select("path", text.alias("text")))
 
 
 def _routines(t):
@@ -69,7 +69,7 @@ SELECT 'src/' || p_partkey || '.prw' AS path, 'mvc' AS source_type, 'EXEC_AUTO_C
   'SA' || (p_size % 10) AS read_tables, 'SC5' AS write_tables, 'SB1' AS lock_tables, 'p.ch' AS includes, 'SA1 SC' || (p_size % 3) AS routine_tables, true AS via_routines FROM part""")
 def source_architecture(t):
     """One row a source: kind, tags, units, tables by use and through standard routines, includes (LKP-10)."""
-    files = code.with_bare(_programs(t))
+    files = _programs(t)
     facts = fact_tables(files, _routines(t))
     found = lookups.architecture(files, capabilities(files, facts), facts, code.entry_points(files))
     shown = ("tags", "units", "user_units", "entry_points", "read_tables", "write_tables", "lock_tables", "includes", "routine_tables")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import frontend
 from ferrule.functions.masking import EMAIL, Masking
-from ferrule.plans.store_queries import spread
+from ferrule.plans.store_queries import kept, spread
 from ferrule.registry import query
 from ferrule.rules import conditions, dictionary, static
 from ferrule.sources import arguments, code, embedded_sql
@@ -32,7 +32,7 @@ def _sources(t):
         '  x := SuperGetMV("MV_P', s, '", .F., F("a,b", {', k, "}))\n",
         "  oJ := JsonObject():New()\n  oJ:Method", k % 4, "()\nReturn\n",
     )
-    return spread(t).select(_text("src/", k, ".prw").alias("path"), text.alias("text"))
+    return kept(t, spread(t, _text("src/", k, ".prw")).select("path", text.alias("text")))
 
 
 _OF = "'src/' || p_partkey || '.prw' AS path, 'ABC_P' || p_partkey AS unit"
@@ -129,7 +129,7 @@ def interface_lint(t):
     k = F.col("p_partkey")
     last = F.when(k % 3 == 0, "field: 'y'").otherwise(_text("type: 'T", k % 4, "'"))
     text = _text("const a: PoColumn[] = [ // type: 'no'\n  { property: 'p', detail: { field: f(x ? y : z), type: 'T9' }, ", last, " }\n];\nconst b: Other = { field: 1 };\n")
-    files = spread(t).select(_text("ui/", k, ".ts").alias("path"), text.alias("text"))
+    files = spread(t, _text("ui/", k, ".ts")).select("path", text.alias("text"))
     known = [("property", []), ("detail", []), ("type", ["T0", "T1"])]
     row = F.explode(F.array(*[F.struct(F.lit(p).alias("property"), F.array(*map(F.lit, v)).cast("array<string>").alias("values")) for p, v in known]))
     catalog = t.region.where("r_regionkey = 0").select(F.lit("PoColumn").alias("interface"), row.alias("r")).select("interface", "r.*")
