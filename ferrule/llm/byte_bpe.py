@@ -27,6 +27,8 @@ from ferrule.llm.common import table
 
 #: Bytes that a generation of known pieces takes, by estimate, and bytes of text worked on at a time (one text at least).
 KNOWN_BYTES, PORTION = 48 << 20, 8 << 20
+#: Bytes of text at a time where tokens are only counted.
+COUNTED = 1 << 20
 _SPLIT = re.compile(r"(?<!\s) (?!\s)")
 #: A space beside white space of any kind, in the syntax of Arrow's patterns.
 _CLOSE = r" [\s\v\x1c-\x1f\x{85}\p{Z}]|[\s\v\x1c-\x1f\x{85}\p{Z}] "
@@ -168,6 +170,14 @@ class Codec:
         ends = np.cumsum(size[code])
         return flat[_places(np.cumsum(size) - size, size, code)], np.append(0, ends)[bounds]
 
+    def count_all(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has; the ids themselves are put together for no text."""
+        if not len(texts):
+            return np.empty(0, np.int64)
+        code, bounds, pieces = self._pieces(texts)
+        size = np.fromiter(map(len, self._ids_of(pieces)), np.int64, len(pieces)) // 4
+        return np.diff(np.append(0, np.cumsum(size[code]))[bounds])
+
     def encode(self, text: str) -> tuple[list[int], str]:
         """Ids of one text, and the same as decimal numbers joined by commas."""
         ids, bounds = self.encode_all(pa.array([text], pa.large_string()))
@@ -204,13 +214,13 @@ def _places(start: np.ndarray, size: np.ndarray, rows: np.ndarray) -> np.ndarray
     return np.repeat(start[rows] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _portions(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Neighbouring texts of PORTION bytes or so, nulls as empty, and the place of the first."""
+def _portions(texts: pa.Array, portion: int | None = None) -> Iterator[tuple[int, pa.Array]]:
+    """Neighbouring texts of ``portion`` (or PORTION) bytes or so, nulls as empty, and the place of the first."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     ends = np.cumsum(pc.binary_length(texts).to_numpy())
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (portion or PORTION), "right")))
         yield at, texts.slice(at, to - at)
         at = to
 
@@ -277,6 +287,20 @@ def decode(rows: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids")
     return rows.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(work, schema)
 
 
+def counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None) -> DataFrame:
+    """``docs`` -> (id, n_tokens): as ``round_trip``, without ids, decoded bytes and hashes."""
+    codec = _shared(docs.sparkSession, path, _pattern(pattern))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec()
+        for b in batches:
+            for at, texts in _portions(b.column(1), COUNTED):
+                yield pa.record_batch([b.column(0).slice(at, len(texts)), pa.array(c.count_all(texts), pa.int64())], names=["id", "n_tokens"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, schema)
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None) -> DataFrame:
     """``docs`` -> (id, n_tokens, ids_sha256, decoded_sha256): each text encoded, its ids decoded again, both hashed.
 

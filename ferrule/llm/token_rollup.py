@@ -47,7 +47,7 @@ def count_by_codec(docs: DataFrame, path: str, version: str, pattern: str | None
     Null ids, sources and languages are kept as they are; a null text has no tokens; an empty table gives an empty result.
     """
     rows = docs.select(F.struct("doc_id", "source", "lang").alias("own"), "text")
-    found = byte_bpe.round_trip(rows, path, "own", "text", pattern)
+    found = byte_bpe.counts(rows, path, "own", "text", pattern)
     return found.select("id.*", F.lit(version).alias("version"), "n_tokens", F.lit("put").alias("kind"))
 
 
