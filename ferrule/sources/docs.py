@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.rules.static import lines
+from ferrule.scratch import written
 
 #: Lines after the end of a block within which a declaration still belongs to it.
 NEAR = 80
@@ -120,6 +121,7 @@ def find_docs(docs: DataFrame, module: str | None = None, author: str | None = N
     """Doc blocks that meet all given conditions, by module, file and line; case never counts.
 
     An author is met by a part of their name, a unit by the declaration or by the name that the block opens with, a file by its base name.
+    What is found is written before it is sorted: a sort draws a sample first, and would read all the blocks twice.
     """
     conditions = [
         (module, lambda: F.lower("module") == module.lower()),
@@ -132,7 +134,7 @@ def find_docs(docs: DataFrame, module: str | None = None, author: str | None = N
     for given, condition in conditions:
         if given is not None:
             docs = docs.where(condition())
-    return docs.orderBy("module", key, "line")
+    return written(docs, "docs").orderBy("module", key, "line")
 
 
 def homonyms(docs: DataFrame, unit: str, key: str = "path") -> DataFrame:
