@@ -11,9 +11,9 @@ from ferrule.scratch import scratch_path
 from ferrule.sources import sniff
 
 
-def _index(t):
+def _index(t, kind: str):
     docs = t.documents.select("doc_id", "text")
-    return docs, Postings(t.spark, scratch_path(t.spark, "postings")).build(docs, "doc_id")
+    return docs, Postings(t.spark, scratch_path(t.spark, "postings")).build(docs, "doc_id", kinds=(kind,))
 
 
 @query(f"""
@@ -21,14 +21,14 @@ SELECT doc_id, substr(text, greatest(1, instr({_FLAT}, ' the ') - 30), 200) AS s
 WHERE (contains({_SPACED}, ' the ') AND contains({_SPACED}, ' of the ')) OR contains({_SPACED}, ' moron ')""")
 def postings_words(t):
     """Words, phrases and OR by postings with positions (TXT-01, TXT-05)."""
-    docs, index = _index(t)
+    docs, index = _index(t, "word")
     return index.words(docs, 'the "of the" OR moron', "doc_id").drop("text")
 
 
 @query("SELECT doc_id, substr(text, greatest(1, instr(lower(text), 'thing') - 30), 200) AS snippet FROM documents WHERE contains(lower(text), 'thing')")
 def postings_literal(t):
     """Literal search by trigrams (TXT-02, TXT-05)."""
-    docs, index = _index(t)
+    docs, index = _index(t, "gram")
     return index.literal(docs, "Thing", "doc_id").drop("text")
 
 
