@@ -12,6 +12,8 @@ anchor is a stretch.
    Neighbours in that order that share LENGTH bytes are repeats.
 3. A bucket above CROWDED stretches (a passage at the edge of which very many documents part) isn't sorted in one task:
    its windows are counted by their 128-bit hash over all tasks.
+
+Passages of WORDS words or more can have fewer than LENGTH bytes. They are found apart from this (repeated_passages).
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from ferrule.llm.common import Tables, portions, table
 
 LENGTH = 400
 GRAM = 64
-#: Words of a passage that dedup_texts cuts out wherever it repeats, however few bytes they have, and words of its anchor.
+#: Words of a passage that is cut out of texts wherever it repeats, however few bytes they have, and words of its anchor.
 WORDS, WORD_GRAM = 51, 16
 #: Difference cover: modulus and residues; each residue is a difference of two of them.
 V, COVER = 31, (0, 1, 3, 8, 12, 18)
@@ -412,29 +414,41 @@ def remove(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` -> (id, kept binary, n_bytes, n_spans, text): each text without the bytes of repeated strings.
-
-    A byte goes if a string of LENGTH bytes that covers it also starts anywhere else, the same document included. One row
-    per row; repeated rows count as repeats of each other; a null text is empty; other columns are not read; an empty
-    table gives an empty result. ``text`` is what is kept, less the bytes of characters that a cut leaves broken.
+    """``docs`` -> (id, kept binary, n_bytes, n_spans, text, n_passage_bytes, n_passages): each text without what repeats.
+
+    A byte is not in ``kept`` if a string of LENGTH bytes that covers it also starts anywhere else, the same document
+    included; ``n_spans`` counts the removed runs. The passages of WORDS words that also start elsewhere, whatever their
+    bytes, are told apart from that: ``n_passage_bytes`` is what they cover, ``n_passages`` their maximal runs. ``text``
+    has neither, as in dedup_texts, and loses the bytes of characters that a cut leaves broken. One row per row; repeated
+    rows count as repeats of each other; a null text is empty; other columns are not read; an empty table gives an empty
+    result.
     """
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("text", T.StringType())])
+    names = ["id", "kept", "n_bytes", "n_spans", "text", "n_passage_bytes", "n_passages"]
+    types = [docs.schema[id_col].dataType, T.BinaryType(), T.LongType(), T.LongType(), T.StringType(), T.LongType(), T.LongType()]
+    schema = T.StructType([T.StructField(*x) for x in zip(names, types)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for data, spans in zip(b.column(1), b.column(2)):
-                data, s = data.as_py(), spans.as_py() or []
-                rows.append((*remove(data, [(x["start"], x["end"]) for x in s]), len(data)))
-            cols = [pa.array([r[0] for r in rows], pa.binary()), *[pa.array([r[k] for r in rows], pa.int64()) for k in (2, 1)], pa.array([r[0].decode(errors="ignore") for r in rows], pa.string())]
-            yield pa.record_batch([b.column(0), *cols], names=["id", "kept", "n_bytes", "n_spans", "text"])
-
+            for data, *found in zip(b.column(1), b.column(2), b.column(3)):
+                data = data.as_py()
+                spans, passages = ([(x["start"], x["end"]) for x in f.as_py() or []] for f in found)
+                kept, runs = remove(data, spans)
+                rest, n = remove(data, passages)
+                text = remove(data, spans + passages)[0] if passages else kept
+                rows.append((kept, len(data), runs, text.decode(errors="ignore"), len(data) - len(rest), n))
+            cols = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)]
+            yield pa.record_batch([b.column(0), *cols], names=names)
+
+    arrow = [pa.field(n, t) for n, t in zip(names[1:], (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))]
+    passages = repeated_passages(docs, id_col, text_col).withColumnRenamed("spans", "passages")
     spans = repeated_spans(docs, id_col, text_col)
     whole = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return (
         whole.select("id", *_key("id", "text"))
         .join(spans, ["kid", "ktext"], "left")
-        .select("id", "data", "spans")
+        .join(passages, ["kid", "ktext"], "left")
+        .select("id", "data", "spans", "passages")
         .mapInArrow(work, schema)
     )
 
@@ -474,6 +488,5 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op8(spark, sf_dir: str) -> DataFrame:
     found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(
-        F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text"
-    )
+    removed = (F.col("n_bytes") - F.length("kept")).alias("n_removed")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed, "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text", "n_passage_bytes", "n_passages")
