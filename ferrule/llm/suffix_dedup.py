@@ -40,6 +40,10 @@ CHUNK = 1 << 20
 #: Bytes of stretches that are sorted at a time, and stretches of a bucket that one task sorts at most.
 BLOCK, CROWDED = 1 << 20, 2048
 _LOW = np.uint64((1 << 21) - 1)
+#: Words of more bytes are hashed one by one; signs that part words; masks of 0 to 8 bytes.
+_SHORT = 64
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _BYTES = np.random.default_rng(400).integers(1 << 62, size=256, dtype=np.uint64)
 
@@ -279,52 +283,80 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of each word; words are parted by \\x20 and \\x09-\\x0D."""
-    raw = np.frombuffer(data, np.uint8)
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
+    raw = np.frombuffer(data + bytes(8), np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[raw[:-8]]
     turn = np.flatnonzero(np.diff(inside))
-    words = data.split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), turn[::2], turn[1::2]
+    start, end = turn[::2], turn[1::2]
+    size = end - start
+    h = size.astype(np.uint64) * _FACTORS[0]
+    lanes = np.ndarray(len(data) + 1, "<u8", raw, 0, (1,))
+    todo = np.arange(len(start))
+    for k in range(0, _SHORT, 8):  # eight bytes at a time; what lies behind the word is masked
+        todo = todo[size[todo] > k]
+        x = (h[todo] ^ (lanes[start[todo] + k] & _MASKS[np.minimum(size[todo] - k, 8)])) * _FACTORS[1]
+        x ^= x >> np.uint64(32)
+        h[todo] = x * _FACTORS[2]
+    for k in todo[size[todo] > _SHORT].tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]])
+    h ^= h >> np.uint64(29)
+    return h, start, end
+
+
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts -> hash, first byte and end of each word, counted within its text, and the bounds of the texts among the words."""
+    texts = [x.as_buffer() if x.is_valid else b"" for x in column]
+    offsets = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    words, start, end = _word_hashes(b" ".join(texts))
+    bounds = np.searchsorted(start, offsets)
+    base = np.repeat(offsets[:-1], np.diff(bounds))
+    return words, start - base, end - base, bounds
 
 
 def _word_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents -> stretches of windows of WORDS words with one anchor, the WORD_GRAM words that hash lowest."""
     names, piece = ["kid", "ktext", "g", "h", "first", "n", "start", "end"], 1 << 20
     for b in portions(batches, 2):
-        out = [[] for _ in names]
-        for kid, ktext, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            words, start, end = _word_hashes(data.as_py() or b"")
-            for s in range(0, len(words) - WORDS + 1, piece):
-                w = words[s : s + piece + WORDS - 1]
-                g, width = w, 1
-                while width < WORD_GRAM:
-                    g = g[: len(g) - width] * _FACTORS[width.bit_length()] + g[width:]
-                    width *= 2
-                g = (g ^ (g >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
-                g ^= g >> np.uint64(29)
-                at = (_lowest((g & ~_LOW) | np.arange(len(g), dtype=np.uint64), WORDS - WORD_GRAM + 1) & _LOW).astype(np.int64)
-                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                n = np.diff(np.append(first, len(at)))
-                last = first + n + WORDS - 1
-                h = np.fromiter((xxhash.xxh3_64_intdigest(w[i:j].tobytes()) for i, j in zip(first.tolist(), last.tolist())), np.uint64, len(n))
-                for x, y in zip(out, (np.full(len(n), kid), np.full(len(n), ktext, np.int32), g[at[first]].view(np.int64), h.view(np.int64), s + first, n, start[s + first], end[s + last - 1])):
-                    x.append(y)
-        if out[0]:
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=names)
+        kid, ktext = b.column(0).to_numpy(), b.column(1).to_numpy()
+        words, start, end, bounds = _joined(b.column(2))
+        text = np.repeat(np.arange(b.num_rows), np.diff(bounds))
+        raw = memoryview(words).cast("B")
+        for s in range(0, len(words) - WORDS + 1, piece):
+            g, width = words[s : s + piece + WORDS - 1], 1
+            while width < WORD_GRAM:
+                g = g[: len(g) - width] * _FACTORS[width.bit_length()] + g[width:]
+                width *= 2
+            g = (g ^ (g >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+            g ^= g >> np.uint64(29)
+            at = (_lowest((g & ~_LOW) | np.arange(len(g), dtype=np.uint64), WORDS - WORD_GRAM + 1) & _LOW).astype(np.int64)
+            own = text[s : s + len(at)]
+            first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (own[1:] != own[:-1])))
+            stop = np.minimum(np.append(first[1:], len(at)), bounds[own[first] + 1] - s - WORDS + 1)  # windows end within their text
+            whole = stop > first
+            first, stop = first[whole], stop[whole]
+            if not len(first):
+                continue
+            anchor, doc, n = g[at[first]], own[first], stop - first
+            first = s + first
+            last = first + n + WORDS - 1
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, [raw[i:j] for i, j in zip((8 * first).tolist(), (8 * last).tolist())]), np.uint64, len(n))
+            columns = (kid[doc], ktext[doc], anchor.view(np.int64), h.view(np.int64), first - bounds[doc], n, start[first], end[last - 1])
+            yield pa.record_batch([pa.array(x) for x in columns], names=names)
 
 
 def _word_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their open stretches -> a 128-bit hash and the bytes of each window of WORDS words."""
-    for b in batches:
-        for k in range(b.num_rows):
-            words, start, end = _word_hashes(b.column(2)[k].as_py() or b"")
-            rows = b.column(3)[k].as_py()
-            at = np.concatenate([np.arange(r["first"], r["first"] + r["n"]) for r in rows])
-            settled = np.repeat([r["settled"] for r in rows], [r["n"] for r in rows])
-            view = memoryview(words.tobytes())
-            w = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[8 * j : 8 * (j + WORDS)]) for j in at.tolist()]), "<i8").reshape(-1, 2)
-            kid, ktext = np.full(len(at), b.column(0)[k].as_py()), np.full(len(at), b.column(1)[k].as_py(), np.int32)
-            yield pa.record_batch([pa.array(x) for x in (w[:, 0], w[:, 1], kid, ktext, start[at], end[at + WORDS - 1], settled)], names=["w1", "w2", "kid", "ktext", "start", "end", "settled"])
+    for b in portions(batches, 2, 1 << 20):
+        words, start, end, bounds = _joined(b.column(2))
+        rows = b.column(3).flatten()
+        n = rows.field("n").to_numpy()
+        doc = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy())
+        at = np.arange(n.sum()) + np.repeat(bounds[doc] + rows.field("first").to_numpy() - (np.cumsum(n) - n), n)
+        settled = np.repeat(rows.field("settled").to_numpy(zero_copy_only=False), n)
+        raw, doc = memoryview(words).cast("B"), np.repeat(doc, n)
+        w = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[j : j + 8 * WORDS]) for j in (8 * at).tolist()]), "<i8").reshape(-1, 2)
+        kid, ktext = b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc]
+        yield pa.record_batch([pa.array(x) for x in (w[:, 0], w[:, 1], kid, ktext, start[at], end[at + WORDS - 1], settled)], names=["w1", "w2", "kid", "ktext", "start", "end", "settled"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,3 +32,12 @@ def test_text_is_that_of_the_suffix_stage(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     got = {r.doc_id: r.text for r in suffix_dedup.op8(spark, tiny).collect()}
     assert got == {r.doc_id: r.text or "" for r in suffix_dedup.dedup_texts(docs).collect()}
+
+
+def test_words_hash_alike_wherever_they_stand():
+    rng = np.random.default_rng(2)
+    words = [rng.integers(33, 256, n).astype(np.uint8).tobytes() for n in range(1, 90)]
+    h, start, end = suffix_dedup._word_hashes(b" ".join(words))
+    back, _, _ = suffix_dedup._word_hashes(b"\n\t".join(words[::-1]) + b"\r")
+    assert back[::-1].tolist() == h.tolist() and len(set(h.tolist())) == len(words)
+    assert (end - start).tolist() == list(map(len, words))
